@@ -1,0 +1,14 @@
+"""Named queries over the shared test tables, each with the SQL that checks it."""
+
+from __future__ import annotations
+
+from . import graph_queries, run_queries, text_queries  # noqa: F401  (register their queries)
+from .registry import CHECKS, QUERIES, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def checks() -> dict[str, str]:
+    return dict(CHECKS)

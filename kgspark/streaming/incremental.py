@@ -1,4 +1,9 @@
-"""Micro-batches of section outputs into the stored graph."""
+"""Micro-batches of section outputs into an append-only graph store.
+
+Every batch writes its own ``batch=<id>`` partition of ``nodes``, ``edges`` and, last, ``sections``. The newest batch
+of a section holds its graph; older ones are ignored by readers until a compaction drops them. So a batch costs as
+much as its own rows, a repeated batch overwrites itself, and a half-written batch is not visible.
+"""
 
 from __future__ import annotations
 
@@ -13,66 +18,89 @@ from ..operators.ordering import last_wins
 from ..operators.store import stamp_section_scope, upsert_edges, upsert_nodes
 from ..plans.graph_build import build_section_graphs
 from ..session import cut_lineage
-from ..sources.tables import write_graph
+
+SECTION_VERSIONS = "section_id STRING, content_hash STRING, chapter STRING, batch BIGINT"
 
 
-def changed_outputs(outputs: DataFrame, stored_sections: DataFrame) -> DataFrame:
-    """Outputs whose section is new or whose text differs from the stored one (whitespace apart)."""
+def changed_outputs(outputs: DataFrame, stored: DataFrame) -> DataFrame:
+    """The latest output per section, if its section is new or its text differs (whitespace apart) from the stored one."""
     hashed = outputs.withColumn("section_id", ids.section_id("topic", "chapter", "subchapter")).withColumn(
         "content_hash", ids.content_hash("raw")
     )
-    latest = last_wins(hashed, ["section_id"])
-    return latest.join(
-        stored_sections.select("section_id", "content_hash"), ["section_id", "content_hash"], "left_anti"
-    )
+    current = stored.groupBy("section_id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+    return last_wins(hashed, ["section_id"]).join(current, ["section_id", "content_hash"], "left_anti")
+
+
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The table at ``path``; empty before the first batch."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 def _conformed(df: DataFrame, ddl: str) -> DataFrame:
     """``df`` with exactly the stored columns."""
-    schema = df.sparkSession.createDataFrame([], ddl).schema
+    stored = df.sparkSession.createDataFrame([], ddl).schema
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+            for f in stored.fields
         ]
     )
 
 
-def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column) -> None:
-    """Replace the section graphs of a batch of outputs in the store at ``path``.
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    (
+        df.withColumn("batch", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch")
+        .parquet(path)
+    )
+
 
-    Every section has a scope of its own, which is overwritten as a whole: a repeated batch, or one that runs again
-    after a failure, leaves the same store. Unchanged sections are skipped.
-    """
-    stored = _read_or_empty(spark, f"{path}/sections", "section_id STRING, content_hash STRING, scope STRING")
+def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column, batch_id: int) -> None:
+    """Add the section graphs of a batch of outputs to the store; unchanged sections are skipped."""
+    stored = _read(spark, f"{path}/sections", SECTION_VERSIONS).where(F.col("batch") < batch_id)
     fresh = cut_lineage(changed_outputs(outputs, stored))
     graphs = build_section_graphs(fresh.drop("section_id", "content_hash"), now)
-    scoped = graphs.nodes.withColumn("scope", ids.section_scope("section_id")).withColumn("seq", F.col("seq.seq"))
-    nodes = _conformed(scoped, schemas.KG_NODES)
-    edges = _conformed(stamp_section_scope(graphs.edges.withColumn("seq", F.col("seq.seq"))), schemas.KG_EDGES)
-    none = Graph(spark.createDataFrame([], schemas.KG_NODES), spark.createDataFrame([], schemas.KG_EDGES))
-    merged_nodes = upsert_nodes(none.nodes, nodes)
-    write_graph(Graph(merged_nodes, upsert_edges(none.edges, edges, merged_nodes)), path)
-    done = fresh.select("section_id", "content_hash", ids.section_scope("section_id").alias("scope"))
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(
-        f"{path}/sections"
+
+    def scalar_seq(df: DataFrame) -> DataFrame:
+        return df.withColumn("seq", F.col("seq.seq"))
+
+    node_rows = scalar_seq(graphs.nodes.withColumn("scope", ids.section_scope("section_id")))
+    nodes = _conformed(node_rows, schemas.KG_NODES)
+    edges = _conformed(stamp_section_scope(scalar_seq(graphs.edges)), schemas.KG_EDGES)
+    written = upsert_nodes(nodes.limit(0), nodes)
+    _write(written, f"{path}/nodes", batch_id)
+    _write(upsert_edges(edges.limit(0), edges, written), f"{path}/edges", batch_id)
+    _write(fresh.select("section_id", "content_hash", "chapter"), f"{path}/sections", batch_id)
+
+
+def current_graph(spark: SparkSession, path: str) -> Graph:
+    """The graph of the newest version of every section."""
+    versions = (
+        _read(spark, f"{path}/sections", SECTION_VERSIONS)
+        .groupBy("section_id")
+        .agg(F.max("batch").alias("batch"))
+        .select(ids.section_scope("section_id").alias("scope"), "batch")
     )
 
+    def newest(name: str, ddl: str) -> DataFrame:
+        rows = _read(spark, f"{path}/{name}", ddl + ", batch BIGINT")
+        return rows.join(versions, ["scope", "batch"], "left_semi").drop("batch")
 
-def _read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except Exception as missing:  # the table appears with the first batch
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], ddl)
+    return Graph(newest("nodes", schemas.KG_NODES), newest("edges", schemas.KG_EDGES))
 
 
 def incremental_graph(outputs: DataFrame, path: str, checkpoint: str, now: Column, **trigger) -> StreamingQuery:
-    """Keep the store at ``path`` up to date with a stream of section outputs."""
+    """Keep the store at ``path`` up to date with a stream of section outputs (one checkpoint per store)."""
 
-    def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        store_batch(batch.sparkSession, batch, path, now)
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        store_batch(batch.sparkSession, batch, path, now, batch_id)
 
     return (
         outputs.writeStream.foreachBatch(each_batch)
