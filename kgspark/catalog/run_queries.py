@@ -302,7 +302,7 @@ def assemble_book(d: Data) -> DataFrame:
                         ELSE '**答案**: ' || p_size END, '', '---', '')
           FROM (SELECT *, CASE p_type WHEN 'SMALL' THEN 'short_answer' WHEN 'PROMO' THEN 'multiple_choice' WHEN 'LARGE' THEN
                 'multiple_choice' ELSE 'essay' END AS k FROM part) q),
-        {_parts_sql("chr(10)", 1 << 13)} SELECT doc_id, part_chapter, part_subchapter, content FROM parts"""
+        {_parts_sql("chr(10)", 1 << 12)} SELECT doc_id, part_chapter, part_subchapter, content FROM parts"""
 )
 def format_quiz(d: Data) -> DataFrame:
     """O2"""
@@ -330,7 +330,7 @@ def format_quiz(d: Data) -> DataFrame:
         F.lit(None).cast("string").alias("difficulty"),
         F.lit("en").alias("language"),
     ).distinct()
-    return assemble.format_quiz(quizzes, questions, 1 << 13)
+    return assemble.format_quiz(quizzes, questions, 1 << 12)
 
 
 @query(

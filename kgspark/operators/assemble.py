@@ -61,7 +61,8 @@ def book_blocks(
             F.concat(F.lit("> "), _given("outline")),
         ).alias("text"),
     )
-    joined = sections.join(content.select("section_id", "content"), "section_id", "left").join(
+    placed = sections.select("doc_id", "chapter_pos", "subchapter_pos", "section_id", "subchapter", "outline")
+    joined = placed.join(content.select("section_id", "content"), "section_id", "left").join(
         qa.select("section_id", "qa_text"), "section_id", "left"
     )
     guide = F.nullif(t.strip(t.or_empty("outline")), F.lit(""))

@@ -1,16 +1,17 @@
 """Keyed stream state: stage times, run states, circuit states.
 
-Spark partitions the events by key and keeps the state; a processor folds the few new rows of a key in order. State of
-a finished or silent key expires.
+Spark partitions the events by key and keeps the state, a few bytes per key; a small function folds the new rows of a
+key in order. State does not expire: a final run status must not move, however late its next line comes. For many keys,
+run the stream with the RocksDB state store provider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.telemetry import (
     ACTIVE,
@@ -23,125 +24,112 @@ from ..operators.telemetry import (
     STAGE_BOUNDARIES,
     SUCCEEDED,
     run_status,
+    succeeded,
 )
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 STAGE_ROWS = "run_id STRING, stage STRING, started_at TIMESTAMP, ended_at TIMESTAMP, seconds DOUBLE"
+STAGE_STATE = "stage STRING, started_us BIGINT"
 STATUS_ROWS = "run_id STRING, status STRING, updated_at TIMESTAMP"
+STATUS_STATE = "status STRING"
 CIRCUIT_ROWS = (
     "provider STRING, key_id STRING, seq BIGINT, ts TIMESTAMP, consecutive_failures BIGINT, state STRING, "
     "circuit_open_time TIMESTAMP"
 )
-DAY_MS = 24 * 3600 * 1000
+CIRCUIT_STATE = "streak BIGINT, state STRING, opened_us BIGINT"
 
+Fold = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable").itertuples()
 
-class StageClock(StatefulProcessor):
-    """Keeps the open stage of a run and emits it once it is closed."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "stage STRING, started_at TIMESTAMP", ttlDurationMs=DAY_MS)
+def _micros(ts: pd.Timestamp) -> int:
+    return ts.value // 1000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stage, started = self.open.get() if self.open.exists() else (None, None)
-        closed = []
-        for event in _in_order(rows).itertuples():
-            if started is not None:
-                closed.append((key[0], stage, started, event.ts, (event.ts - pd.Timestamp(started)).total_seconds()))
-            stage, started = (event.stage, event.ts) if event.event == "stage_start" else (None, None)
-        if started is None:
-            self.open.clear()
-        else:
-            self.open.update((stage, pd.Timestamp(started).to_pydatetime()))
-        yield pd.DataFrame(closed, columns=["run_id", "stage", "started_at", "ended_at", "seconds"])
 
-    def close(self) -> None:
-        pass
+def _timestamps(micros: list) -> pd.Series:
+    return pd.to_datetime(pd.Series(micros, dtype="Int64"), unit="us")
 
 
-class RunMachine(StatefulProcessor):
+def _stage_clock(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps the open stage of a run and emits it once it is closed."""
+    stage, started = state.get if state.exists else (None, None)
+    closed = []
+    for event in _in_order(rows):
+        at = _micros(event.ts)
+        if started is not None:
+            closed.append((key[0], stage, started, at, (at - started) / 1e6))
+        stage, started = (event.stage, at) if event.event == "stage_start" else (None, None)
+    if started is not None:
+        state.update((stage, started))
+    elif state.exists:
+        state.remove()
+    if not closed:
+        return
+    out = pd.DataFrame(closed, columns=["run_id", "stage", "started_at", "ended_at", "seconds"])
+    yield out.assign(started_at=_timestamps(out.started_at), ended_at=_timestamps(out.ended_at))
+
+
+def _run_machine(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keeps the status of a run; emits a row when it changes. Final states do not move."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status STRING", ttlDurationMs=DAY_MS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status = self.status.get()[0] if self.status.exists() else PENDING
-        changes = []
-        for event in _in_order(rows).itertuples():
-            if status not in (SUCCEEDED, RUN_FAILED) and event.status and event.status != status:
-                status = event.status
-                changes.append((key[0], status, event.ts))
-        self.status.update((status,))
+    status = state.get[0] if state.exists else PENDING
+    changes = []
+    for event in _in_order(rows):
+        if status not in (SUCCEEDED, RUN_FAILED) and event.status != status:
+            status = event.status
+            changes.append((key[0], status, event.ts))
+    state.update((status,))
+    if changes:
         yield pd.DataFrame(changes, columns=["run_id", "status", "updated_at"])
 
-    def close(self) -> None:
-        pass
-
 
-class CircuitBreaker(StatefulProcessor):
+def _circuit_breaker(failure_threshold: int, circuit_timeout: float) -> Fold:
     """Keeps failure streak, state and opening time of a key; emits the state after every call."""
+    timeout_us = int(circuit_timeout * 1_000_000)
 
-    def __init__(self, failure_threshold: int, circuit_timeout: float) -> None:
-        self.failure_threshold = failure_threshold
-        self.circuit_timeout = circuit_timeout
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.circuit = handle.getValueState(
-            "circuit", "streak BIGINT, state STRING, opened TIMESTAMP", ttlDurationMs=DAY_MS
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        streak, state, opened = self.circuit.get() if self.circuit.exists() else (0, ACTIVE, None)
+    def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak, circuit, opened = state.get if state.exists else (0, ACTIVE, None)
         out = []
-        for call in _in_order(rows).itertuples():
+        for call in _in_order(rows):
+            at = _micros(call.ts)
             if call.ok:
-                recovered = state != CIRCUIT_OPEN or (
-                    (call.ts - pd.Timestamp(opened)).total_seconds() >= self.circuit_timeout
-                )
-                streak, state = 0, ACTIVE if recovered else CIRCUIT_OPEN
+                still_open = circuit == CIRCUIT_OPEN and at - opened < timeout_us
+                streak, circuit = 0, CIRCUIT_OPEN if still_open else ACTIVE
             else:
                 streak += 1
-                state = CIRCUIT_OPEN if streak >= self.failure_threshold else FAILED
-                opened = call.ts if state == CIRCUIT_OPEN else opened
-            out.append((*key, call.seq, call.ts, streak, state, opened if state == CIRCUIT_OPEN else None))
-        self.circuit.update((int(streak), state, None if opened is None else pd.Timestamp(opened).to_pydatetime()))
+                circuit = CIRCUIT_OPEN if streak >= failure_threshold else FAILED
+                opened = at if circuit == CIRCUIT_OPEN else opened
+            out.append((*key, call.seq, call.ts, streak, circuit, opened if circuit == CIRCUIT_OPEN else None))
+        state.update((streak, circuit, opened))
         frame = pd.DataFrame(
             out, columns=["provider", "key_id", "seq", "ts", "consecutive_failures", "state", "circuit_open_time"]
         )
-        frame["circuit_open_time"] = pd.to_datetime(frame["circuit_open_time"])
-        yield frame
+        yield frame.assign(circuit_open_time=_timestamps(list(frame.circuit_open_time)))
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
-def _keyed(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime")
+def _keyed(df: DataFrame, keys: list[str], fold: Fold, rows: str, state: str) -> DataFrame:
+    return df.groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def stage_stream(progress: DataFrame) -> DataFrame:
     """Closed stages with their seconds. ``progress``: a stream of run_id, ts, seq, event, stage."""
     marks = progress.where(progress.event.isin(*STAGE_BOUNDARIES)).select("run_id", "ts", "seq", "event", "stage")
-    return _keyed(marks, ["run_id"], StageClock(), STAGE_ROWS)
+    return _keyed(marks, ["run_id"], _stage_clock, STAGE_ROWS, STAGE_STATE)
 
 
 def run_state_stream(events: DataFrame) -> DataFrame:
     """Status changes of runs. ``events``: a stream of run_id, ts, seq, message."""
     marked = events.select("run_id", "ts", "seq", run_status().alias("status")).where("status IS NOT NULL")
-    return _keyed(marked, ["run_id"], RunMachine(), STATUS_ROWS)
+    return _keyed(marked, ["run_id"], _run_machine, STATUS_ROWS, STATUS_STATE)
 
 
 def circuit_stream(
     calls: DataFrame, failure_threshold: int = FAILURE_THRESHOLD, circuit_timeout: float = CIRCUIT_TIMEOUT
 ) -> DataFrame:
     """Circuit state after every call. ``calls``: a stream of provider, key_id, ts, seq, status_code."""
-    from ..operators.telemetry import succeeded
-
     marked = calls.select("provider", "key_id", "ts", "seq", succeeded().alias("ok"))
-    return _keyed(marked, ["provider", "key_id"], CircuitBreaker(failure_threshold, circuit_timeout), CIRCUIT_ROWS)
+    fold = _circuit_breaker(failure_threshold, circuit_timeout)
+    return _keyed(marked, ["provider", "key_id"], fold, CIRCUIT_ROWS, CIRCUIT_STATE)
