@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col, or_empty, slug, strip, url_slug
+from .text import col, collapse, or_empty, slug, url_slug
 
 # Fixed values of the id formats.
 NODE_ID_MAX = 64
@@ -24,7 +24,7 @@ def section_id(topic: Column | str, chapter: Column | str, subchapter: Column |
 
 def content_hash(text: Column | str) -> Column:
     """Hash that ignores whitespace differences."""
-    return F.substring(F.md5(F.regexp_replace(strip(text), f"{WS}+", " ")), 1, 12)
+    return F.substring(F.md5(collapse(text)), 1, 12)
 
 
 def content_hash_full(text: Column | str) -> Column:

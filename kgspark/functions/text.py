@@ -17,6 +17,11 @@ CJK_KEYWORD_CHARS = r"\x{4E00}-\x{9FA5}"
 EMPTY_RELATION_TYPE = "RELATED"
 
 WS = f"[{WS_CHARS}]"
+WS_TEXT = "".join(
+    map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F])
+) + "\u205f\u3000"
+# Whitespace that is not already a single space.
+WS_UNEVEN = f"{WS}{{2,}}|[{WS_CHARS.replace('-' + chr(92) + 'x{20}', '-' + chr(92) + 'x{1F}')}]"
 
 
 def col(c: Column | str) -> Column:
@@ -29,12 +34,12 @@ def or_empty(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_TEXT))
 
 
 def collapse(c: Column | str) -> Column:
     """Strip, then turn every whitespace run into one space."""
-    return F.regexp_replace(strip(c), f"{WS}+", " ")
+    return F.regexp_replace(strip(c), WS_UNEVEN, " ")
 
 
 def is_blank(c: Column | str) -> Column:
@@ -80,9 +85,8 @@ def url_slug(c: Column | str) -> Column:
 
 
 def canonical_keyword(c: Column | str) -> Column:
-    """Comparison form of a keyword: lower case, separators and foreign characters become single spaces."""
-    spaced = F.regexp_replace(F.lower(strip(c)), r"[\-_/]+", " ")
-    return collapse(F.regexp_replace(spaced, f"[^0-9a-z{CJK_KEYWORD_CHARS}]+", " "))
+    """Comparison form of a keyword: lower case; every run of other than digits, a-z and CJK becomes one space."""
+    return F.btrim(F.regexp_replace(F.lower(col(c)), f"[^0-9a-z{CJK_KEYWORD_CHARS}]+", " "), F.lit(" "))
 
 
 def sanitize_rel_type(c: Column | str) -> Column:
@@ -106,6 +110,31 @@ def truncate_text(c: Column | str, n: int) -> Column:
     return F.substring(col(c), 1, n)
 
 
+def scaled_round(x: Column | str, digits: int) -> Column:
+    """``x`` (not negative) times 10^digits, rounded half to even on its exact binary value, as a long.
+
+    ``bround`` and ``format_string`` round the shortest decimal form instead, which differs on near ties such as 0.945.
+    The double is split in two so that its product with 2·10^digits is exact, and compared with the odd tie value.
+    """
+    value, scale = col(x), float(10**digits)
+    below = F.floor(value * scale)
+    tie = (2 * below + 1).cast("double")
+    shifted = value * 134217729.0
+    high = shifted - (shifted - value)
+    excess = (high * (2 * scale) - tie) + (value - high) * (2 * scale)
+    return F.when(excess > 0, below + 1).when(excess < 0, below).otherwise(below + F.pmod(below, F.lit(2)))
+
+
+def exact_round(x: Column | str, digits: int) -> Column:
+    return scaled_round(x, digits) / float(10**digits)
+
+
+def two_decimals(x: Column | str) -> Column:
+    """``x`` (not negative) as text with two decimals."""
+    n = scaled_round(x, 2)
+    return F.format_string("%d.%02d", F.floor(n / 100), F.pmod(n, F.lit(100)))
+
+
 def between_markers(c: Column | str, start: str, stop: str) -> Column:
     """Text after the first ``start`` up to the next ``stop``; NULL when ``start`` does not occur."""
     rest = F.get(F.split(col(c), F.lit(_quote(start)), 2), F.lit(1))

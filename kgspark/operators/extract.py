@@ -53,6 +53,12 @@ class Parsed:
     rejects: DataFrame
 
 
+def _once(df: DataFrame, keep: list[str], **values: Column) -> DataFrame:
+    """Add expensive values through a one-element generator, which keeps the optimizer from repeating them per use."""
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select(*keep, F.explode(F.array(row)).alias("_row")).select(*keep, "_row.*")
+
+
 def _bullets(outputs: DataFrame, heading: str, keep: list[str]) -> DataFrame:
     """One row per ``- …`` line of the block below ``heading``: ``pos`` and the text after the dash."""
     block = t.between_markers("raw", heading, "###")
@@ -182,11 +188,9 @@ def extract_outline(outputs: DataFrame) -> Parsed:
     fenced = F.regexp_extract(text, f"(?s)```{t.WS}*(\\{{.*?\\}}){t.WS}*```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     candidate = F.coalesce(F.nullif(fenced_json, F.lit("")), F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))
-    parsed = outputs.select(
-        *keep,
-        candidate.alias("_json"),
-        F.from_json(candidate, OUTLINE_JSON, {"columnNameOfCorruptRecord": "_bad"}).alias("_doc"),
-    )
+    found = _once(outputs, keep, _json=candidate)
+    document = F.from_json("_json", OUTLINE_JSON, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = _once(found, [*keep, "_json"], _doc=document)
     chapters = F.transform(
         F.col("_doc.chapters"),
         lambda c: F.struct(
@@ -200,7 +204,8 @@ def extract_outline(outputs: DataFrame) -> Parsed:
             ).alias("subchapters"),
         ),
     )
-    checked = parsed.withColumn("_chapters", chapters).withColumn("_fault", _outline_fault())
+    trimmed = _once(parsed, [*keep, "_json", "_doc"], _chapters=chapters)
+    checked = _once(trimmed, [*keep, "_chapters"], _fault=_outline_fault())
     rows = (
         checked.where("_fault IS NULL")
         .select(*keep, F.posexplode("_chapters").alias("chapter_pos", "_ch"))

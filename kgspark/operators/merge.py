@@ -184,7 +184,7 @@ def merge_stats(nodes: DataFrame, edges: DataFrame, sections: DataFrame, book: B
 
     def ratio(before: str, after: str) -> Column:
         share = (F.col(before) - F.col(after)) / F.nullif(F.col(before), F.lit(0)).cast("double")
-        return F.bround(F.coalesce(share, F.lit(0.0)), 3)
+        return t.exact_round(F.coalesce(share, F.lit(0.0)), 3)
 
     return counts.withColumn("node_dedup_ratio", ratio("original_nodes", "merged_nodes")).withColumn(
         "edge_dedup_ratio", ratio("original_edges", "merged_edges")

@@ -14,10 +14,10 @@ UNKNOWN_RELATION = "UNKNOWN"
 SUBCHAPTER_WEIGHT, KEYWORD_WEIGHT, CONNECTIVITY_WEIGHT, RICHNESS_WEIGHT = 0.4, 0.3, 0.2, 0.1
 QUALITY_CONNECTIVITY, QUALITY_RICHNESS, QUALITY_COVERAGE = 0.3, 0.3, 0.4
 REPORT = (
-    "知识图谱评估结果:\n- 节点数量: %d\n- 关系数量: %d\n- 连通性得分: %.2f\n- 关系丰富度: %.2f\n"
-    "- 知识覆盖度: %.2f\n- 总体质量分数: %.2f"
+    "知识图谱评估结果:\n- 节点数量: %d\n- 关系数量: %d\n- 连通性得分: %s\n- 关系丰富度: %s\n"
+    "- 知识覆盖度: %s\n- 总体质量分数: %s"
 )
-BRIEF = "知识图谱构建摘要：\n- 节点数量: %d\n- 边数量: %d\n- 连通性分数: %.2f\n- 覆盖度分数: %.2f"
+BRIEF = "知识图谱构建摘要：\n- 节点数量: %d\n- 边数量: %d\n- 连通性分数: %s\n- 覆盖度分数: %s"
 
 KEY_LENGTH = 4
 
@@ -189,10 +189,10 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, outline: DataFrame, keywo
         REPORT,
         "total_nodes",
         "total_edges",
-        "connectivity_score",
-        "relation_richness",
-        "coverage_score",
-        "quality_score",
+        t.two_decimals("connectivity_score"),
+        t.two_decimals("relation_richness"),
+        t.two_decimals("coverage_score"),
+        t.two_decimals("quality_score"),
     )
     return (
         joined.withColumn("coverage_score", coverage_score())
@@ -203,4 +203,6 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, outline: DataFrame, keywo
 
 def brief_summary() -> Column:
     """Short text over the columns of ``evaluate_graph``."""
-    return F.format_string(BRIEF, "total_nodes", "total_edges", "connectivity_score", "coverage_score")
+    return F.format_string(
+        BRIEF, "total_nodes", "total_edges", t.two_decimals("connectivity_score"), t.two_decimals("coverage_score")
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import clean, extract, identity, quality
 from ..operators.ordering import first_wins
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,12 @@ def _positioned(rows: DataFrame) -> DataFrame:
 
 
 def section_insights(graphs: SectionGraphs, keywords: DataFrame) -> DataFrame:
-    """Quality measures per section. ``keywords``: section_id, keyword."""
-    nodes = graphs.nodes.withColumn("scope", F.col("section_id"))
-    edges = graphs.edges.withColumn("scope", F.col("section_id"))
+    """Quality measures per section. ``keywords``: section_id, keyword.
+
+    The measures read the graph many times, so it is built once and checkpointed.
+    """
+    nodes = cut_lineage(graphs.nodes.withColumn("scope", F.col("section_id")))
+    edges = cut_lineage(graphs.edges.withColumn("scope", F.col("section_id")))
     outline = graphs.sections.select(F.col("section_id").alias("scope"), "chapter", "subchapter")
     measured = quality.evaluate_graph(
         nodes, edges, outline, keywords.select(F.col("section_id").alias("scope"), "keyword")
