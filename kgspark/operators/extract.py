@@ -114,9 +114,11 @@ def extract_edges(outputs: DataFrame) -> DataFrame:
     )
 
 
-def malformed_outputs(outputs: DataFrame) -> DataFrame:
-    """Outputs with a relation line whose arrow stands only after the colon; such an output yields no graph at all."""
-    keep = _context(outputs)
+def output_fault() -> Column:
+    """Why an output (column ``raw``) yields no graph at all, or NULL.
+
+    An output is useless when it is blank or when a relation line has its arrow only after the colon.
+    """
     bad = F.exists(
         F.transform(F.split(t.between_markers("raw", EDGES_HEADING, "###"), "\n"), t.strip),
         lambda line: F.startswith(line, F.lit("- "))
@@ -124,9 +126,12 @@ def malformed_outputs(outputs: DataFrame) -> DataFrame:
         & F.contains(line, F.lit("->"))
         & ~F.contains(t.before_first(F.substr(line, F.lit(3)), ":"), F.lit("->")),
     )
-    empty = t.is_blank("raw")
-    reason = F.when(empty, "empty_output").when(bad, "bad_relation_line")
-    return outputs.select(*keep, reason.alias("reason")).where("reason IS NOT NULL")
+    return F.when(t.is_blank("raw"), "empty_output").when(bad, "bad_relation_line")
+
+
+def malformed_outputs(outputs: DataFrame) -> DataFrame:
+    """The outputs that yield no graph, with the ``reason``."""
+    return outputs.select(*_context(outputs), output_fault().alias("reason")).where("reason IS NOT NULL")
 
 
 def extract_hierarchy(outputs: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ CHUNK_ENTITIES = 30
 CHUNK_PATHS = 20
 BOOK_PREFIX = "book:"
 
+PUSHED_IDS = 1000
+
 TRAIL = "center STRING, length INT, rids ARRAY<STRING>, node_ids ARRAY<STRING>"
 
 
@@ -213,6 +215,13 @@ def all_trails(edges: DataFrame, centers: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def _touching(edges: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Edges at the given nodes; a short list goes to the file scan, where statistics skip what cannot match."""
+    if len(ids) > PUSHED_IDS:
+        return edges
+    return edges.where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids))
+
+
 def first_trails(edges: DataFrame, centers: Sequence[str], depth: int, limit: int) -> DataFrame:
     """The first ``limit`` trails by length, center and relation ids.
 
@@ -221,13 +230,15 @@ def first_trails(edges: DataFrame, centers: Sequence[str], depth: int, limit: in
     neighbours a hub has.
     """
     spark = edges.sparkSession
-    arcs = _arcs(edges)
     frontier = _start(spark.createDataFrame([(c,) for c in centers], "center STRING"))
+    ends = sorted(set(centers))
     found: list = []
     for _ in range(depth):
         room = limit - len(found)
+        arcs = _arcs(_touching(edges, ends))
         step = _extend(F.broadcast(frontier), arcs).orderBy("center", "rids", "node_ids").limit(room)
         rows = step.collect()
+        ends = sorted({r["node_ids"][-1] for r in rows})
         found += rows
         if not rows or len(found) >= limit:
             break

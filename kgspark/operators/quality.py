@@ -68,8 +68,8 @@ def relation_types(edges: DataFrame) -> DataFrame:
 
 
 def _richness() -> Column:
-    ratio = F.col("total_edges") / F.nullif(F.col("total_nodes"), F.lit(0))
-    return F.coalesce(F.least(F.lit(1.0), ratio), F.lit(0.0))
+    some = F.col("total_nodes") > 0
+    return F.when(some, F.least(F.lit(1.0), F.try_divide("total_edges", "total_nodes"))).otherwise(F.lit(0.0))
 
 
 def relation_richness(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def build_section_graphs(outputs: DataFrame, now: Column, theta_add: float = cle
         "scope", ids.book_scope("topic", "language")
     )
     rejects = extract.malformed_outputs(keyed)
-    usable = keyed.join(rejects.select("seq"), "seq", "left_anti")
+    usable = keyed.where(extract.output_fault().isNull())
     raw_nodes = _positioned(extract.extract_nodes(usable)).withColumns(
         {"created_at": now, "updated_at": now}
     )
@@ -41,11 +41,11 @@ def build_section_graphs(outputs: DataFrame, now: Column, theta_add: float = cle
     nodes, edges = identity.assign_idempotent_ids(
         clean.normalize_nodes(raw_nodes), clean.normalize_edges(raw_edges), ["section_id", "seq_output"]
     )
-    sections = first_wins(keyed, ["section_id"]).select(
-        "section_id", "scope", "topic", "chapter", "subchapter", "raw"
+    hierarchies = extract.extract_hierarchy(
+        keyed.select("seq", "section_id", "scope", "topic", "chapter", "subchapter", "raw")
     )
-    hierarchies = extract.extract_hierarchy(sections)
-    return SectionGraphs(nodes, clean.filter_storage(edges, theta_add), hierarchies, rejects)
+    sections = first_wins(hierarchies, ["section_id"])
+    return SectionGraphs(nodes, clean.filter_storage(edges, theta_add), sections, rejects)
 
 
 def _positioned(rows: DataFrame) -> DataFrame:

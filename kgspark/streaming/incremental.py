@@ -41,7 +41,7 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
 
-def _conformed(df: DataFrame, ddl: str) -> DataFrame:
+def conformed(df: DataFrame, ddl: str) -> DataFrame:
     """``df`` with exactly the stored columns."""
     stored = df.sparkSession.createDataFrame([], ddl).schema
     return df.select(
@@ -72,8 +72,8 @@ def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column,
         return df.withColumn("seq", F.col("seq.seq"))
 
     node_rows = scalar_seq(graphs.nodes.withColumn("scope", ids.section_scope("section_id")))
-    nodes = _conformed(node_rows, schemas.KG_NODES)
-    edges = _conformed(stamp_section_scope(scalar_seq(graphs.edges)), schemas.KG_EDGES)
+    nodes = conformed(node_rows, schemas.KG_NODES)
+    edges = conformed(stamp_section_scope(scalar_seq(graphs.edges)), schemas.KG_EDGES)
     written = upsert_nodes(nodes.limit(0), nodes)
     _write(written, f"{path}/nodes", batch_id)
     _write(upsert_edges(edges.limit(0), edges, written), f"{path}/edges", batch_id)
