@@ -278,19 +278,29 @@ def book_hierarchy(d: Data) -> DataFrame:
     """WITH aged AS (SELECT *, CASE WHEN type IN ('LARGE', 'PROMO') AND score >= 0.5 THEN 1 ELSE 0 END AS age FROM raw_nodes),
         old AS (SELECT * FROM aged WHERE age = 0),
         old_kept AS (SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY seq) = 1),
-        fresh AS (SELECT age, seq, id, name, type FROM old_kept UNION ALL SELECT age, seq, id, name, type FROM aged WHERE age = 1)
-        SELECT seq, id, name, type FROM fresh QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY age, seq) = 1""",
-    "raw_nodes",
+        fresh AS (SELECT age, seq, id, name, type FROM old_kept UNION ALL SELECT age, seq, id, name, type FROM aged WHERE age = 1),
+        grown AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY age, seq) = 1),
+        links AS (SELECT *, CASE WHEN confidence >= 0.6 THEN 0 ELSE 1 END AS age FROM raw_edges),
+        old_links AS (SELECT * FROM links WHERE age = 0 AND source_id IN (SELECT id FROM old_kept) AND target_id IN (SELECT id FROM old_kept)
+                      QUALIFY row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY seq) = 1),
+        new_links AS (SELECT * FROM old_links UNION ALL SELECT * FROM links WHERE age = 1),
+        grown_links AS (SELECT * FROM new_links WHERE source_id IN (SELECT id FROM grown) AND target_id IN (SELECT id FROM grown)
+                        QUALIFY row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY age, seq) = 1)
+        SELECT 'node' AS kind, seq, id AS what, type FROM grown
+        UNION ALL SELECT 'edge', seq, source_id || target_id, type FROM grown_links""",
+    "raw_nodes raw_edges",
 )
 def merge_incremental(d: Data) -> DataFrame:
     """H4: a merged book receives the rest of the sections"""
     nodes, edges = d.view("raw_nodes"), d.view("raw_edges")
-    late = F.col("type").isin("LARGE", "PROMO") & (F.col("score") >= 0.5)
-    book = merge.merge_book(nodes.where(~late), edges, _sections(d), BOOK, "parts")
+    late, weak = F.col("type").isin("LARGE", "PROMO") & (F.col("score") >= 0.5), F.col("confidence") < 0.6
+    book = merge.merge_book(nodes.where(~late), edges.where(~weak), _sections(d), BOOK, "parts")
     grown = merge.merge_incremental(
-        book.nodes, book.edges, nodes.where(late), edges.limit(0), _sections(d), BOOK, "parts"
+        book.nodes, book.edges, nodes.where(late), edges.where(weak), _sections(d), BOOK, "parts"
+    )
+    return grown.nodes.select(F.lit("node").alias("kind"), "seq", F.col("id").alias("what"), "type").unionByName(
+        grown.edges.select(F.lit("edge").alias("kind"), "seq", F.concat("source_id", "target_id").alias("what"), "type")
     )
-    return grown.nodes.select("seq", "id", "name", "type")
 
 
 @query(

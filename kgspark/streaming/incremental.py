@@ -13,9 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions import ids
+from ..operators.clean import drop_dangling
 from ..operators.graph_queries import Graph
+from ..operators.merge import Book, merge_book
 from ..operators.ordering import last_wins
-from ..operators.store import stamp_section_scope, upsert_edges, upsert_nodes
+from ..operators.store import EDGE_KEY, NODE_KEY, stamp_section_scope
 from ..plans.graph_build import build_section_graphs
 from ..session import cut_lineage
 
@@ -74,21 +76,23 @@ def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column,
     node_rows = scalar_seq(graphs.nodes.withColumn("scope", ids.section_scope("section_id")))
     nodes = conformed(node_rows, schemas.KG_NODES)
     edges = conformed(stamp_section_scope(scalar_seq(graphs.edges)), schemas.KG_EDGES)
-    written = upsert_nodes(nodes.limit(0), nodes)
-    _write(written, f"{path}/nodes", batch_id)
-    _write(upsert_edges(edges.limit(0), edges, written), f"{path}/edges", batch_id)
+    _write(last_wins(nodes, NODE_KEY), f"{path}/nodes", batch_id)
+    _write(last_wins(drop_dangling(edges, nodes, ["scope"]), EDGE_KEY), f"{path}/edges", batch_id)
     _write(fresh.select("section_id", "content_hash", "chapter"), f"{path}/sections", batch_id)
 
 
-def current_graph(spark: SparkSession, path: str) -> Graph:
-    """The graph of the newest version of every section."""
-    versions = (
+def _current_sections(spark: SparkSession, path: str) -> DataFrame:
+    return (
         _read(spark, f"{path}/sections", SECTION_VERSIONS)
         .groupBy("section_id")
-        .agg(F.max("batch").alias("batch"))
-        .select(ids.section_scope("section_id").alias("scope"), "batch")
+        .agg(F.max("batch").alias("batch"), F.max_by("chapter", "batch").alias("chapter"))
     )
 
+
+def current_graph(spark: SparkSession, path: str) -> Graph:
+    """The graph of the newest version of every section."""
+    versions = _current_sections(spark, path).select(ids.section_scope("section_id").alias("scope"), "batch")
+
     def newest(name: str, ddl: str) -> DataFrame:
         rows = _read(spark, f"{path}/{name}", ddl + ", batch BIGINT")
         return rows.join(versions, ["scope", "batch"], "left_semi").drop("batch")
@@ -96,6 +100,12 @@ def current_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(newest("nodes", schemas.KG_NODES), newest("edges", schemas.KG_EDGES))
 
 
+def current_book(spark: SparkSession, path: str, book_id: str, topic: str) -> Book:
+    """The book graph merged from the newest version of every section."""
+    graph = current_graph(spark, path)
+    return merge_book(graph.nodes, graph.edges, _current_sections(spark, path), book_id, topic)
+
+
 def incremental_graph(outputs: DataFrame, path: str, checkpoint: str, now: Column, **trigger) -> StreamingQuery:
     """Keep the store at ``path`` up to date with a stream of section outputs (one checkpoint per store)."""
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.telemetry import (
@@ -27,13 +28,13 @@ from ..operators.telemetry import (
     succeeded,
 )
 
-STAGE_ROWS = "run_id STRING, stage STRING, started_at TIMESTAMP, ended_at TIMESTAMP, seconds DOUBLE"
+# Times travel as microseconds (`us`), so that no time zone enters the Python side.
+STAGE_ROWS = "run_id STRING, stage STRING, started_us BIGINT, ended_us BIGINT"
 STAGE_STATE = "stage STRING, started_us BIGINT"
-STATUS_ROWS = "run_id STRING, status STRING, updated_at TIMESTAMP"
+STATUS_ROWS = "run_id STRING, status STRING, updated_us BIGINT"
 STATUS_STATE = "status STRING"
 CIRCUIT_ROWS = (
-    "provider STRING, key_id STRING, seq BIGINT, ts TIMESTAMP, consecutive_failures BIGINT, state STRING, "
-    "circuit_open_time TIMESTAMP"
+    "provider STRING, key_id STRING, seq BIGINT, us BIGINT, consecutive_failures BIGINT, state STRING, opened_us BIGINT"
 )
 CIRCUIT_STATE = "streak BIGINT, state STRING, opened_us BIGINT"
 
@@ -41,15 +42,7 @@ Fold = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFra
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable").itertuples()
-
-
-def _micros(ts: pd.Timestamp) -> int:
-    return ts.value // 1000
-
-
-def _timestamps(micros: list) -> pd.Series:
-    return pd.to_datetime(pd.Series(micros, dtype="Int64"), unit="us")
+    return pd.concat(list(batches), ignore_index=True).sort_values(["us", "seq"], kind="stable").itertuples()
 
 
 def _stage_clock(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,18 +50,15 @@ def _stage_clock(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) ->
     stage, started = state.get if state.exists else (None, None)
     closed = []
     for event in _in_order(rows):
-        at = _micros(event.ts)
         if started is not None:
-            closed.append((key[0], stage, started, at, (at - started) / 1e6))
-        stage, started = (event.stage, at) if event.event == "stage_start" else (None, None)
+            closed.append((key[0], stage, started, event.us))
+        stage, started = (event.stage, event.us) if event.event == "stage_start" else (None, None)
     if started is not None:
         state.update((stage, started))
     elif state.exists:
         state.remove()
-    if not closed:
-        return
-    out = pd.DataFrame(closed, columns=["run_id", "stage", "started_at", "ended_at", "seconds"])
-    yield out.assign(started_at=_timestamps(out.started_at), ended_at=_timestamps(out.ended_at))
+    if closed:
+        yield pd.DataFrame(closed, columns=["run_id", "stage", "started_us", "ended_us"])
 
 
 def _run_machine(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,10 +68,10 @@ def _run_machine(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) ->
     for event in _in_order(rows):
         if status not in (SUCCEEDED, RUN_FAILED) and event.status != status:
             status = event.status
-            changes.append((key[0], status, event.ts))
+            changes.append((key[0], status, event.us))
     state.update((status,))
     if changes:
-        yield pd.DataFrame(changes, columns=["run_id", "status", "updated_at"])
+        yield pd.DataFrame(changes, columns=["run_id", "status", "updated_us"])
 
 
 def _circuit_breaker(failure_threshold: int, circuit_timeout: float) -> Fold:
@@ -89,41 +79,48 @@ def _circuit_breaker(failure_threshold: int, circuit_timeout: float) -> Fold:
     timeout_us = int(circuit_timeout * 1_000_000)
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, circuit, opened = state.get if state.exists else (0, ACTIVE, None)
+        streak, circuit, opened = state.get if state.exists else (0, ACTIVE, 0)
         out = []
         for call in _in_order(rows):
-            at = _micros(call.ts)
             if call.ok:
-                still_open = circuit == CIRCUIT_OPEN and at - opened < timeout_us
+                still_open = circuit == CIRCUIT_OPEN and call.us - opened < timeout_us
                 streak, circuit = 0, CIRCUIT_OPEN if still_open else ACTIVE
             else:
                 streak += 1
                 circuit = CIRCUIT_OPEN if streak >= failure_threshold else FAILED
-                opened = at if circuit == CIRCUIT_OPEN else opened
-            out.append((*key, call.seq, call.ts, streak, circuit, opened if circuit == CIRCUIT_OPEN else None))
+                opened = call.us if circuit == CIRCUIT_OPEN else opened
+            out.append((*key, call.seq, call.us, streak, circuit, opened))
         state.update((streak, circuit, opened))
-        frame = pd.DataFrame(
-            out, columns=["provider", "key_id", "seq", "ts", "consecutive_failures", "state", "circuit_open_time"]
+        yield pd.DataFrame(
+            out, columns=["provider", "key_id", "seq", "us", "consecutive_failures", "state", "opened_us"]
         )
-        yield frame.assign(circuit_open_time=_timestamps(list(frame.circuit_open_time)))
 
     return fold
 
 
 def _keyed(df: DataFrame, keys: list[str], fold: Fold, rows: str, state: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
+    timed = df.withColumn("us", F.unix_micros("ts")).drop("ts")
+    return timed.groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def stage_stream(progress: DataFrame) -> DataFrame:
     """Closed stages with their seconds. ``progress``: a stream of run_id, ts, seq, event, stage."""
     marks = progress.where(progress.event.isin(*STAGE_BOUNDARIES)).select("run_id", "ts", "seq", "event", "stage")
-    return _keyed(marks, ["run_id"], _stage_clock, STAGE_ROWS, STAGE_STATE)
+    return _keyed(marks, ["run_id"], _stage_clock, STAGE_ROWS, STAGE_STATE).select(
+        "run_id",
+        "stage",
+        F.timestamp_micros("started_us").alias("started_at"),
+        F.timestamp_micros("ended_us").alias("ended_at"),
+        ((F.col("ended_us") - F.col("started_us")) / 1e6).alias("seconds"),
+    )
 
 
 def run_state_stream(events: DataFrame) -> DataFrame:
     """Status changes of runs. ``events``: a stream of run_id, ts, seq, message."""
     marked = events.select("run_id", "ts", "seq", run_status().alias("status")).where("status IS NOT NULL")
-    return _keyed(marked, ["run_id"], _run_machine, STATUS_ROWS, STATUS_STATE)
+    return _keyed(marked, ["run_id"], _run_machine, STATUS_ROWS, STATUS_STATE).select(
+        "run_id", "status", F.timestamp_micros("updated_us").alias("updated_at")
+    )
 
 
 def circuit_stream(
@@ -132,4 +129,12 @@ def circuit_stream(
     """Circuit state after every call. ``calls``: a stream of provider, key_id, ts, seq, status_code."""
     marked = calls.select("provider", "key_id", "ts", "seq", succeeded().alias("ok"))
     fold = _circuit_breaker(failure_threshold, circuit_timeout)
-    return _keyed(marked, ["provider", "key_id"], fold, CIRCUIT_ROWS, CIRCUIT_STATE)
+    return _keyed(marked, ["provider", "key_id"], fold, CIRCUIT_ROWS, CIRCUIT_STATE).select(
+        "provider",
+        "key_id",
+        "seq",
+        F.timestamp_micros("us").alias("ts"),
+        "consecutive_failures",
+        "state",
+        F.when(F.col("state") == CIRCUIT_OPEN, F.timestamp_micros("opened_us")).alias("circuit_open_time"),
+    )

@@ -93,4 +93,6 @@ def test_incremental_store(spark, tmp_path):
     assert add(0, one) == (3, 2)
     assert add(0, one) == (3, 2), "a repeated batch changes nothing"
     assert add(1, one, _output(2, "S2", "xy", ["xy"])) == (5, 3), "an unchanged section is skipped"
-    assert add(2, _output(3, "S1", "ab", [])) == (4, 1), "a new version replaces the old one"
+    assert add(2, _output(3, "S1", "xy", [])) == (4, 1), "a new version replaces the old one"
+    book = incremental.current_book(spark, path, "book:t", "T")
+    assert (book.nodes.count(), book.edges.count()) == (2, 1), "equal concepts of two sections are one"
