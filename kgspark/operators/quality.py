@@ -19,7 +19,9 @@ REPORT = (
 )
 BRIEF = "知识图谱构建摘要：\n- 节点数量: %d\n- 边数量: %d\n- 连通性分数: %s\n- 覆盖度分数: %s"
 
+# A keyword is looked up by its first KEY_LENGTH characters, or as a whole where more than KEY_FANOUT keywords share them.
 KEY_LENGTH = 4
+KEY_FANOUT = 16
 
 
 def _zero(name: str, kind: str) -> Column:
@@ -99,12 +101,20 @@ def subchapter_coverage(nodes: DataFrame, outline: DataFrame) -> DataFrame:
 def keyword_hits(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """Distinct (scope, keyword) pairs where the keyword occurs in a name, description or alias, ignoring case.
 
-    The containment test is an equi join: the first characters of a keyword (at most ``KEY_LENGTH``) must occur
-    somewhere in the text, so texts are cut into pieces of the lengths in use and joined on the piece; the full
-    containment test follows on the few candidates. Equal texts of a scope are examined once.
+    The containment test is an equi join: the first characters of a keyword must occur somewhere in the text, so texts
+    are cut into pieces of the lengths in use and joined on the piece; the full containment test follows on the few
+    candidates. Keywords with a crowded beginning are joined on their whole text instead, so a piece of text never
+    meets more than ``KEY_FANOUT`` keywords that it does not contain. Equal texts of a scope are examined once.
     """
-    keys = keywords.select("scope", "keyword", F.lower("keyword").alias("_needle")).where("_needle <> ''").distinct()
-    keys = keys.withColumn("_piece", F.substring("_needle", 1, KEY_LENGTH))
+    needles = keywords.select("scope", "keyword", F.lower("keyword").alias("_needle")).where("_needle <> ''").distinct()
+    needles = needles.withColumn("_start", F.substring("_needle", 1, KEY_LENGTH))
+    crowds = needles.groupBy("scope", "_start").agg(F.count(F.lit(1)).alias("_crowd"))
+    keys = needles.join(crowds, ["scope", "_start"]).select(
+        "scope",
+        "keyword",
+        "_needle",
+        F.when(F.col("_crowd") <= KEY_FANOUT, F.col("_start")).otherwise(F.col("_needle")).alias("_piece"),
+    )
     lengths = keys.agg(F.sort_array(F.collect_set(F.length("_piece")))).scalar()
     texts = (
         nodes.select(

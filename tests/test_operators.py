@@ -296,7 +296,9 @@ def test_evaluation_of_an_empty_side(spark):
     assert "- 节点数量: 2" in s["kg_summary"]
 
 
-def test_keyword_hits_equal_containment(spark):
+@pytest.mark.parametrize("fanout", [0, 2, 1000])
+def test_keyword_hits_equal_containment(spark, monkeypatch, fanout):
+    monkeypatch.setattr(quality, "KEY_FANOUT", fanout)
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abC 机") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
     texts = ["".join(rnd.choice("aBc 机") for _ in range(30)) for _ in range(25)]
