@@ -7,9 +7,11 @@ run the stream with the RocksDB state store provider.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +30,9 @@ from ..operators.telemetry import (
     succeeded,
 )
 
+# The folds are sent to the executors whole, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Times travel as microseconds (`us`), so that no time zone enters the Python side.
 STAGE_ROWS = "run_id STRING, stage STRING, started_us BIGINT, ended_us BIGINT"
 STAGE_STATE = "stage STRING, started_us BIGINT"
