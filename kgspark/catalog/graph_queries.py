@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
 from ..operators import clean, components, graph_queries, identity, merge, ordering, quality, store
 from .registry import Data, d_collapse, d_concept_id, d_node_id, d_rid, joined, query, rounded
 

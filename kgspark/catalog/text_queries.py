@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, status
 from ..functions import text as t
 from ..operators import extract
-from .registry import Data, d_collapse, d_concept_id, d_node_id, d_rid, d_slug, d_strip, d_url_slug, joined, query, rounded
+from .registry import Data, d_collapse, d_concept_id, d_node_id, d_rid, d_slug, d_strip, d_url_slug, joined, query
 
 def now() -> Column:
     return F.lit("2024-01-01 00:00:00").cast("timestamp")
