@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -145,14 +146,17 @@ class Encoder:
         """The tokens of a sequence of symbols: always the pair of least rank, the leftmost first."""
         ranks = self.ranks
         if len(symbols) <= 32:
-            parts = list(symbols)
-            while len(parts) > 1:
-                found = [ranks.get(pair, 1 << 30) for pair in zip(parts, parts[1:])]
-                rank = min(found)
-                if rank == 1 << 30:
-                    break
+            parts, never = list(symbols), len(ranks)
+            found = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+            while found and (rank := min(found)) < never:
                 at = found.index(rank)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                made = parts[at] + parts.pop(at + 1)
+                parts[at] = made
+                del found[at]
+                if at:
+                    found[at - 1] = ranks.get((parts[at - 1], made), never)
+                if at < len(found):
+                    found[at] = ranks.get((made, parts[at + 1]), never)
             return parts
         parts, n = list(symbols), len(symbols)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -254,7 +258,7 @@ class Encoder:
             piece = text[start:stop]
             start = stop
             runs = _SPACE.split(piece) if _ODD_SPACE.search(piece) else piece.split()
-            if max(map(len, runs), default=0) <= RUN:
+            if max(map(len, runs), default=0) <= RUN:  # nearly always
                 yield np.frombuffer(b"".join(map(self.runs.__getitem__, runs)), dtype="<u4")
                 continue
             for run in runs:
@@ -269,16 +273,21 @@ class Encoder:
 
 
 class _Runs(dict):
-    """Remembers the ids of runs; forgets all once it is full."""
+    """Remembers the ids of runs. Once it is full it starts anew and keeps the last generation to fall back on, so that
+    frequent runs stay known and memory is bounded."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder = encoder
+        self.last: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
         if len(self) >= CACHED:
+            self.last = dict(self)
             self.clear()
-        ids = np.array(self.encoder.encode_run(run), dtype="<u4").tobytes()
+        ids = self.last.get(run)
+        if ids is None:
+            ids = struct.pack(f"<{len(found := self.encoder.encode_run(run))}I", *found)
         self[run] = ids
         return ids
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality, toxicity
+from . import bpe, exact_topk, multiprobe, ngram_join, packing, quality, toxicity
 from .support import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query()
+def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(multiprobe.clean(table(spark, sf_dir, "embeddings")))
+
+
 @query()
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -48,6 +53,25 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    ), r AS (
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """
+)
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(exact_topk.scaled(table(spark, sf_dir, "embeddings")))
+
+
 def rated_categories(labels: DataFrame) -> DataFrame:
     """The two judgements that ``labels`` carries as a chain: faulty writing first, toxic content after it."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("faulty"), "toxic")
