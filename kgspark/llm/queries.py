@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, licenses, multiprobe, ngram_join, packing, quality, toxicity, url_filter
+from . import bpe, exact_topk, licenses, multiprobe, ngram_join, packing, page_text, quality, toxicity, url_filter
 from .support import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -91,6 +91,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, rated_categories(table(spark, sf_dir, "labels")), CATEGORIES))
 
 
+@query()
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
