@@ -7,9 +7,10 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
+from kgspark import catalog
 from kgspark.catalog.fixtures import TABLES
 
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = catalog.queries(), catalog.checks()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,8 @@ def _comparable(rows, columns):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
