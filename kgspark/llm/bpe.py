@@ -31,7 +31,7 @@ from .support import map_columns
 STEP = 256  # symbols a word stream takes in before it looks for stable tokens
 PIECE = 1 << 16  # characters of a text that are normalised and split at a time
 RUN = 512  # longer runs without white space are streamed
-CACHED = 400_000  # runs whose ids a worker remembers
+CACHED = 250_000  # runs and words whose ids a worker remembers, in each of two generations
 
 _SPACE = regex.compile(r"\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
@@ -137,8 +137,8 @@ class Encoder:
         self.byte_level = (data.get("decoder") or {}).get("type") == "ByteLevel"
         self.special = dict(self.text.special)
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        self.runs: dict[str, bytes] = _Runs(self)
-        self.words: dict[str, list[int]] = {}
+        self.words = _Known(self._word)
+        self.runs = _Known(self._run)
 
     # Words
 
@@ -199,17 +199,16 @@ class Encoder:
     def symbols(word: str) -> str:
         return word.encode().decode("latin-1").translate(_TO_ALPHABET)
 
-    def encode_run(self, run: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        ids = self.finish(list(self.symbols(word)))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: str) -> bytes:
         """Ids of a run without white space."""
-        ids: list[int] = []
-        for word in self.pretoken.findall(self.normalise(run)):
-            known = self.words.get(word)
-            if known is None:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                known = self.words[word] = self.finish(list(self.symbols(word)))
-            ids += known
-        return ids
+        if len(run) > RUN:
+            raise _Long
+        words = self.pretoken.findall(self.normalise(run))
+        return self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
     def stream_run(self, run: str) -> Iterator[list[int]]:
         """Ids of a long run, in parts: an open word is carried from piece to piece."""
@@ -258,9 +257,11 @@ class Encoder:
             piece = text[start:stop]
             start = stop
             runs = _SPACE.split(piece) if _ODD_SPACE.search(piece) else piece.split()
-            if max(map(len, runs), default=0) <= RUN:  # nearly always
+            try:
                 yield np.frombuffer(b"".join(map(self.runs.__getitem__, runs)), dtype="<u4")
                 continue
+            except _Long:
+                pass
             for run in runs:
                 if len(run) <= RUN:
                     yield np.frombuffer(self.runs[run], dtype="<u4")
@@ -272,26 +273,30 @@ class Encoder:
         return Decoder(self)
 
 
-class _Runs(dict):
-    """Remembers the ids of runs. Once it is full it starts anew and keeps the last generation to fall back on, so that
-    frequent runs stay known and memory is bounded."""
+class _Known(dict):
+    """Remembers the ids of strings. Once it is full it starts anew and keeps the last generation to fall back on, so
+    that frequent strings stay known and memory is bounded."""
 
-    def __init__(self, encoder: Encoder) -> None:
+    def __init__(self, work) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.work = work
         self.last: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHED:
             self.last = dict(self)
             self.clear()
-        ids = self.last.get(run)
+        ids = self.last.get(key)
         if ids is None:
-            ids = struct.pack(f"<{len(found := self.encoder.encode_run(run))}I", *found)
-        self[run] = ids
+            ids = self.work(key)
+        self[key] = ids
         return ids
 
 
+class _Long(Exception):
+    """A run that is to be streamed."""
+
+
 class Decoder:
     """Ids to text, part by part. Without a decoder in the tokenizer file, tokens are joined by a space."""
 

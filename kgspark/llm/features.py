@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .support import map_columns
 
 SLOTS = 1 << 18
-CACHED = 300_000
+CACHED = 150_000
 FIT_ROWS = 4000  # the most labelled rows a model is fitted on
 MOST_FEATURES = 1024
 LEAST_Z = 5.0  # a feature must tell the classes apart by so many standard errors

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, scratch_path
 
+SLICE_ROWS = 256
+
 __all__ = ["cut_lineage", "keep_rows", "map_columns", "scratch_path", "ship_package", "table"]
 
 
@@ -37,6 +39,13 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(made)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts are Python objects at a time; at least one slice, if an empty one."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_columns(
     df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable], added: str, keep: Sequence[str]
 ) -> DataFrame:
@@ -52,7 +61,7 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in _small(batches):
             result, rows = work(*(batch.column(c).to_pylist() for c in inputs)), None
             if isinstance(result, tuple):
                 result, rows = result
@@ -70,7 +79,7 @@ def keep_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in _small(batches):
             yield batch.filter(pa.array(work(*(batch.column(c).to_pylist() for c in inputs)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
