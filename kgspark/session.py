@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints of finished rounds go once nothing refers to them, so that loops need constant storage.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
