@@ -73,11 +73,11 @@ def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column,
     def scalar_seq(df: DataFrame) -> DataFrame:
         return df.withColumn("seq", F.col("seq.seq"))
 
-    node_rows = scalar_seq(graphs.nodes.withColumn("scope", ids.section_scope("section_id")))
-    nodes = conformed(node_rows, schemas.KG_NODES)
-    edges = conformed(stamp_section_scope(scalar_seq(graphs.edges)), schemas.KG_EDGES)
-    _write(last_wins(nodes, NODE_KEY), f"{path}/nodes", batch_id)
-    _write(last_wins(drop_dangling(edges, nodes, ["scope"]), EDGE_KEY), f"{path}/edges", batch_id)
+    # The last line wins, so rows are chosen while they still carry output and line.
+    node_rows = last_wins(graphs.nodes.withColumn("scope", ids.section_scope("section_id")), NODE_KEY)
+    edge_rows = last_wins(drop_dangling(stamp_section_scope(graphs.edges), node_rows, ["scope"]), EDGE_KEY)
+    _write(conformed(scalar_seq(node_rows), schemas.KG_NODES), f"{path}/nodes", batch_id)
+    _write(conformed(scalar_seq(edge_rows), schemas.KG_EDGES), f"{path}/edges", batch_id)
     _write(fresh.select("section_id", "content_hash", "chapter"), f"{path}/sections", batch_id)
 
 
