@@ -96,3 +96,17 @@ def test_incremental_store(spark, tmp_path):
     assert add(2, _output(3, "S1", "xy", [])) == (4, 1), "a new version replaces the old one"
     book = incremental.current_book(spark, path, "book:t", "T")
     assert (book.nodes.count(), book.edges.count()) == (2, 1), "equal concepts of two sections are one"
+
+
+def test_last_line_of_an_output_wins(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kgspark.streaming import incremental
+
+    raw = "## 知识图谱\n### 节点\n- A: first\n- B: x\n- A: second\n### 关系\n- A -> B: part_of\n### 层次结构\n- A\n"
+    columns = "seq long, topic string, chapter string, subchapter string, language string, raw string"
+    outputs = spark.createDataFrame([(1, "t", "c", "s", "en", raw)], columns)
+    incremental.store_batch(spark, outputs, str(tmp_path), F.current_timestamp(), 0)
+    graph = incremental.current_graph(spark, str(tmp_path))
+    assert {r["name"]: r["description"] for r in graph.nodes.collect()} == {"A": "second", "B": "x"}
+    assert graph.edges.count() == 1
