@@ -9,7 +9,6 @@ from ..operators import clean, components, graph_queries, identity, merge, order
 from .registry import Data, d_collapse, d_concept_id, d_node_id, d_rid, joined, query, rounded
 
 BOOK = "book:parts"
-SEQ_CHUNK = 1 << 50  # the seq of the line fixtures is a 60-bit hash
 UNDIRECTED = """und AS (SELECT scope, source_id AS a, target_id AS b FROM known UNION SELECT scope, target_id, source_id FROM known)"""
 KNOWN = """known AS (SELECT e.scope, e.source_id, e.target_id FROM raw_edges e
     JOIN raw_nodes s ON s.scope = e.scope AND s.id = e.source_id JOIN raw_nodes t ON t.scope = e.scope AND t.id = e.target_id)"""
@@ -376,10 +375,21 @@ DISPLAY_EDGES = """e AS (SELECT *, source_id || '->' || target_id || ':' || type
 )
 def merge_edges_display(d: Data) -> DataFrame:
     """H8"""
-    merged = merge.merge_edges_display(_display_edges(d), SEQ_CHUNK)
+    merged = merge.merge_edges_display(_display_edges(d))
     return merged.select("seq", rounded("weight"), rounded("confidence"), "evidence", micros("updated_at"))
 
 
+@query(
+    """SELECT k AS edge_key, evidence AS text, count(*) AS rows, min(seq) AS seen FROM (
+         SELECT *, source_id || '->' || target_id || ':' || type ||
+                CASE WHEN length(evidence) > 20 THEN ':' || substr(md5(evidence), 1, 8) ELSE '' END AS k FROM raw_edges) x GROUP BY 1, 2""",
+    "raw_edges",
+)
+def display_evidence(d: Data) -> DataFrame:
+    """H8: evidence as rows"""
+    return merge.display_evidence(_display_edges(d))
+
+
 @query(
     """SELECT count(*) AS pairs, round(sum(weight), 4) AS weights, sum(parts) AS texts FROM (
          SELECT list_reduce(list(weight ORDER BY seq), lambda a, b: (a + b) / 2) AS weight,
@@ -395,7 +405,7 @@ def merge_edges_display_hot(d: Data) -> DataFrame:
     edges = _display_edges(d).withColumns(
         {"source_id": F.col("src_section"), "target_id": F.lit("all"), "evidence": short}
     )
-    merged = merge.merge_edges_display(edges, SEQ_CHUNK)
+    merged = merge.merge_edges_display(edges)
     return merged.agg(
         F.count(F.lit(1)).alias("pairs"),
         F.round(F.sum("weight"), 4).alias("weights"),
@@ -412,10 +422,31 @@ def merge_edges_display_hot(d: Data) -> DataFrame:
 )
 def merge_graphs_display(d: Data) -> DataFrame:
     """H9"""
-    shown = merge.merge_graphs_display(_display_nodes(d), _display_edges(d), _sections(d), SEQ_CHUNK)
+    shown = merge.merge_graphs_display(_display_nodes(d), _display_edges(d), _sections(d))
     return shown.summary.select("total_nodes", "total_edges", joined("chapters_covered"), "hierarchy")
 
 
+@query(
+    f"""WITH {DISPLAY_NODES}, {DISPLAY_EDGES.replace("shown AS", "links AS")}
+        SELECT 'node' AS kind, id AS item, score AS value, updated_us FROM display
+        UNION ALL SELECT 'edge', seq::VARCHAR, round(confidence, 6), updated_us FROM links""",
+    "raw_nodes raw_edges",
+)
+def merged_graph_rows(d: Data) -> DataFrame:
+    """H9: the merged nodes and edges themselves"""
+    shown = merge.merge_graphs_display(_display_nodes(d), _display_edges(d), _sections(d))
+    nodes = shown.nodes.select(
+        F.lit("node").alias("kind"), F.col("id").alias("item"), F.col("score").alias("value"), micros("updated_at")
+    )
+    edges = shown.edges.select(
+        F.lit("edge").alias("kind"),
+        F.col("seq").cast("string").alias("item"),
+        rounded("confidence", "value"),
+        micros("updated_at"),
+    )
+    return nodes.unionByName(edges)
+
+
 # -------------------------------------------------------------------- quality
 
 

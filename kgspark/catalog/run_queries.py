@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import assemble, clean, extract, sections, telemetry
 from ..plans import graph_build
 from ..session import scratch_path
@@ -13,7 +14,6 @@ from .graph_queries import now
 from .registry import Data, d_strip, joined, query, rounded
 
 
-
 def _validation(d: Data) -> DataFrame:
     scored = extract.extract_validation(d.view("reports"))
     keyed = d.view("sections").select(F.col("seq").alias("doc_id"), "section_id")
@@ -262,7 +262,6 @@ BLOCKS = f"""rated AS (SELECT s.*, l.quality FROM sections s LEFT JOIN labels l
         UNION ALL
         SELECT doc_id, 2147483647, 0, 2, '# 附录：知识图谱概览' || chr(10) || chr(10) || 'summary' || chr(10) || chr(10) || '- 图节点数：' || count(*) ||
                chr(10) || chr(10) || '- 图边数量：' || count(*) FILTER (chapter = 'en') FROM sections GROUP BY doc_id)"""
-PART_CHARS = 1 << 16
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, chapter_pos, subchapter_pos, kind, text FROM blocks", "sections")
@@ -271,23 +270,31 @@ def book_blocks(d: Data) -> DataFrame:
     return _book(d)
 
 
-def _parts_sql(separator: str, limit: int) -> str:
-    size = len(separator.replace("chr(10)", "n").replace(" || ", ""))
-    return f"""sized AS (SELECT *, sum(length(text) + {size}) OVER (PARTITION BY doc_id, chapter_pos) AS chapter_chars,
-            sum(length(text) + {size}) OVER (PARTITION BY doc_id) AS document_chars FROM blocks),
-        placed AS (SELECT *, CASE WHEN document_chars <= {limit} THEN -2 ELSE chapter_pos END AS part_chapter,
-            CASE WHEN document_chars <= {limit} OR chapter_chars <= {limit} THEN -2 ELSE subchapter_pos END AS part_subchapter FROM sized),
-        parts AS (SELECT doc_id, part_chapter, part_subchapter, string_agg(text, {separator} ORDER BY chapter_pos, subchapter_pos, kind)
-            AS content FROM placed GROUP BY 1, 2, 3)"""
+PLACED = """placed AS (SELECT *, (chapter_pos, subchapter_pos, kind) =
+            max((chapter_pos, subchapter_pos, kind)) OVER (PARTITION BY doc_id) AS is_last FROM blocks)"""
 
 
 @query(
-    f"""WITH {BLOCKS}, {_parts_sql("chr(10) || chr(10)", PART_CHARS)} SELECT doc_id, part_chapter, part_subchapter, content FROM parts""",
+    f"""WITH {BLOCKS}, {PLACED} SELECT doc_id, chapter_pos, subchapter_pos, kind, is_last,
+        CASE WHEN is_last THEN {d_strip("text")} ELSE text || chr(10) || chr(10) END AS content FROM placed""",
     "sections",
 )
 def assemble_book(d: Data) -> DataFrame:
-    """O1: whole texts; books beyond 64 Ki characters come in parts"""
-    return assemble.assemble_book(_book(d), PART_CHARS)
+    """O1: the blocks of every book as they are written one after another"""
+    return assemble.assemble_book(_book(d))
+
+
+@query(
+    f"""WITH {BLOCKS} SELECT doc_id, count(*) AS blocks, md5({d_strip("string_agg(text, chr(10) || chr(10) ORDER BY chapter_pos, subchapter_pos, kind)")})
+        AS digest FROM blocks GROUP BY 1""",
+    "sections",
+)
+def assembled_books(d: Data) -> DataFrame:
+    """O1: digest of the blocks of each book, concatenated in order, against the joined book"""
+    ordered = F.array_sort(F.collect_list(F.struct("chapter_pos", "subchapter_pos", "kind", "content")))
+    whole = F.array_join(F.transform("parts", lambda p: p["content"]), "")
+    books = assemble.assemble_book(_book(d)).groupBy("doc_id").agg(ordered.alias("parts"))
+    return books.select("doc_id", F.size("parts").cast("long").alias("blocks"), F.md5(whole).alias("digest"))
 
 
 @query(
@@ -302,7 +309,8 @@ def assemble_book(d: Data) -> DataFrame:
                         ELSE '**答案**: ' || p_size END, '', '---', '')
           FROM (SELECT *, CASE p_type WHEN 'SMALL' THEN 'short_answer' WHEN 'PROMO' THEN 'multiple_choice' WHEN 'LARGE' THEN
                 'multiple_choice' ELSE 'essay' END AS k FROM part) q),
-        {_parts_sql("chr(10)", 1 << 12)} SELECT doc_id, part_chapter, part_subchapter, content FROM parts"""
+        {PLACED} SELECT doc_id, chapter_pos, subchapter_pos, kind, is_last, CASE WHEN is_last THEN text ELSE text || chr(10) END AS content
+        FROM placed"""
 )
 def format_quiz(d: Data) -> DataFrame:
     """O2"""
@@ -330,17 +338,11 @@ def format_quiz(d: Data) -> DataFrame:
         F.lit(None).cast("string").alias("difficulty"),
         F.lit("en").alias("language"),
     ).distinct()
-    return assemble.format_quiz(quizzes, questions, 1 << 12)
+    return assemble.format_quiz(quizzes, questions)
 
 
-@query(
-    r"""SELECT doc_id AS request_id, 'prov' AS provider, 'm:' || lang AS model, 'Book ' || source || ' <b>' AS system, 'Read ' ||
-               replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;') ||
-               ' !' AS user_text, 0.2::DOUBLE AS temperature, 99 AS max_tokens, 0.9::DOUBLE AS top_p
-        FROM documents WHERE lang <> 'es'"""
-)
-def prompt_batch(d: Data) -> DataFrame:
-    """O3"""
+def _prompts(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests for every document; Spanish has no binding."""
     docs = d.table("documents")
     requests = docs.select(
         F.col("doc_id").alias("request_id"),
@@ -364,7 +366,18 @@ def prompt_batch(d: Data) -> DataFrame:
         F.create_map(F.lit("temperature"), F.lit("0.2"), F.lit("max_tokens"), F.lit("5")).alias("meta"),
         F.posexplode(F.array(F.lit("Book {{ topic }} <b>\n"), F.lit("Read {{text}} {{ missing }}!"))).alias("pos", "content"),
     ).withColumn("role", F.when(F.col("pos") == 0, "system").otherwise("user"))
-    filled = assemble.prompt_batch(requests, bindings, templates, "dp", "dm")
+    return requests, bindings, templates
+
+
+@query(
+    r"""SELECT doc_id AS request_id, 'prov' AS provider, 'm:' || lang AS model, 'Book ' || source || ' <b>' AS system, 'Read ' ||
+               replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;') ||
+               ' !' AS user_text, 0.2::DOUBLE AS temperature, 99 AS max_tokens, 0.9::DOUBLE AS top_p
+        FROM documents WHERE lang <> 'es'"""
+)
+def prompt_batch(d: Data) -> DataFrame:
+    """O3"""
+    filled = assemble.prompt_batch(*_prompts(d), "dp", "dm")
     return filled.select(
         "request_id",
         "provider",
@@ -377,6 +390,17 @@ def prompt_batch(d: Data) -> DataFrame:
     )
 
 
+@query(
+    """SELECT doc_id AS request_id, coalesce(lang, '') AS target_id, NULL::VARCHAR AS prompt_file, 'no binding' AS reason
+       FROM documents WHERE lang IS NULL OR lang = 'es'"""
+)
+def prompt_rejects(d: Data) -> DataFrame:
+    """O3: the requests that cannot be filled; with prompt_batch, all requests"""
+    return assemble.prompt_rejects(*_prompts(d)).select(
+        "request_id", F.coalesce("target_id", F.lit("")).alias("target_id"), "prompt_file", "reason"
+    )
+
+
 @query(
     """SELECT conv_id, turn, CASE WHEN role = 'user' THEN '重写建议：' || text || chr(10) || chr(10) || '请根据以上重写建议进行改进。' ELSE '' END
        AS instructions FROM conversations"""
@@ -647,30 +671,37 @@ def build_section_graphs(d: Data) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS sections, sum(n)::BIGINT AS total_nodes, sum(e)::BIGINT AS total_edges, round(sum(d / n), 4) AS connectivity FROM (
-         SELECT md5(p_type || '|' || p_brand || '|S' || p_partkey % 20) AS s, 2 * count(*) AS n, count(*) AS e,
-                count(DISTINCT p_name) + 1 AS d FROM part WHERE p_partkey % 50 <> 0 GROUP BY 1) x"""
+    """WITH s AS (SELECT substr(md5(p_type || '|' || p_brand || '|S' || p_partkey % 20), 1, 12) AS section_id, p_partkey % 50 <> 0 AS good, p_name, p_brand FROM part)
+       SELECT section_id, 2 * count(*) FILTER (good) AS total_nodes, count(*) FILTER (good) AS total_edges,
+              CASE WHEN bool_or(good) THEN round((count(DISTINCT p_name) FILTER (good) + 1) / (2 * count(*) FILTER (good)), 6) ELSE 0 END::DOUBLE
+              AS connectivity, CASE WHEN bool_or(good) THEN 1 ELSE 0 END::DOUBLE AS keyword_coverage FROM s GROUP BY 1"""
 )
 def section_insights(d: Data) -> DataFrame:
-    """H16 per section of the built graphs (each is a star around the brand)"""
+    """H16 per section of the built graphs (each is a star around the brand); sections of malformed outputs have empty graphs"""
     graphs = _graphs(d)
-    words = graphs.sections.select("section_id", F.col("chapter").alias("keyword"))
-    measured = graph_build.section_insights(graphs, words).where("total_nodes > 0")
-    return measured.agg(
-        F.count(F.lit(1)).alias("sections"),
-        F.sum("total_nodes").alias("total_nodes"),
-        F.sum("total_edges").alias("total_edges"),
-        F.round(F.sum("connectivity_score"), 4).alias("connectivity"),
+    outputs = d.view("outputs").select(ids.section_id("topic", "chapter", "subchapter").alias("section_id"), "chapter")
+    words = outputs.distinct().select("section_id", F.col("chapter").alias("keyword"))
+    measured = graph_build.section_insights(graphs, words)
+    return measured.select(
+        "section_id",
+        "total_nodes",
+        "total_edges",
+        rounded("connectivity_score", "connectivity"),
+        rounded("keyword_coverage"),
     )
 
 
 @query(
-    """WITH o AS (SELECT p_type, p_brand, p_partkey % 20 AS s, max(p_partkey) AS k FROM part GROUP BY ALL),
-        good AS (SELECT p.* FROM o JOIN part p ON p.p_partkey = o.k WHERE k % 50 <> 0)
-        SELECT 2 * count(*) AS nodes, count(*) AS edges FROM good"""
+    """WITH o AS (SELECT p_type, p_brand, p_partkey % 20 AS s, max(p_partkey) FILTER (p_partkey % 50 <> 0) AS k FROM part GROUP BY ALL),
+        good AS (SELECT p.*, 'section:' || substr(md5(p.p_type || '|' || p.p_brand || '|S' || s), 1, 12) AS scope FROM o JOIN part p ON p.p_partkey = o.k)
+        SELECT 'node' AS kind, scope, p_name AS item, p_type AS text, p_partkey AS seq FROM good
+        UNION ALL SELECT 'node', scope, p_brand, 'brand', p_partkey FROM good
+        UNION ALL SELECT 'edge', scope, 'PART_OF', NULL, p_partkey FROM good
+        UNION ALL SELECT 'reject', substr(md5(p_type || '|' || p_brand || '|S' || p_partkey % 20), 1, 12), NULL, 'bad_relation_line', p_partkey
+                  FROM part WHERE p_partkey % 50 = 0"""
 )
 def incremental_graph(d: Data) -> DataFrame:
-    """Section outputs as a stream into the store; the last output of a section is its graph"""
+    """Section outputs as a stream into the store; the last well-formed output of a section is its graph"""
     schema = d.table("part").schema
     raw = d.spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(d.sf_dir)
     lines = F.concat_ws(
@@ -693,5 +724,14 @@ def incremental_graph(d: Data) -> DataFrame:
     path = scratch_path(d.spark, "store")
     incremental.incremental_graph(outputs, path, f"{path}/checkpoint", now()).awaitTermination()
     graph = incremental.current_graph(d.spark, path)
-    rows = graph.nodes.select(F.lit(1).alias("n")).unionByName(graph.edges.select(F.lit(0).alias("n")))
-    return rows.agg(F.count_if(F.col("n") == 1).alias("nodes"), F.count_if(F.col("n") == 0).alias("edges"))
+    rejects = incremental.rejected_outputs(d.spark, path)
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, kind: str, scope: str, item: Column, text: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(scope).alias("scope"), item.alias("item"), text.alias("text"), "seq")
+
+    return (
+        rows(graph.nodes, "node", "scope", F.col("name"), F.col("description"))
+        .unionByName(rows(graph.edges, "edge", "scope", F.col("type"), none))
+        .unionByName(rows(rejects, "reject", "section_id", none, F.col("reason")))
+    )

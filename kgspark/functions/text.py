@@ -37,6 +37,11 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WS_TEXT))
 
 
+def rstrip(c: Column | str) -> Column:
+    """Remove trailing whitespace of any kind."""
+    return F.rtrim(col(c), F.lit(WS_TEXT))
+
+
 def collapse(c: Column | str) -> Column:
     """Strip, then turn every whitespace run into one space."""
     return F.regexp_replace(strip(c), WS_UNEVEN, " ")

@@ -1,7 +1,7 @@
 """Documents assembled from tables: books, quizzes, prompt batches.
 
-A document is an ordered table of blocks (``doc_id, chapter_pos, subchapter_pos, kind, text``). ``assemble`` joins the
-blocks of a document to one text as long as that fits one row, and to ordered parts beyond; nothing is cut off.
+A document is an ordered table of blocks (``doc_id, chapter_pos, subchapter_pos, kind, text``), whatever its size. ``assemble``
+gives every block the text it has in the document, so that writing the blocks in order writes the document.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ UNKNOWN_TYPE = "未知"
 TEMPERATURE, MAX_TOKENS, TOP_P, FREQUENCY_PENALTY, PRESENCE_PENALTY, TIMEOUT = 0.7, 1500, 0.9, 0.0, 0.0, 300
 
 PARAGRAPH = "\n\n"
-ONE_ROW_CHARS = 64 * 1024 * 1024
+NO_BINDING, NO_TEMPLATE = "no binding", "no template"
 
 CHAPTER, SECTION, APPENDIX = 0, 1, 2
 
@@ -102,36 +102,29 @@ def book_blocks(
     return blocks.unionByName(appendix)
 
 
-def assemble(blocks: DataFrame, separator: str = PARAGRAPH, one_row_chars: int = ONE_ROW_CHARS) -> DataFrame:
-    """Join blocks in order to ``content``, one row per document.
+def assemble(blocks: DataFrame, separator: str = PARAGRAPH) -> DataFrame:
+    """One row per block: its ``content`` ends with the separator unless it is the last block of its document.
 
-    A document longer than ``one_row_chars`` comes as one row per chapter, and a chapter longer than that as one row
-    per block; ``part_chapter`` and ``part_subchapter`` order the parts (-2 for "all of it"). Joining the parts with
-    the separator gives the document. Sizes are summed before anything is gathered, so no task gathers more than the
-    bound or one block.
+    Concatenating ``content`` in the order of ``chapter_pos, subchapter_pos, kind``, which tell the blocks of a document
+    apart, gives the document. The last position is a partial-aggregated maximum, so no document is ever gathered.
     """
-    size = F.length("text").cast("long") + len(separator)
-    per_chapter = blocks.groupBy("doc_id", "chapter_pos").agg(F.sum(size).alias("_chapter_chars"))
-    per_document = per_chapter.groupBy("doc_id").agg(F.sum("_chapter_chars").alias("_document_chars"))
-    fits = F.col("_document_chars") <= one_row_chars
-    chapter_fits = F.col("_chapter_chars") <= one_row_chars
-    whole = F.lit(-2)
-    placed = (
-        blocks.join(per_chapter, ["doc_id", "chapter_pos"])
-        .join(per_document, "doc_id")
-        .withColumn("part_chapter", F.when(fits, whole).otherwise(F.col("chapter_pos")))
-        .withColumn("part_subchapter", F.when(fits | chapter_fits, whole).otherwise(F.col("subchapter_pos")))
+    position = F.struct("chapter_pos", "subchapter_pos", "kind")
+    last = blocks.groupBy("doc_id").agg(F.max(position).alias("_last"))
+    is_last = position == F.col("_last")
+    return blocks.join(last, "doc_id").select(
+        "doc_id",
+        "chapter_pos",
+        "subchapter_pos",
+        "kind",
+        F.when(is_last, F.col("text")).otherwise(F.concat("text", F.lit(separator))).alias("content"),
+        is_last.alias("is_last"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("chapter_pos", "subchapter_pos", "kind", "text")))
-    parts = placed.groupBy("doc_id", "part_chapter", "part_subchapter").agg(ordered.alias("_blocks"))
-    content = F.array_join(F.transform("_blocks", lambda b: b["text"]), separator)
-    return parts.select("doc_id", "part_chapter", "part_subchapter", content.alias("content"))
 
 
-def assemble_book(blocks: DataFrame, one_row_chars: int = ONE_ROW_CHARS) -> DataFrame:
-    parts = assemble(blocks, PARAGRAPH, one_row_chars)
-    whole = F.col("part_chapter") == -2
-    return parts.withColumn("content", F.when(whole, t.strip("content")).otherwise(F.col("content")))
+def assemble_book(blocks: DataFrame) -> DataFrame:
+    """Blocks of whole books without white space at their end; a book starts with a heading, so its front needs no strip."""
+    placed = assemble(blocks, PARAGRAPH)
+    return placed.withColumn("content", F.when(F.col("is_last"), t.rstrip("content")).otherwise(F.col("content")))
 
 
 def quiz_blocks(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
@@ -203,8 +196,8 @@ def quiz_blocks(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
     return heads.unionByName(bodies)
 
 
-def format_quiz(quizzes: DataFrame, questions: DataFrame, one_row_chars: int = ONE_ROW_CHARS) -> DataFrame:
-    return assemble(quiz_blocks(quizzes, questions), "\n", one_row_chars)
+def format_quiz(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
+    return assemble(quiz_blocks(quizzes, questions), "\n")
 
 
 def rewrite_instructions(suggestions: Column | str) -> Column:
@@ -256,7 +249,8 @@ def prompt_batch(
 
     ``requests``: request_id, target_type, target_id, locale, values (map). ``bindings``: target_type, target_id,
     locale, prompt_file, model_ref, params (map), position. ``templates``: prompt_file, pos, role, content, meta (map).
-    Binding parameters overlay the template's; missing ones take the request defaults.
+    Binding parameters overlay the template's; missing ones take the request defaults. Requests without a binding or
+    without a template are listed by ``prompt_rejects``.
     """
     prompts = templates.groupBy("prompt_file").agg(
         F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("_messages"),
@@ -298,3 +292,13 @@ def prompt_batch(
             F.lit(TIMEOUT).alias("timeout"),
         )
     )
+
+
+def prompt_rejects(requests: DataFrame, bindings: DataFrame, templates: DataFrame) -> DataFrame:
+    """The requests that ``prompt_batch`` cannot fill, with the reason: no binding, or a binding without its template."""
+    known = templates.select("prompt_file").distinct().withColumn("_template", F.lit(True))
+    found = resolve_bindings(requests, bindings).join(known, "prompt_file", "left")
+    reason = F.when(~F.col("resolved"), NO_BINDING).when(F.col("_template").isNull(), NO_TEMPLATE)
+    return found.withColumn("reason", reason).where("reason IS NOT NULL").select(
+        "request_id", "target_type", "target_id", "locale", "prompt_file", "reason"
+    )

@@ -14,6 +14,7 @@ from .ordering import first_wins
 
 # Fixed values of the display merge.
 LONG_EVIDENCE = 20
+SMALLEST_SHARE = 1074  # 2 to the minus 1074 is the least positive double
 EVIDENCE_JOIN = "; "
 DISPLAY_HIERARCHY = "合并后的知识图谱"
 
@@ -194,11 +195,17 @@ def merge_stats(nodes: DataFrame, edges: DataFrame, sections: DataFrame, book: B
 # ------------------------------------------------------------- display merge
 
 
+def _completed(df: DataFrame, **kinds: str) -> DataFrame:
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in df.columns})
+
+
 def merge_nodes_display(nodes: DataFrame, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """Concepts merge by canonical key (else name): alias union, longest description, best score, latest update.
 
-    Other nodes are kept once per id (else name), the first row wins. Rows without a key are dropped.
+    Other nodes are kept once per id (else name), the first row wins. Rows without a key are dropped. Stored columns that
+    ``nodes`` lacks, as freshly built graphs do, are added as NULL.
     """
+    nodes = _completed(nodes, canonical_key="string", score="double", updated_at="timestamp")
     concept = t.or_empty("type") == "concept"
     key = F.when(concept, F.coalesce("canonical_key", "name")).otherwise(F.coalesce("id", "name"))
     keyed = nodes.withColumn("_concept", concept).withColumn("_key", key).where("_key <> ''")
@@ -234,44 +241,45 @@ def display_edge_key(source: str = "source_id", target: str = "target_id") -> Co
     return F.when(F.length(evidence) > LONG_EVIDENCE, hashed).otherwise(plain)
 
 
-def merge_edges_display(edges: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
-    """Merge relations of equal display key.
+def merge_edges_display(edges: DataFrame) -> DataFrame:
+    """Merge relations of equal display key; ``seq`` may be of any type that has an order.
 
     Weight is the running pairwise mean in arrival order, confidence the maximum, evidence the ordered join of texts
-    not yet contained. The mean is an affine fold, so a key is cut into chunks of ``chunk_rows`` consecutive ``seq``
-    values, each chunk is folded apart and the chunks are chained; no task holds a whole hot key.
+    not yet contained. All but the weight comes from aggregates over key and text, which are combined before the
+    shuffle. In the mean, the row of rank r from the end has the share 2^-r: that is zero in double precision beyond
+    rank ``SMALLEST_SHARE``, so nearer ranks alone decide it and a hot key sends only those of each input partition.
+    Stored columns that ``edges`` lacks are added as NULL.
     """
+    edges = _completed(edges, evidence="string", confidence="double", weight="double", updated_at="timestamp")
     usable = edges.where(
         (t.or_empty("source_id") != "") & (t.or_empty("target_id") != "") & (t.or_empty("type") != "")
     )
-    keyed = usable.withColumn("_key", display_edge_key()).withColumn("_chunk", F.floor(F.col("seq") / chunk_rows))
-    weight = F.coalesce("weight", F.lit(1.0))
-    from_end = F.row_number().over(Window.partitionBy("_key", "_chunk").orderBy(F.desc("seq")))
-    chunks = (
-        keyed.withColumn("_share", weight * F.pow(F.lit(2.0), -from_end))
-        .groupBy("_key", "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.sum("_share").alias("_share"),
-            F.min_by(F.struct(*edges.columns), "seq").alias("_base"),
-            F.max(F.coalesce("confidence", F.lit(0.0))).alias("_confidence"),
-            F.max_by("updated_at", F.when(F.col("updated_at").isNotNull(), F.col("seq"))).alias("_updated"),
-        )
+    keyed = usable.withColumn("_key", display_edge_key())
+    updated_seq = F.when(F.col("updated_at").isNotNull(), F.col("seq"))
+    texts = keyed.groupBy("_key", t.or_empty("evidence").alias("_text")).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("seq").alias("_seen"),
+        F.min_by(F.struct(*edges.columns), "seq").alias("_base"),
+        F.max(F.coalesce("confidence", F.lit(0.0))).alias("_confidence"),
+        F.max_by("updated_at", updated_seq).alias("_updated"),
+        F.max(updated_seq).alias("_updated_seq"),
+    )
+    merged = texts.groupBy("_key").agg(
+        F.sum("_rows").alias("_rows"),
+        F.min_by("_base", "_seen").alias("_base"),
+        F.max("_confidence").alias("_confidence"),
+        F.max_by("_updated", "_updated_seq").alias("_updated"),
+        F.array_sort(F.collect_list(F.struct("_seen", "_text"))).alias("_texts"),
     )
-    later = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chained = (
-        chunks.withColumn("_later_rows", F.coalesce(F.sum("_rows").over(later), F.lit(0)))
-        .withColumn("_share", F.col("_share") * F.pow(F.lit(2.0), -F.col("_later_rows")))
+    from_end = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("seq")))
+    share = F.coalesce("weight", F.lit(1.0)) * F.pow(F.lit(2.0), -F.col("_from_end"))
+    shares = (
+        keyed.select("_key", "seq", "weight")
+        .withColumn("_from_end", from_end)
+        .where(F.col("_from_end") <= SMALLEST_SHARE)
         .groupBy("_key")
-        .agg(
-            F.sum("_rows").alias("_rows"),
-            F.sum("_share").alias("_share"),
-            F.min_by("_base", "_chunk").alias("_base"),
-            F.max("_confidence").alias("_confidence"),
-            F.max_by("_updated", F.when(F.col("_updated").isNotNull(), F.col("_chunk"))).alias("_updated"),
-        )
+        .agg(F.sum(share).alias("_share"))
     )
-    merged = chained.join(_joined_evidence(keyed), "_key")
     single = F.col("_rows") == 1
     first_weight = F.coalesce("_base.weight", F.lit(1.0))
     values = {
@@ -279,16 +287,16 @@ def merge_edges_display(edges: DataFrame, chunk_rows: int = 1 << 20) -> DataFram
             first_weight * F.pow(F.lit(2.0), -F.col("_rows")) + F.col("_share")
         ),
         "confidence": F.when(single, F.col("_base.confidence")).otherwise(F.col("_confidence")),
-        "evidence": F.when(single, F.col("_base.evidence")).otherwise(F.col("_evidence")),
+        "evidence": F.when(single, F.col("_base.evidence")).otherwise(_joined("_texts")),
         "updated_at": F.col("_updated"),
     }
-    return merged.select(*[values.get(c, F.col(f"_base.{c}")).alias(c) for c in edges.columns])
+    return merged.join(shares, "_key").select(
+        *[values.get(c, F.col(f"_base.{c}")).alias(c) for c in edges.columns]
+    )
 
 
-def _joined_evidence(keyed: DataFrame) -> DataFrame:
-    """Evidence text per key. Only the first sight of each distinct text matters, so repeats go before the shuffle."""
-    texts = keyed.groupBy("_key", t.or_empty("evidence").alias("_text")).agg(F.min("seq").alias("_seen"))
-    ordered = texts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_seen", "_text"))).alias("_texts"))
+def _joined(texts: str) -> Column:
+    """Evidence texts in order of their first sight, without those that the text so far contains."""
 
     def append(acc: Column, item: Column) -> Column:
         text = item["_text"]
@@ -298,7 +306,17 @@ def _joined_evidence(keyed: DataFrame) -> DataFrame:
             .otherwise(F.concat(acc, F.lit(EVIDENCE_JOIN), text))
         )
 
-    return ordered.select("_key", F.aggregate("_texts", F.lit(""), append).alias("_evidence"))
+    return F.aggregate(texts, F.lit(""), append)
+
+
+def display_evidence(edges: DataFrame) -> DataFrame:
+    """The evidence texts of a display key as rows: ``edge_key, text, rows, seen`` (the first ``seq``).
+
+    The list that ``merge_edges_display`` joins, for keys whose texts should not meet in one row.
+    """
+    return edges.groupBy(display_edge_key().alias("edge_key"), t.or_empty("evidence").alias("text")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("seq").alias("seen")
+    )
 
 
 @dataclass(frozen=True)
@@ -308,12 +326,10 @@ class DisplayGraph:
     summary: DataFrame
 
 
-def merge_graphs_display(
-    nodes: DataFrame, edges: DataFrame, sections: DataFrame, chunk_rows: int = 1 << 20
-) -> DisplayGraph:
+def merge_graphs_display(nodes: DataFrame, edges: DataFrame, sections: DataFrame) -> DisplayGraph:
     """Display merge of many graphs with totals and the union of chapters."""
     merged_nodes = merge_nodes_display(nodes)
-    merged_edges = merge_edges_display(edges, chunk_rows)
+    merged_edges = merge_edges_display(edges)
     chapters = sections.select("chapter").where("chapter IS NOT NULL").distinct()
     rows = (
         merged_nodes.select(F.lit("node").alias("kind"), F.lit(None).cast("string").alias("chapter"))

@@ -171,16 +171,21 @@ def coverage_score() -> Column:
 
 
 def evaluate_graph(nodes: DataFrame, edges: DataFrame, outline: DataFrame, keywords: DataFrame) -> DataFrame:
-    """All measures of every scope with nodes or edges. ``outline`` and ``keywords`` carry ``scope``.
+    """All measures of every scope that has nodes, edges, an outline or keywords; the last two carry ``scope``.
 
-    A scope without outline or without keywords counts as covered in that respect.
+    A scope without outline or without keywords counts as covered in that respect; an empty graph has no connectivity.
     """
-    structure = graph_structure(nodes, edges).withColumn("relation_richness", _richness())
     joined = (
-        structure.join(subchapter_coverage(nodes, outline), "scope", "left")
-        .join(keyword_coverage(nodes, keywords), "scope", "left")
+        graph_structure(nodes, edges)
+        .join(subchapter_coverage(nodes, outline), "scope", "full")
+        .join(keyword_coverage(nodes, keywords), "scope", "full")
         .withColumns(
             {
+                "connectivity_score": F.coalesce("connectivity_score", F.lit(0.0)),
+                "components": _zero("components", "long"),
+                "max_component_size": _zero("max_component_size", "long"),
+                "total_nodes": _zero("total_nodes", "long"),
+                "total_edges": _zero("total_edges", "long"),
                 "subchapter_coverage": F.coalesce("subchapter_coverage", F.lit(1.0)),
                 "keyword_coverage": F.coalesce("keyword_coverage", F.lit(1.0)),
                 "covered_subchapters": _zero("covered_subchapters", "long"),
@@ -189,6 +194,7 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, outline: DataFrame, keywo
                 "total_keywords": _zero("total_keywords", "long"),
             }
         )
+        .withColumn("relation_richness", _richness())
     )
     quality = (
         QUALITY_CONNECTIVITY * F.col("connectivity_score")

@@ -1,18 +1,24 @@
 """Micro-batches of section outputs into an append-only graph store.
 
-Every batch writes its own ``batch=<id>`` partition of ``nodes``, ``edges`` and, last, ``sections``. The newest batch
-of a section holds its graph; older ones are ignored by readers until a compaction drops them. So a batch costs as
-much as its own rows, a repeated batch overwrites itself, and a half-written batch is not visible.
+Every batch writes its own ``batch=<id>`` partition of ``rejects``, ``nodes``, ``edges`` and, last, ``sections``. The
+newest batch of a section holds its graph; readers ignore older ones, and ``compact`` copies a store without them. So a
+batch writes its own rows only (it reads the hashes of the stored sections), a repeated batch overwrites itself, and a
+half-written batch is not visible.
+
+A malformed output changes nothing in the graph: its section keeps the nodes and edges it has, and the output is listed in
+``rejects`` with its reason.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions import ids
+from ..operators import extract
 from ..operators.clean import drop_dangling
 from ..operators.graph_queries import Graph
 from ..operators.merge import Book, merge_book
@@ -22,6 +28,7 @@ from ..plans.graph_build import build_section_graphs
 from ..session import cut_lineage
 
 SECTION_VERSIONS = "section_id STRING, content_hash STRING, chapter STRING, batch BIGINT"
+REJECTS = "seq BIGINT, section_id STRING, reason STRING"
 
 
 def changed_outputs(outputs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -37,8 +44,8 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """The table at ``path``; empty before the first batch."""
     try:
         return spark.read.schema(ddl).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], ddl)
 
@@ -65,9 +72,15 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def store_batch(spark: SparkSession, outputs: DataFrame, path: str, now: Column, batch_id: int) -> None:
-    """Add the section graphs of a batch of outputs to the store; unchanged sections are skipped."""
+    """Add the section graphs of a batch of outputs to the store.
+
+    The last well-formed output of a section counts; unchanged sections are skipped, malformed outputs are rejected.
+    """
+    keyed = outputs.withColumn("section_id", ids.section_id("topic", "chapter", "subchapter"))
+    _write(conformed(extract.malformed_outputs(keyed), REJECTS), f"{path}/rejects", batch_id)
+    usable = outputs.where(extract.output_fault().isNull())
     stored = _read(spark, f"{path}/sections", SECTION_VERSIONS).where(F.col("batch") < batch_id)
-    fresh = cut_lineage(changed_outputs(outputs, stored))
+    fresh = cut_lineage(changed_outputs(usable, stored))
     graphs = build_section_graphs(fresh.drop("section_id", "content_hash"), now)
 
     def scalar_seq(df: DataFrame) -> DataFrame:
@@ -106,6 +119,29 @@ def current_book(spark: SparkSession, path: str, book_id: str, topic: str) -> Bo
     return merge_book(graph.nodes, graph.edges, _current_sections(spark, path), book_id, topic)
 
 
+def rejected_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Every output that was rejected: ``seq, section_id, reason, batch``."""
+    return _read(spark, f"{path}/rejects", REJECTS + ", batch BIGINT")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Copy the store to ``target`` with the newest version of every section only.
+
+    Rows keep their batch, so a stream goes on from ``target`` under the same checkpoint. Run it between batches.
+    """
+    versions = _read(spark, f"{path}/sections", SECTION_VERSIONS)
+    newest = versions.groupBy("section_id").agg(F.max("batch").alias("batch"))
+    scoped = newest.select(ids.section_scope("section_id").alias("scope"), "batch")
+    kept = {
+        "rejects": rejected_outputs(spark, path),
+        "nodes": _read(spark, f"{path}/nodes", schemas.KG_NODES + ", batch BIGINT").join(scoped, ["scope", "batch"], "left_semi"),
+        "edges": _read(spark, f"{path}/edges", schemas.KG_EDGES + ", batch BIGINT").join(scoped, ["scope", "batch"], "left_semi"),
+        "sections": versions.join(newest, ["section_id", "batch"], "left_semi"),
+    }
+    for name, rows in kept.items():
+        rows.repartition("batch").write.partitionBy("batch").parquet(f"{target}/{name}")
+
+
 def incremental_graph(outputs: DataFrame, path: str, checkpoint: str, now: Column, **trigger) -> StreamingQuery:
     """Keep the store at ``path`` up to date with a stream of section outputs (one checkpoint per store)."""
 

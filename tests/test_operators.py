@@ -207,9 +207,9 @@ def brute_display(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 3, 1000])
-def test_display_edges_equal_a_row_by_row_fold(spark, chunk_rows):
-    rnd = random.Random(chunk_rows)
+@pytest.mark.parametrize("seed", [1, 3, 1000])
+def test_display_edges_equal_a_row_by_row_fold(spark, seed):
+    rnd = random.Random(seed)
     rows = [
         (i, f"a{rnd.randrange(2)}", "b", "T", rnd.random() * 9, rnd.random(), rnd.choice(["x", "xy", "", "q", "zz"]))
         for i in range(200)
@@ -219,7 +219,7 @@ def test_display_edges_equal_a_row_by_row_fold(spark, chunk_rows):
     ).withColumn("updated_at", F.lit(None).cast("timestamp"))
     got = [
         (r["source_id"], r["target_id"], r["type"], round(r["weight"], 9), r["confidence"], r["evidence"])
-        for r in merge.merge_edges_display(edges, chunk_rows).collect()
+        for r in merge.merge_edges_display(edges).collect()
     ]
     assert sorted(got) == brute_display(rows)
 
@@ -296,6 +296,18 @@ def test_evaluation_of_an_empty_side(spark):
     assert "- 节点数量: 2" in s["kg_summary"]
 
 
+def test_empty_graphs_are_measured(spark):
+    outline = spark.createDataFrame([("o", "c", "t")], "scope string, chapter string, subchapter string")
+    keywords = spark.createDataFrame([("k", "word")], "scope string, keyword string")
+    nodes, edges = spark.createDataFrame([], NODE + ", subchapter string"), spark.createDataFrame([], EDGE)
+    got = quality.evaluate_graph(nodes, edges, outline, keywords)
+    assert pairs(got, "scope", "total_nodes", "subchapter_coverage", "keyword_coverage", "connectivity_score") == [
+        ("k", 0, 1.0, 0.0, 0.0),
+        ("o", 0, 0.0, 1.0, 0.0),
+    ]
+    assert all("- 关系数量: 0" in r["kg_summary"] for r in got.collect())
+
+
 @pytest.mark.parametrize("fanout", [0, 2, 1000])
 def test_keyword_hits_equal_containment(spark, monkeypatch, fanout):
     monkeypatch.setattr(quality, "KEY_FANOUT", fanout)
@@ -411,13 +423,35 @@ def test_attempts(spark):
     assert pairs(sections.resolve_attempts(attempts, 1), "section_id", "attempt", "is_passed") == [("a", 1, True), ("b", 1, False)]
 
 
-def test_assembled_parts_join_to_the_whole(spark):
-    rows = [("d", c, s, 1, f"text {c} {s} " + "x" * (40 * c)) for c in range(4) for s in range(3)]
-    blocks = spark.createDataFrame(rows, "doc_id string, chapter_pos int, subchapter_pos int, kind int, text string")
-    whole = assemble.assemble(blocks).collect()
-    parts = assemble.assemble(blocks, one_row_chars=200).orderBy("part_chapter", "part_subchapter").collect()
-    assert len(whole) == 1 and len(parts) > 4
-    assert "\n\n".join(p["content"] for p in parts) == whole[0]["content"]
+def test_blocks_written_in_order_are_the_book(spark):
+    chapters = spark.createDataFrame([("d", 0, "One", "first"), ("d", 1, "", None), ("e", 0, " ", None)], "doc_id string, chapter_pos int, chapter string, outline string")
+    rows = [("d", 0, 0, "s1", "A", None), ("d", 1, 0, "s2", "", "guide"), ("d", 1, 1, "s3", "C", None)]
+    placed = spark.createDataFrame(rows, "doc_id string, chapter_pos int, subchapter_pos int, section_id string, subchapter string, outline string")
+    content = spark.createDataFrame([("s1", " body "), ("s2", " ")], "section_id string, content string")
+    qa = spark.createDataFrame([("s3", "Q")], "section_id string, qa_text string")
+    blocks = assemble.book_blocks(chapters, placed, content, qa)
+    written = {}
+    for r in assemble.assemble_book(blocks).orderBy("chapter_pos", "subchapter_pos", "kind").collect():
+        written[r["doc_id"]] = written.get(r["doc_id"], "") + r["content"]
+    assert written == {
+        "d": "# One\n\n> first\n\n## A\n\nbody\n\n# 章节\n\n## 小节\n\n_导学：guide_\n\n> [内容缺失]\n\n## C\n\n> [内容缺失]\n\n\n### 问答\n\nQ",
+        "e": "#",
+    }
+
+
+def test_requests_are_filled_or_rejected(spark):
+    asked = [(1, "agent", "a", None), (2, "agent", "b", None), (3, "agent", "c", None)]
+    requests = spark.createDataFrame(asked, "request_id int, target_type string, target_id string, locale string")
+    requests = requests.withColumn("values", F.create_map(F.lit("x"), F.lit("y")))
+    bound = [("agent", "a", "zh", "pa", "p:m", None, 1), ("agent", "b", "zh", "pb", "p:m", None, 1)]
+    bindings = spark.createDataFrame(
+        bound, "target_type string, target_id string, locale string, prompt_file string, model_ref string, params map<string,string>, position int"
+    )
+    templates = spark.createDataFrame([("pa", 0, "user", "{{x}}", None)], "prompt_file string, pos int, role string, content string, meta map<string,string>")
+    filled = assemble.prompt_batch(requests, bindings, templates, "dp", "dm")
+    rejects = assemble.prompt_rejects(requests, bindings, templates)
+    assert pairs(filled, "request_id") == [(1,)]
+    assert pairs(rejects, "request_id", "reason") == [(2, "no template"), (3, "no binding")]
 
 
 def test_placeholders_are_filled_in_one_pass(spark):

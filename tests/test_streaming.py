@@ -110,3 +110,39 @@ def test_last_line_of_an_output_wins(spark, tmp_path):
     graph = incremental.current_graph(spark, str(tmp_path))
     assert {r["name"]: r["description"] for r in graph.nodes.collect()} == {"A": "second", "B": "x"}
     assert graph.edges.count() == 1
+
+
+def test_malformed_outputs_are_rejected_and_change_nothing(spark, tmp_path):
+    schema = "seq long, topic string, chapter string, subchapter string, language string, raw string"
+    path, target = str(tmp_path / "store"), str(tmp_path / "compacted")
+
+    def add(batch_id, *rows):
+        incremental.store_batch(spark, spark.createDataFrame(list(rows), schema), path, now(), batch_id)
+        return names(path)
+
+    def names(where):
+        graph = incremental.current_graph(spark, where)
+        return sorted(r["name"] for r in graph.nodes.collect()), graph.edges.count()
+
+    bad = "### 节点\n- x: x\n### 关系\n- broken: a -> b"
+    assert add(0, _output(1, "S1", "ab", ["ab"])) == (["a", "b"], 1)
+    assert add(1, (2, "T", "C", "S1", "en", bad), _output(3, "S2", "x", [])) == (["a", "b", "x"], 1)
+    assert add(2, _output(4, "S1", "cd", ["cd"]), (5, "T", "C", "S1", "en", bad)) == (["c", "d", "x"], 1)
+    rejects = incremental.rejected_outputs(spark, path).select("seq", "reason", "batch").collect()
+    assert sorted(map(tuple, rejects)) == [(2, "bad_relation_line", 1), (5, "bad_relation_line", 2)]
+    incremental.compact(spark, path, target)
+    assert names(target) == (["c", "d", "x"], 1)
+    assert spark.read.parquet(f"{target}/nodes").count() == 3 < spark.read.parquet(f"{path}/nodes").count()
+    assert spark.read.parquet(f"{target}/rejects").count() == 2
+
+
+def test_display_merge_of_built_graphs(spark):
+    from kgspark.operators import merge
+    from kgspark.plans.graph_build import build_section_graphs
+
+    schema = "seq long, topic string, chapter string, subchapter string, language string, raw string"
+    outputs = spark.createDataFrame([_output(1, "S1", "abc", ["ab", "bc"]), _output(2, "S2", "ab", ["ab"])], schema)
+    built = build_section_graphs(outputs, now())
+    shown = merge.merge_graphs_display(built.nodes, built.edges, built.sections)
+    total = shown.summary.collect()[0]
+    assert total["total_nodes"] == shown.nodes.count() and total["total_edges"] == shown.edges.count() > 0
