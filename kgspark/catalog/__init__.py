@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, run_queries, storage_queries, text_queries  # noqa: F401  (register their queries)
+from . import graph_queries, rule_queries, run_queries, storage_queries, text_queries  # noqa: F401  (register their queries)
 from .registry import CHECKS, QUERIES, Query
 
 
