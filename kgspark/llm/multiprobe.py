@@ -3,8 +3,10 @@
 Largest inner product becomes least distance: vectors are divided by the greatest length and get one more coordinate
 that makes all of them unit vectors. Each table cuts several random projections into slots. A query visits its own
 bucket and perturbed ones in the order of their estimated chance to hold a neighbour, until the chances add up to what
-the wanted recall asks of a table. Candidates of all tables are merged and ranked by exact products of the original
-vectors. Queries that find too few candidates are answered from all rows.
+the wanted recall asks of a table. Its own buckets come first: the k-th best score in them is a lower bound, so that the
+perturbed ones only hand on rows that may still be among the k best, however many rows there are. Candidates of all
+tables are merged and ranked by exact products of the original vectors. Queries that find too few candidates are answered
+from all rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import cut_lineage, map_columns
-from .vectors import BLOCK_ROWS, SEED_ROWS, finite, first_k, in_blocks, kth_best, matrix, one_per_id
+from .vectors import BLOCK_ROWS, SEED_ROWS, finite, first_k, in_blocks, matrix, one_per_id
 
 K = 20
 TABLES = 8
@@ -62,7 +64,7 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return one_per_id(own.where(finite(F.col("values"))).where(F.exists("values", lambda x: x != 0)))
 
 
-def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> tuple[Index, list]:
+def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> Index:
     """The index parameters, from one row of statistics and a sample of ``SEED_ROWS`` rows (least hash of the id)."""
     squares = F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)
     rows, longest, width = vectors.agg(F.count(F.lit(1)), F.max(F.sqrt(squares)), F.max(F.size("values"))).first()
@@ -79,7 +81,7 @@ def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> tuple[Index, li
         near = np.sort(near[near > -1])
         at = min(len(near) - 1, int(len(near) * min(1.0, k / max(1, rows))))
         index = Index(directions, offsets, index.longest, math.sqrt(max(1e-12, 2 - 2 * near[len(near) - 1 - at])))
-    return index, sample
+    return index
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -114,9 +116,9 @@ def probe_order(position: np.ndarray, spread: float, wanted: float) -> list[tupl
     return out
 
 
-def _buckets(index: Index):
+def _buckets(index: Index, query: bool = False):
     def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
-        slots = np.floor(index.places(index.unit(matrix(values), False))).astype(int)
+        slots = np.floor(index.places(index.unit(matrix(values), query))).astype(int)
         tables = slots.shape[1]
         keys = [" ".join(map(str, slots[i, t])) for i in range(len(values)) for t in range(tables)]
         return [list(range(tables)) * len(values), keys], [i for i in range(len(values)) for _ in range(tables)]
@@ -124,25 +126,34 @@ def _buckets(index: Index):
     return work
 
 
-def _probes(index: Index, sample: list, k: int, recall: float):
-    ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
-    known = matrix([r["values"] for r in sample])
+def _homes(index: Index):
+    """The query's own bucket in each table."""
+    places = _buckets(index, query=True)
+
+    def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
+        (tables, keys), owners = places(values)
+        return [tables, keys, [None] * len(owners)], owners
+
+    return work
+
+
+def _probes(index: Index, recall: float):
+    """The perturbed buckets of a query, its own ones left out; ``floor`` goes along."""
     wanted = 1 - (1 - recall) ** (1 / len(index.directions))
     spread = index.distance / WIDTH
 
-    def work(own: list[int], values: list[list[float]]) -> tuple[list[list], list[int]]:
-        rows = matrix(values)
-        places = index.places(index.unit(rows, True))
-        tables, keys, floors, owners = [], [], [], []
-        for i, o in enumerate(own):
-            floor = kth_best(sums(rows[i : i + 1], known)[0][ids != o], k)
+    def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
+        places = index.places(index.unit(matrix(values), True))
+        tables, keys, owners = [], [], []
+        for i in range(len(values)):
             for t in range(places.shape[1]):
+                home = tuple(np.floor(places[i, t]).astype(int).tolist())
                 for slot in probe_order(places[i, t], spread, wanted):
-                    tables.append(t)
-                    keys.append(" ".join(map(str, slot)))
-                    floors.append(floor)
-                    owners.append(i)
-        return [tables, keys, floors], owners
+                    if slot != home:
+                        tables.append(t)
+                        keys.append(" ".join(map(str, slot)))
+                        owners.append(i)
+        return [tables, keys], owners
 
     return work
 
@@ -175,6 +186,11 @@ def _best(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": q_ids, "vec_id": v_ids, "score": found})
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query over all tables; a pair may come from several."""
+    return first_k(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES, recall: float = RECALL
 ) -> DataFrame:
@@ -185,14 +201,19 @@ def nearest(
     from all rows, in blocks. An empty table gives an empty result; see ``clean`` for what takes part.
     """
     held = cut_lineage(vectors.select("vec_id", "values"))
-    index, sample = fit(held, k, tables)
+    index = fit(held, k, tables)
     asked = held.where(F.pmod("vec_id", F.lit(every)) == 0)
     kept = ["vec_id", "values"]
     bucketed = map_columns(held, ["values"], lambda: _buckets(index), "`table` INT, bucket STRING", kept)
     added = "`table` INT, bucket STRING, floor DOUBLE"
-    probes = map_columns(asked, kept, lambda: _probes(index, sample, k, recall), added, kept)
-    best = in_blocks(bucketed, probes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE")
-    found = cut_lineage(first_k(best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k))
+    homes = map_columns(asked, ["values"], lambda: _homes(index), added, kept)
+    near = cut_lineage(_merged(in_blocks(bucketed, homes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE"), k))
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    bounded = asked.join(floors, "vec_id", "left")
+    added = "`table` INT, bucket STRING"
+    probes = map_columns(bounded, ["values"], lambda: _probes(index, recall), added, [*kept, "floor"])
+    far = in_blocks(bucketed, probes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE")
+    found = cut_lineage(_merged(far.unionByName(near.drop("rank")), k))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
     rows = held.count()
