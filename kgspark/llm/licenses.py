@@ -1,12 +1,16 @@
 """Licence scans by sentence recognition and sequence rules (operator 2), in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, one space between words) and mapped to the identifier of
-the known licence sentence that it ends with; the identifiers in order of appearance are matched against ordered rules,
-and what a rule has matched is consumed before the next one looks. All of it happens inside a row: no shuffle.
+A text is normalised (lower case, one space between words, sentence ends kept as a word of their own) and every known
+licence sentence in it is found, wherever it stands; the identifiers in order of appearance are matched against ordered
+rules, and what a rule has matched is consumed before the next one looks. All of it happens inside a row: no shuffle.
+
+The check SQL knows the plain sentences at the end of a sentence only; the notices below go beyond it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +62,94 @@ SENTENCE_END = r"([.!?;:])[ \t\r\n]+|\n[ \t\r]*\n"
 MARK = chr(1)
 
 
+# More known sentences by identifier; " / " is a place where a sentence may end.
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_CC = "licensed under {} creative commons attribution {}4.0 international license"
+_CC_PARTS = {"NC": "noncommercial ", "SA": "sharealike ", "NCSA": "noncommercial sharealike ", "ND": "noderivatives ",
+             "NCND": "noncommercial noderivatives "}
+_PERMISSION = "permission to use copy modify {} distribute this software for any purpose with or without fee is hereby granted"
+_APPEAR = " provided that the above copyright notice and this permission notice appear in all copies"
+NOTICES = (
+    *(
+        ("Apache2Copy", f"you may obtain a copy of the license at / {scheme} www.apache.org licenses license 2.0{kind}")
+        for scheme in ("http", "https")
+        for kind in ("", ".html", ".txt")
+    ),
+    ("LGPLRedistribute", _GNU.format("lesser ")),
+    ("LGPLRedistribute", _GNU.format("library ")),
+    ("AGPLRedistribute", _GNU.format("affero ")),
+    ("GNU2OrLater", _LATER.format("2")),
+    ("GNU21OrLater", _LATER.format("2.1")),
+    ("GPL2Only", _GNU.format("").replace("license as", "license version 2 as")),
+    ("GPL3Only", _GNU.format("").replace("license as", "license version 3 as")),
+    ("GPL2Work", "this work is licensed under the gnu general public license version 2"),
+    ("MPL2", "subject to the terms of the mozilla public license v / 2.0"),
+    ("EPL2", "under the terms of the eclipse public license 2.0"),
+    ("EPL2", "under the terms of the eclipse public license v / 2.0"),
+    ("EPL2", "under the terms of the eclipse public license v2.0"),
+    ("Boost1", "distributed under the boost software license version 1.0"),
+    ("Boost1", "obtaining a copy of the software and accompanying documentation covered by this license"),
+    *(("ISC", _PERMISSION.format(how) + _APPEAR) for how in ("and or", "and")),
+    *(("BSD0", _PERMISSION.format(how)) for how in ("and or", "and")),
+    ("Zlib", "and to alter it and redistribute it freely subject to the following restrictions"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+    ("CC0", "has waived all copyright and related or neighboring rights to"),
+    ("CC0", "licensed under cc0 1.0"),
+    *((f"CCBY{k}4", _CC.format(article, text)) for k, text in {"": "", **_CC_PARTS}.items() for article in ("a", "the")),
+    ("CCBYNCSA4", "licensed under cc by nc sa 4.0"),
+    ("CCBYND4", "licensed under cc by nd 4.0"),
+    ("CCBYNCND4", "licensed under cc by nc nd 4.0"),
+)
+
+# Rules for these; they come after ``RULES``.
+NOTICE_RULES = (
+    ("LGPL-3.0-or-later", ("LGPLRedistribute", "GPLOrLater")),
+    ("LGPL-2.1-or-later", ("LGPLRedistribute", "GNU21OrLater")),
+    ("LGPL-2.0-or-later", ("LGPLRedistribute", "GNU2OrLater")),
+    ("AGPL-3.0-or-later", ("AGPLRedistribute", "GPLOrLater")),
+    ("GPL-2.0-or-later", ("GPLRedistribute", "GNU2OrLater")),
+    ("GPL-2.0", ("GPL2Only",)),
+    ("GPL-2.0", ("GPL2Work",)),
+    ("GPL-3.0", ("GPL3Only",)),
+    ("MPL-2.0", ("MPL2",)),
+    ("EPL-2.0", ("EPL2",)),
+    ("BSL-1.0", ("Boost1",)),
+    ("ISC", ("ISC",)),
+    ("0BSD", ("BSD0",)),
+    ("Zlib", ("Zlib",)),
+    ("Unlicense", ("Unlicense",)),
+    ("CC0-1.0", ("CC0",)),
+    ("CC-BY-NC-SA-4.0", ("CCBYNCSA4",)),
+    ("CC-BY-ND-4.0", ("CCBYND4",)),
+    ("CC-BY-NC-ND-4.0", ("CCBYNCND4",)),
+)
+NOTICE_ANCHORS = (*ANCHORS, "unencumbered", "waived", "hereby granted")
+
+# An opening header line with nothing after it is not a notice yet.
+NOT_BEFORE = {"Apache2Short": "(?! the license(?: /)?$)"}
+
+
 def _anchored(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(ANCHORS))
+    return text.rlike("(?i)" + "|".join(w.replace(" ", r"\W+") for w in NOTICE_ANCHORS))
 
 
-def normalised(sentence: Column) -> Column:
-    words = F.regexp_replace(F.lower(sentence), "[^a-z0-9.+]+", " ")
-    return F.trim(F.regexp_replace(words, r"\.+( |$)", "$1"))
+def normalised(text: Column) -> Column:
+    """Words with one space between them; a slash stands for each end of a sentence."""
+    marked = F.regexp_replace(text, SENTENCE_END, f"$1{MARK}")
+    words = F.regexp_replace(F.lower(marked), f"[^a-z0-9.+{MARK}]+", " ")
+    words = F.regexp_replace(words, rf"\.+( |{MARK}|$)", "$1")
+    return F.trim(F.regexp_replace(words, f" *{MARK}[ {MARK}]*", " / "))
 
 
-def sentence_id(sentence: Column) -> Column:
-    """Identifier of the known sentence that a normalised sentence ends with, the longest first; null for others."""
-    known = sorted(SENTENCES.items(), key=lambda kv: (-len(kv[1]), kv[0]))
-    out = F
-    for name, text in known:
-        out = out.when((sentence == text) | sentence.endswith(f" {text}"), F.lit(name))
-    return out.otherwise(F.lit(None))
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of all known sentences in a normalised text by position; the longest of those that begin together."""
+    known = sorted([*SENTENCES.items(), *NOTICES], key=lambda kv: (-len(kv[1]), kv))
+    found = "|".join(re.escape(t).replace(r"\ ", " ").replace(" / ", "(?: /)? ") + r"(?![^ ])" + NOT_BEFORE.get(n, "") for n, t in known)
+    plain = {t.replace(" /", ""): n for n, t in known}
+    names = F.create_map(*(F.lit(x) for pair in plain.items() for x in pair))
+    matches = F.regexp_extract_all(text, F.lit(f"(?<![^ ])(?:{found})"), F.lit(0))
+    return F.transform(matches, lambda m: names[F.replace(m, F.lit(" /"), F.lit(""))])
 
 
 def _sequence(ids: tuple[str, ...]) -> str:
@@ -84,13 +160,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, sentence_ids, licenses`` of the documents with at least one known licence sentence.
 
     Both lists are joined by commas: identifiers in order of appearance, licences in order of the rules, once for each
-    rule that matched. Sentences end at ``. ! ? ; :`` before white space or at an empty line. Null and empty texts have
-    no sentences and give no row; repeated rows give repeated rows; other columns play no part. The whole text counts.
+    rule that matched. Sentences end at ``. ! ? ; :`` before white space or at an empty line; a known sentence may be a
+    part of one, and goes across an end only where the notice does. Null and empty texts have no sentences and give no
+    row; repeated rows give repeated rows; other columns play no part. The whole text counts.
     """
-    cut = F.split(F.regexp_replace("text", SENTENCE_END, f"$1{MARK}"), MARK)
-    ids = F.transform(F.filter(cut, _anchored), lambda s: sentence_id(normalised(s)))
+    ids = sentence_ids(normalised(F.col("text")))
     rules = F.array(
-        *(F.struct(F.lit(n).alias("name"), F.lit(_sequence(s)).alias("sequence")) for n, s in RULES)
+        *(F.struct(F.lit(n).alias("name"), F.lit(_sequence(s)).alias("sequence")) for n, s in (*RULES, *NOTICE_RULES))
     )
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
 
@@ -104,7 +180,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     known = (
         docs.where(F.col("text").isNotNull() & _anchored(F.col("text")))
-        .select("doc_id", F.filter(ids, lambda i: i.isNotNull()).alias("ids"))
+        .select("doc_id", ids.alias("ids"))
         .where(F.size("ids") > 0)
     )
     # Two commas stand between identifiers, so that neighbouring matches do not share one.

@@ -131,6 +131,35 @@ def test_license_rules(documents):
     assert all(any(a in t for a in licenses.ANCHORS) for n, t in licenses.SENTENCES.items() if "anchor" not in n)
 
 
+GNU = (
+    "This program is free software{} you can redistribute it and/or modify\n    it under the terms of the GNU {}General Public "
+    "License as published by\n    the Free Software Foundation{} either version {} of the License, or\n    (at your option) any later version."
+)
+
+
+def test_canonical_notices(documents):
+    notices = {
+        'Copyright 2024 A\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in '
+        "compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        "Unless required by applicable law or agreed to in writing, software": "Apache-2.0",
+        GNU.format(":", "", ",", "3"): "GPL-3.0-or-later",
+        GNU.format(";", "", ";", "2"): "GPL-2.0-or-later",
+        GNU.format(":", "Affero ", ",", "3"): "AGPL-3.0-or-later",
+        GNU.format(";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not": "MPL-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0BSD",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "It was released under the MIT License in 2020, like all of them.": "MIT",
+        "Those were all rights. Reserved seats are free.": None,
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(documents(list(enumerate(notices)))).collect()}
+    assert got == {i: v for i, v in enumerate(notices.values()) if v}
+    assert all(any(a in t for a in licenses.NOTICE_ANCHORS) for _, t in licenses.NOTICES)
+
+
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
