@@ -4,7 +4,9 @@ Largest inner product becomes least distance: vectors are divided by the greates
 that makes all of them unit vectors. Each table cuts several random projections into slots. A query visits its own
 bucket and perturbed ones in the order of their estimated chance to hold a neighbour, until the chances add up to what
 the wanted recall asks of a table. Its own buckets come first: the k-th best score in them is a lower bound, so that the
-perturbed ones only hand on rows that may still be among the k best, however many rows there are. Candidates of all
+perturbed ones only hand on rows that may still be among the k best, however many rows there are. The same score bounds
+the distance of the query's own k-th neighbour, from which the chances follow; nothing about it is taken from other
+queries, whose neighbours may be copies. Candidates of all
 tables are merged and ranked by exact products of the original vectors. Queries that find too few candidates are answered
 from all rows.
 """
@@ -34,8 +36,8 @@ SEED = 20240601
 
 @dataclass(frozen=True)
 class Index:
-    """Random projections ``(tables, hashes, dimension + 1)`` and offsets, the greatest length, the distance of a
-    typical k-th neighbour."""
+    """Random projections ``(tables, hashes, dimension + 1)`` and offsets, the greatest length, the distance of the
+    k-th neighbour for queries whose own buckets hold fewer than k rows."""
 
     directions: np.ndarray
     offsets: np.ndarray
@@ -74,13 +76,14 @@ def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> Index:
     directions = random.standard_normal((tables, hashes, (width or 0) + 1))
     offsets = random.random((tables, hashes))
     index = Index(directions, offsets, longest or 1.0, 1.0)
-    if len(sample) > 1:
-        values = matrix([r["values"] for r in sample])
+    values = matrix(sorted({tuple(r["values"]) for r in sample}))
+    if len(values) > 1:
+        values = values[random.permutation(len(values))]
         near = index.unit(values[:128], True) @ index.unit(values, False).T
-        near[np.arange(min(128, len(values))), np.arange(min(128, len(values)))] = -1
-        near = np.sort(near[near > -1])
-        at = min(len(near) - 1, int(len(near) * min(1.0, k / max(1, rows))))
-        index = Index(directions, offsets, index.longest, math.sqrt(max(1e-12, 2 - 2 * near[len(near) - 1 - at])))
+        np.fill_diagonal(near, -np.inf)
+        near = -np.sort(-near, axis=1)[:, :-1]
+        at = min(near.shape[1] - 1, int(near.shape[1] * min(1.0, k / max(1, rows))))
+        index = Index(directions, offsets, index.longest, math.sqrt(max(1e-12, 2 - 2 * float(np.median(near[:, at])))))
     return index
 
 
@@ -137,18 +140,28 @@ def _homes(index: Index):
     return work
 
 
+def neighbour_distances(index: Index, queries: np.ndarray, floors: list[float | None]) -> list[float]:
+    """Distance between unit vectors of each query and a row of score ``floor``: no k-th neighbour is farther."""
+    lengths = np.sqrt((queries**2).sum(1)) * index.longest
+    return [
+        index.distance if floor is None else math.sqrt(max(1e-12, 2 - 2 * min(1.0, floor / max(length, 1e-300))))
+        for floor, length in zip(floors, lengths)
+    ]
+
+
 def _probes(index: Index, recall: float):
-    """The perturbed buckets of a query, its own ones left out; ``floor`` goes along."""
+    """The perturbed buckets of a query, its own ones left out; ``floor`` goes along and bounds the distance."""
     wanted = 1 - (1 - recall) ** (1 / len(index.directions))
-    spread = index.distance / WIDTH
 
-    def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
-        places = index.places(index.unit(matrix(values), True))
+    def work(values: list[list[float]], floors: list[float | None]) -> tuple[list[list], list[int]]:
+        own = matrix(values)
+        places = index.places(index.unit(own, True))
+        distances = neighbour_distances(index, own, floors)
         tables, keys, owners = [], [], []
         for i in range(len(values)):
             for t in range(places.shape[1]):
                 home = tuple(np.floor(places[i, t]).astype(int).tolist())
-                for slot in probe_order(places[i, t], spread, wanted):
+                for slot in probe_order(places[i, t], distances[i] / WIDTH, wanted):
                     if slot != home:
                         tables.append(t)
                         keys.append(" ".join(map(str, slot)))
@@ -211,7 +224,7 @@ def nearest(
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     bounded = asked.join(floors, "vec_id", "left")
     added = "`table` INT, bucket STRING"
-    probes = map_columns(bounded, ["values"], lambda: _probes(index, recall), added, [*kept, "floor"])
+    probes = map_columns(bounded, ["values", "floor"], lambda: _probes(index, recall), added, [*kept, "floor"])
     far = in_blocks(bucketed, probes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE")
     found = cut_lineage(_merged(far.unionByName(near.drop("rank")), k))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)

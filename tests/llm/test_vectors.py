@@ -109,3 +109,19 @@ def test_recall_on_the_shared_table(spark):
         s[at] = -np.inf
         hits.append(len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & got[ids[at]]))
     assert np.mean(hits) / 20 >= 0.9
+
+
+def test_recall_beside_copies(spark):
+    x, ids = np.random.default_rng(5).normal(size=(6000, 24)), np.arange(6000)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[ids % 3 == 1] = x[1]
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = {}
+    for r in multiprobe.nearest(multiprobe.clean(df)).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        hits.append(np.mean(np.array(got[ids[at]]) >= np.sort(s)[-20] - 1e-9))
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.5
