@@ -6,8 +6,8 @@
    a count and an order-free hash, so that no task gathers a host. A class that occurs in enough of the pages, in one
    order, is valid; valid classes nest by path into the host's template.
 3. The slots of the template are the texts its tokens enclose. Slots of menus, headers, footers, sidebars, notices,
-   adverts, forms and comments are passed over by the markup of their path, and slots whose text hardly varies over the
-   host's pages by that. The rest of the main slot is the text.
+   adverts, forms and comments are passed over by the markup of their path, and slots that one
+   and the same text fills on most of the host's distinct pages. The rest of the main slot is the text.
 
 Compare Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages" (SIGMOD 2003).
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -27,7 +28,7 @@ from .url_filter import url_parts
 
 LEAST_PAGES = 8  # distinct pages of a host from which variation tells something
 LEAST_SUPPORT = 0.3  # share of a host's pages that a template token occurs in
-STATIC = 0.1  # a slot with this share of the variation of its main slot, or less, is template text
+SAME = 0.5  # a slot that one text fills on more than this share of the distinct pages is template text
 DEEPEST = 40  # containers a path names; deeper ones count with the last
 MOST_BROADCAST_ROWS = 50_000  # template rows that are broadcast; more are joined
 
@@ -114,6 +115,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
         yield "open", path(), ""
 
 
+@lru_cache(1 << 14)
 def outside(path: str) -> bool:
     """Whether the markup of a path says that it is not the article."""
     inside = False
@@ -150,22 +152,31 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
         yield where, "".join(held)
 
 
+def _digest(before: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), before)
+
+
 def _occurrences():
-    """Per page and path: how often it opens, the place of its first opening among them, length and hash of its texts."""
+    """Per page and path: how often it opens, the place of its first opening among them, length and hash of its texts;
+    with each the hash of what the page has outside menus and the like, which tells variations from copies."""
 
     def work(pages: list[str | None]) -> tuple[list[list], list[int]]:
-        out, owners = [[], [], [], [], []], []
+        out, owners = [[], [], [], [], [], []], []
         for i, page in enumerate(pages):
             opened: dict[str, list] = {}
+            variant = 0
             for kind, path, _ in walk(page or ""):
                 if kind == "open":
                     opened.setdefault(path, [0, len(opened), 0, 0])[0] += 1
             for path, text in blocks(page or ""):
-                if path in opened and (text := _clean(text)):
-                    opened[path][2] += len(text)
-                    opened[path][3] ^= xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+                if text := _clean(text):
+                    if path in opened:
+                        opened[path][2] += len(text)
+                        opened[path][3] = _digest(opened[path][3], text)
+                    if not outside(path):
+                        variant = _digest(_digest(variant, path), text)
             for path, (n, first, size, digest) in opened.items():
-                for column, value in zip(out, (path, n, first, size, digest - (1 << 63))):
+                for column, value in zip(out, (path, n, first, size, digest - (1 << 63), variant - (1 << 63))):
                     column.append(value)
                 owners.append(i)
         return out, owners
@@ -179,18 +190,22 @@ def templates(pages: DataFrame) -> DataFrame:
     ``main`` marks the main slot: the article or main element of the template, else its innermost token that encloses
     most of the text outside menus and the like. ``static`` marks slots with template text.
     """
-    added = "path STRING, n INT, first INT, size BIGINT, digest BIGINT"
+    added = "path STRING, n INT, first INT, size BIGINT, digest BIGINT, variant BIGINT"
     seen = cut_lineage(map_columns(pages, ["html"], _occurrences, added, ["page_id", "host"]))
-    per_host = seen.groupBy("host").agg(F.approx_count_distinct("page_id", 0.02).alias("pages"))
+    variants = seen.select("host", "variant").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("variants"))
+    per_host = seen.groupBy("host").agg(F.approx_count_distinct("page_id", 0.02).alias("pages")).join(variants, "host")
     tokens = seen.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("support"),
         F.bit_xor(F.xxhash64("page_id", "n")).alias("vector"),
         F.sum("size").alias("size"),
-        F.approx_count_distinct(F.when(F.col("size") > 0, F.col("digest")), 0.02).alias("texts"),
     )
-    likely = cut_lineage(tokens.join(per_host, "host").where(F.col("support") >= LEAST_SUPPORT * F.col("pages")))
+    filled = seen.where("size > 0").select("host", "path", "digest", "variant").distinct()
+    texts = filled.groupBy("host", "path", "digest").agg(F.count(F.lit(1)).alias("n"))
+    same = texts.groupBy("host", "path").agg(F.max("n").alias("same"))
+    frequent = tokens.join(per_host, "host").where(F.col("support") >= LEAST_SUPPORT * F.col("pages"))
+    likely = cut_lineage(frequent.join(same, ["host", "path"], "left"))
     valid = _ordered(likely, seen)
-    nested = valid.groupBy("host").agg(F.collect_list(F.struct("path", "support", "size", "texts")).alias("tokens"))
+    nested = valid.groupBy("host").agg(F.collect_list(F.struct("path", "size", "same", "variants")).alias("tokens"))
 
     def decide(tokens: list[list[dict]]) -> tuple[list[list], list[int]]:
         paths, main, static, owners = [], [], [], []
@@ -229,8 +244,7 @@ def template_roles(tokens: list[dict]) -> tuple[set[str], set[str]]:
         deep = [t["path"] for t in inside if enclosed(t["path"]) >= 0.8 * total]
         main = {max(deep, key=lambda p: (p.count("/"), p))} if deep and total else set()
     held = [t for t in inside if any(t["path"] == m or t["path"].startswith(m + "/") for m in main)]
-    most = max((t["texts"] for t in held), default=0)
-    static = {t["path"] for t in held if most >= LEAST_PAGES and t["size"] and t["texts"] <= STATIC * min(most, t["support"])}
+    static = {t["path"] for t in held if t["variants"] >= LEAST_PAGES and (t["same"] or 0) > SAME * t["variants"]}
     return main, static
 
 

@@ -45,6 +45,14 @@ def test_copies_do_not_become_template(spark):
     assert {r.text for r in page_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"One same text"}
 
 
+def test_bylines_stay_on_hosts_of_any_size(spark):
+    page = "<body><nav>menu</nav><article><p class='byline'>By author {}<h2>Part {}</h2><div class='x7'>Call</div><p>text {}</article>"
+    sizes = {"small": 20, "large": 300}
+    rows = [(i, f"http://{h}/{i}", page.format(i % 5, i % 3, i), "", "") for h, n in sizes.items() for i in range(n)]
+    got = {(r.url, r.text) for r in page_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {(f"http://{h}/{i}", f"By author {i % 5} Part {i % 3} text {i}") for h, n in sizes.items() for i in range(n)}
+
+
 def test_shared_pages(spark):
     source = {r.page_id: r.html for r in table(spark, SF, "pages").collect()}
     for r in queries.QUERIES["op9_page_text"](spark, SF).collect():
