@@ -188,15 +188,17 @@ def templates(pages: DataFrame) -> DataFrame:
     """``host, path, main, static`` of the template tokens of each host of ``pages(page_id, host, html)``.
 
     ``main`` marks the main slot: the article or main element of the template, else its innermost token that encloses
-    most of the text outside menus and the like. ``static`` marks slots with template text.
+    most of the text outside menus and the like. ``static`` marks slots with template text. A page listed twice counts
+    once; pages without an id, or with the same one, are told apart by their content.
     """
     added = "path STRING, n INT, first INT, size BIGINT, digest BIGINT, variant BIGINT"
-    seen = cut_lineage(map_columns(pages, ["html"], _occurrences, added, ["page_id", "host"]))
+    keyed = pages.withColumn("page", F.xxhash64("page_id", "html"))  # ids may be null or clash
+    seen = cut_lineage(map_columns(keyed, ["html"], _occurrences, added, ["page", "host"]).distinct())
     variants = seen.select("host", "variant").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("variants"))
-    per_host = seen.groupBy("host").agg(F.approx_count_distinct("page_id", 0.02).alias("pages")).join(variants, "host")
+    per_host = seen.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages")).join(variants, "host")
     tokens = seen.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("support"),
-        F.bit_xor(F.xxhash64("page_id", "n")).alias("vector"),
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.sum("size").alias("size"),
     )
     filled = seen.where("size > 0").select("host", "path", "digest", "variant").distinct()
@@ -224,8 +226,8 @@ def templates(pages: DataFrame) -> DataFrame:
 def _ordered(tokens: DataFrame, seen: DataFrame) -> DataFrame:
     """The tokens of valid classes: equal occurrence vectors, and one order of first openings on every page."""
     members = tokens.select("host", "path", "vector", "support")
-    placed = seen.select("page_id", "host", "path", "first").join(members, ["host", "path"])
-    order = Window.partitionBy("page_id", "host", "vector", "support").orderBy("first")
+    placed = seen.select("page", "host", "path", "first").join(members, ["host", "path"])
+    order = Window.partitionBy("page", "host", "vector", "support").orderBy("first")
     ranked = placed.withColumn("rank", F.row_number().over(order))
     steady = ranked.groupBy("host", "path").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
     return tokens.join(steady.where("low = high").select("host", "path"), ["host", "path"], "left_semi")

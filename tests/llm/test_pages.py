@@ -31,6 +31,14 @@ def test_template_of_a_host(spark):
         assert got[i] == (text, len(text))
 
 
+def test_repeated_rows_keep_the_template(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"http://a.example.com/{i}", SHELL.format(kind="c1", n=letters[i]), "h", "t") for i in range(20)]
+    rows += [rows[0], (None, *rows[1][1:]), (None, *rows[2][1:]), (3, *rows[4][1:])]
+    got = {(r.url, r.text) for r in page_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {(f"http://a.example.com/{i}", f"T{c} & U One{c} two three open bold") for i, c in enumerate(letters[:20])}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://x/", "plain &lt; text"), (4, "http://x/", "<article>a<!-- b --><p>c"),
             (None, "http://x/", "<p>" + "long " * 50_000), (4, "http://x/", "<article>a<!-- b --><p>c")]
