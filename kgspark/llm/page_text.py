@@ -29,7 +29,7 @@ from .url_filter import url_parts
 LEAST_PAGES = 8  # distinct pages of a host from which variation tells something
 LEAST_SUPPORT = 0.3  # share of a host's pages that a template token occurs in
 SAME = 0.5  # a slot that one text fills on more than this share of the distinct pages is template text
-DEEPEST = 40  # containers a path names; deeper ones count with the last
+DEEPEST = 40  # containers a path names; what is below them goes by a hash of its full path
 MOST_BROADCAST_ROWS = 50_000  # template rows that are broadcast; more are joined
 
 # Element kinds of HTML.
@@ -57,16 +57,28 @@ MARKED = re.compile(
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
+_IN_ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[.#@!/]|$)")
 
 
 def walk(page: str) -> Iterator[tuple[str, str, bool]]:
     """``kind, path, text`` events of a page: ``open`` with the path of the element, ``text`` with the path of its
-    container, ``break`` at the edges of blocks. Unclosed and stray tags are borne."""
-    stack: list[tuple[str, str]] = []  # element, step of the path
+    container, ``break`` at the edges of blocks. Unclosed and stray tags are borne, at any depth."""
+    stack: list[tuple[str, str, str]] = []  # element, path, the part of the path that is spelled out
     at, raw = 0, None
 
     def path() -> str:
-        return "/".join(step for _, step in stack[:DEEPEST])
+        return stack[-1][1] if stack else ""
+
+    def entered(name: str, step: str) -> tuple[str, str, str]:
+        if len(stack) < DEEPEST:
+            own = f"{path()}/{step}" if stack else step
+            return name, own, own
+        _, above, spelled = stack[-1]
+        key = "~" + xxhash.xxh3_64_hexdigest(f"{above}/{step}".encode("utf-8", "replace"))
+        key += "!" if outside(f"{above}/{step}") else ""
+        if name in ("article", "main") and not _IN_ARTICLE.search(spelled):
+            return name, f"{spelled}/{name}.{key}", f"{spelled}/{name}.{key}"
+        return name, f"{spelled}/{key}", spelled
 
     while at < len(page):
         if raw is not None:  # up to the end tag nothing else counts
@@ -111,7 +123,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
         )
         if "hidden" in values or values.get("aria-hidden") == "true":
             step += "!"
-        stack.append((name, re.sub(r"\d+", "0", step.replace("/", "|"))))
+        stack.append(entered(name, re.sub(r"\d+", "0", step.replace("/", "|"))))
         yield "open", path(), ""
 
 

@@ -39,6 +39,17 @@ def test_repeated_rows_keep_the_template(spark):
     assert got == {(f"http://a.example.com/{i}", f"T{c} & U One{c} two three open bold") for i, c in enumerate(letters[:20])}
 
 
+@pytest.mark.parametrize("depth", [0, 38, 39, 40, 41, 60, 3000])
+def test_markup_below_any_depth(depth):
+    inner = "<nav>menu</nav><article><header>Title</header><div><p>text</div><div class='comments'><div><p>reply</div></div></article><footer><p>foot"
+    page = "<body>" + "<div>" * depth + inner
+    assert page_text.main_text(page, set(), set()) == "Title text"
+    paths = {text: path for path, text in page_text.blocks(page)}
+    assert len(set(paths.values())) == 5 and max(map(len, paths.values())) < 400
+    (article,) = {p for kind, p, _ in page_text.walk(page) if kind == "open" and re.match("article", p.rpartition("/")[2])}
+    assert [t for t, p in paths.items() if p.startswith(article + "/")] == ["Title", "text", "reply"]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://x/", "plain &lt; text"), (4, "http://x/", "<article>a<!-- b --><p>c"),
             (None, "http://x/", "<p>" + "long " * 50_000), (4, "http://x/", "<article>a<!-- b --><p>c")]
