@@ -290,11 +290,33 @@ def assemble_book(d: Data) -> DataFrame:
     "sections",
 )
 def assembled_books(d: Data) -> DataFrame:
-    """O1: digest of the blocks of each book, concatenated in order, against the joined book"""
-    ordered = F.array_sort(F.collect_list(F.struct("chapter_pos", "subchapter_pos", "kind", "content")))
-    whole = F.array_join(F.transform("parts", lambda p: p["content"]), "")
-    books = assemble.assemble_book(_book(d)).groupBy("doc_id").agg(ordered.alias("parts"))
-    return books.select("doc_id", F.size("parts").cast("long").alias("blocks"), F.md5(whole).alias("digest"))
+    """O1: digest of the blocks of each book, taken in order row by row, against the joined book"""
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def row(doc_id, n, md5):
+            columns = pa.array([doc_id], pa.string()), pa.array([n], pa.int64()), pa.array([md5.hexdigest()], pa.string())
+            return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "blocks", "digest"])
+
+        book, n, md5 = None, 0, None
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                if n and doc_id != book:
+                    yield row(book, n, md5)
+                    n = 0
+                if not n:
+                    book, md5 = doc_id, hashlib.md5()
+                n += 1
+                md5.update((text or "").encode())
+        if n:
+            yield row(book, n, md5)
+
+    places = ("doc_id", "chapter_pos", "subchapter_pos", "kind")
+    ordered = assemble.assemble_book(_book(d)).repartition("doc_id").sortWithinPartitions(*places)
+    return ordered.select("doc_id", "content").mapInArrow(digests, "doc_id STRING, blocks BIGINT, digest STRING")
 
 
 @query(

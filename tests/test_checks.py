@@ -48,3 +48,8 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     assert {r["kind"] for r in rows} == {"node", "edge"}
+
+
+def test_books_are_not_gathered_into_a_row(spark):
+    plan = catalog.queries()["assembled_books"](spark, SF_DIR)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
