@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import pytest
-from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
 from kgspark import catalog
 from kgspark.catalog.fixtures import TABLES
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, CHECKS = catalog.queries(), catalog.checks()
 
 
