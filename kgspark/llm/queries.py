@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, licenses, multiprobe, ngram_join, packing, page_text, quality, toxicity, url_filter
+from . import (
+    bpe,
+    exact_topk,
+    filter_audit,
+    licenses,
+    multiprobe,
+    ngram_join,
+    packing,
+    page_text,
+    quality,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from .support import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -99,3 +112,13 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query(filter_audit.check_sql())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(vector_codes.check_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))

@@ -8,21 +8,37 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, scratch_path
 
 SLICE_ROWS = 256
+SALTS = 64
 
-__all__ = ["cut_lineage", "keep_rows", "map_columns", "scratch_path", "ship_package", "table"]
+__all__ = ["cut_lineage", "join_hot", "keep_rows", "map_columns", "scratch_path", "ship_package", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, spread: Column, salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``per_key``, one row per value of ``key`` there, nulls being equal.
+
+    The few rows of ``per_key`` are repeated for each salt, and each row of the other side has the salt that its column
+    ``spread`` gives, so a key that most rows share is read by many tasks.
+    """
+    repeated = per_key.withColumnRenamed(key, "joined_key").withColumn(
+        "joined_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    salted = rows.withColumn("row_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    same = F.col(key).eqNullSafe(F.col("joined_key")) & (F.col("row_salt") == F.col("joined_salt"))
+    return salted.join(repeated, same).drop("row_salt", "joined_salt", "joined_key")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the Python workers import this package by name, as ``--py-files`` does; once per application.
 
