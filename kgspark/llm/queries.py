@@ -17,6 +17,7 @@ from . import (
     ngram_join,
     packing,
     page_text,
+    perplexity,
     quality,
     toxicity,
     url_filter,
@@ -119,6 +120,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op12_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 @query(vector_codes.check_sql())
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
