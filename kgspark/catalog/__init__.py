@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import graph_queries, rule_queries, run_queries, storage_queries, text_queries  # noqa: F401  (register their queries)
+from . import (  # noqa: F401  (register their queries)
+    bucket_queries,
+    graph_queries,
+    name_queries,
+    neighbourhood_queries,
+    rule_queries,
+    run_queries,
+    storage_queries,
+    text_queries,
+)
 from .registry import CHECKS, QUERIES, Query
 
 

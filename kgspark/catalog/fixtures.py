@@ -15,6 +15,7 @@ TABLES = (
 def _views(table: Callable[[str], str], hex60: Callable[[str], str], nl: str = "chr(10)") -> dict[str, str]:
     customer, part, lineitem, orders = table("customer"), table("part"), table("lineitem"), table("orders")
     documents, events, conversations = table("documents"), table("events"), table("conversations")
+    benchmark = table("benchmark")
     line_order = (
         "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), "
         "CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), "
@@ -141,6 +142,14 @@ def _views(table: Callable[[str], str], hex60: Callable[[str], str], nl: str = "
                    split(CASE WHEN p_size > 2 THEN ' ' || p_name || ',,Size_' || CAST(p_size AS STRING) ||
                                       ', ' || upper(p_name) ELSE ' ' END, ',') AS keywords
             FROM {part}""",
+        "named_nodes": f"""
+            SELECT 'b' || CAST(item_id AS STRING) AS id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name,
+                   split(split_part(text, ' ', 3) || '~' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) ||
+                         ' ' || split_part(text, ' ', 3), '~') AS aliases
+            FROM {benchmark}
+            UNION ALL
+            SELECT 'p' || CAST(p_partkey AS STRING), p_name, split(p_brand || '~size ' || CAST(p_size AS STRING), '~')
+            FROM {part}""",
         "mentions": f"""
             SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) AS chunk_id, 'p' || CAST(l_partkey AS STRING) AS node_id
             FROM {lineitem}""",

@@ -826,8 +826,8 @@ STORED_NODES = "stored AS (SELECT scope, id, name, description, TIMESTAMP '2020-
     "raw_nodes incoming_nodes",
 )
 def upsert_nodes(d: Data) -> DataFrame:
-    """B1"""
-    merged = store.upsert_nodes(_stored_nodes(d), d.view("incoming_nodes"))
+    """B1 with scopes kept apart"""
+    merged = store.upsert_nodes(_stored_nodes(d), d.view("incoming_nodes"), store.NODE_KEY)
     return merged.select("scope", "id", "name", "description", micros("created_at"), micros("updated_at"))
 
 

@@ -1,12 +1,13 @@
 """Model output to tables: graph markdown, outline JSON, research notes, review reports, question blocks, progress lines.
 
-All parsing is row-wise (split, explode, regular expressions), so no shuffle happens here.
+All parsing is row-wise (split, explode, regular expressions; a small function for nested lines), so no shuffle happens here.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +141,42 @@ def extract_hierarchy(outputs: DataFrame) -> DataFrame:
     return outputs.select(*_context(outputs), block.alias("hierarchy"))
 
 
+def extract_levels(outputs: DataFrame) -> DataFrame:
+    """One row for each line of the hierarchy block with text: ``line``, ``level``, ``title`` and the ``parent`` line.
+
+    Lines count from 1. A line belongs to the nearest line above it that is indented less (a tab counts as four
+    spaces); without one it is at level 1 and has no parent. A bullet is not part of the title.
+    """
+    keep = _context(outputs)
+    block = t.or_empty(t.after_marker("raw", HIERARCHY_HEADING))
+
+    @F.pandas_udf("array<struct<line: int, level: int, title: string, parent: int>>")
+    def nested(blocks: pd.Series) -> pd.Series:
+        def rows(block: str) -> list[dict]:
+            out, above = [], []  # above: indent and line of the open levels
+            for text in block.split("\n"):
+                bare = text.strip()
+                if not bare:
+                    continue
+                indent = len((lead := text[: len(text) - len(text.lstrip())]).replace("\t", "")) + 4 * lead.count("\t")
+                while above and above[-1][0] >= indent:
+                    above.pop()
+                out.append(
+                    {
+                        "line": len(out) + 1,
+                        "level": len(above) + 1,
+                        "title": bare[1:].strip() if bare[0] in "-*+" else bare,
+                        "parent": above[-1][1] if above else None,
+                    }
+                )
+                above.append((indent, len(out)))
+            return out
+
+        return blocks.map(rows)
+
+    return outputs.select(*keep, F.explode(nested(block)).alias("_row")).select(*keep, "_row.*")
+
+
 def standardize_nodes(raw_nodes: DataFrame, now: Column) -> DataFrame:
     """String casts and defaults for raw nodes; ``scope`` falls back to ``topic``, a bad time stamp to ``now``."""
     created = _timestamp("created_at", now)

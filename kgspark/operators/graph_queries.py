@@ -171,7 +171,7 @@ def edge_detail(edges: DataFrame, nodes: DataFrame, rid: str, scope: str | None
 # ------------------------------------------------------------ neighbourhoods
 
 
-def _arcs(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge in both directions (a loop once)."""
     both = F.array_distinct(
         F.array(
@@ -208,7 +208,7 @@ def _start(centers: DataFrame) -> DataFrame:
 
 def all_trails(edges: DataFrame, centers: DataFrame, depth: int) -> DataFrame:
     """Every trail of 1 to ``depth`` edges from the given ``center`` values, unlimited."""
-    arcs, frontier, found = _arcs(edges), _start(centers), None
+    arcs, frontier, found = both_ways(edges), _start(centers), None
     for _ in range(depth):
         frontier = _extend(frontier, arcs)
         found = frontier if found is None else found.unionByName(frontier)
@@ -235,7 +235,7 @@ def first_trails(edges: DataFrame, centers: Sequence[str], depth: int, limit: in
     found: list = []
     for _ in range(depth):
         room = limit - len(found)
-        arcs = _arcs(_touching(edges, ends))
+        arcs = both_ways(_touching(edges, ends))
         step = _extend(F.broadcast(frontier), arcs).orderBy("center", "rids", "node_ids").limit(room)
         rows = step.collect()
         ends = sorted({r["node_ids"][-1] for r in rows})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .clean import drop_dangling
+from .containment import containing
 from .ordering import first_wins
 
 # Fixed values of the display merge.
@@ -31,7 +32,7 @@ def _longest_first(description: str, order: Sequence[str]) -> Column:
     return F.min_by(text, F.struct((-F.length(text)).alias("shortness"), *[F.col(c) for c in order]))
 
 
-def _alias_union(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def alias_union(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sorted distinct aliases per key. Duplicates are removed before anything is gathered per key."""
     return (
         rows.select(*keys, F.explode("aliases").alias("_alias"))
@@ -45,23 +46,27 @@ def _alias_union(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- book merge
 
 
-def _keyed_by_name(nodes: DataFrame) -> DataFrame:
+def keyed_by_name(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("_name", t.normalize_name("name")).withColumn("_type", t.or_empty("type"))
 
 
+def merge_groups(keyed: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per key ``_rows``, the first node as ``_base`` and the longest ``_description``; combined before the shuffle."""
+    return keyed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by(F.struct(*columns), _order(order)).alias("_base"),
+        _longest_first("description", order).alias("_description"),
+    )
+
+
 def merge_nodes(nodes: DataFrame, book_id: str, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """One node per normalised name and type: the first node's fields, the longest description, all aliases.
 
     A node that merges with nothing keeps its aliases as they are.
     """
-    keyed = _keyed_by_name(nodes)
+    keyed = keyed_by_name(nodes)
     keys = ["_name", "_type"]
-    groups = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min_by(F.struct(*nodes.columns), _order(order)).alias("_base"),
-        _longest_first("description", order).alias("_description"),
-    )
-    merged = groups.join(_alias_union(keyed, keys), keys, "left")
+    merged = merge_groups(keyed, keys, nodes.columns, order).join(alias_union(keyed, keys), keys, "left")
     alone = F.col("_rows") == 1
     replaced = {
         "description": F.when(alone, F.col("_base.description")).otherwise(F.col("_description")),
@@ -79,7 +84,7 @@ def _with(columns: list[str], *extra: str) -> list[str]:
 
 def merged_node_ids(nodes: DataFrame, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """``id`` of every node and ``merged_id`` of the node it merges into."""
-    keyed = _keyed_by_name(nodes)
+    keyed = keyed_by_name(nodes)
     kept = keyed.groupBy("_name", "_type").agg(F.min_by("id", _order(order)).alias("merged_id"))
     mapped = keyed.select("_name", "_type", "id", *order).join(kept, ["_name", "_type"])
     return first_wins(mapped, ["id"], order).select("id", "merged_id")
@@ -217,7 +222,7 @@ def merge_nodes_display(nodes: DataFrame, order: Sequence[str] = ARRIVAL) -> Dat
         F.max(F.coalesce("score", F.lit(0.0))).alias("_score"),
         F.max_by("updated_at", F.when(F.col("updated_at").isNotNull(), _order(order))).alias("_updated"),
     )
-    merged = groups.join(_alias_union(keyed.where("_concept"), keys), keys, "left")
+    merged = groups.join(alias_union(keyed.where("_concept"), keys), keys, "left")
     combine = F.col("_concept") & (F.col("_rows") > 1)
     values = {
         "description": F.col("_description"),
@@ -319,6 +324,21 @@ def display_evidence(edges: DataFrame) -> DataFrame:
     )
 
 
+def folded_evidence(edges: DataFrame) -> DataFrame:
+    """``edge_key, text, seen``: the evidence texts of a display key that no earlier text of the key contains, as rows.
+
+    What ``merge_edges_display`` joins, in order of ``seen``, without meeting in one row: texts find those that they are
+    part of on their rarest characters, so a key with any number of distinct texts is spread. (The joined string also
+    swallows a text that only its own separators make up.)
+    """
+    texts = display_evidence(edges).where("text <> ''").select("edge_key", "text", "seen")
+    within = containing(texts, texts.select("edge_key", F.col("text").alias("name")), ["edge_key"]).where("text <> name")
+    earlier = texts.select("edge_key", "text", F.col("seen").alias("text_seen"))
+    named = texts.select("edge_key", F.col("text").alias("name"), F.col("seen").alias("name_seen"))
+    lost = within.join(earlier, ["edge_key", "text"]).join(named, ["edge_key", "name"]).where("text_seen < name_seen")
+    return texts.join(lost.select("edge_key", F.col("name").alias("text")).distinct(), ["edge_key", "text"], "left_anti")
+
+
 @dataclass(frozen=True)
 class DisplayGraph:
     nodes: DataFrame
@@ -342,16 +362,3 @@ def merge_graphs_display(nodes: DataFrame, edges: DataFrame, sections: DataFrame
         F.array_sort(F.collect_list("chapter")).alias("chapters_covered"),
     ).withColumn("hierarchy", F.lit(DISPLAY_HIERARCHY))
     return DisplayGraph(merged_nodes, merged_edges, summary)
-
-
-# ---------------------------------------------------------- concept merging
-
-
-def merge_similar_concepts(concepts: DataFrame, similarity_threshold: float = 0.8) -> DataFrame:
-    """Returns its input: no similarity rule is defined for concepts."""
-    return concepts
-
-
-def detect_synonyms(names: DataFrame) -> DataFrame:
-    """Every name is a synonym group of its own."""
-    return names.select(F.array("name").alias("synonyms"))

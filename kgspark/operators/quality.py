@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .components import connected_components
+from .containment import contained
 
 # Score weights and markers.
 UNKNOWN_SUBCHAPTER = "未知子章节"
@@ -19,10 +20,6 @@ REPORT = (
 )
 BRIEF = "知识图谱构建摘要：\n- 节点数量: %d\n- 边数量: %d\n- 连通性分数: %s\n- 覆盖度分数: %s"
 
-# A keyword is looked up by its first KEY_LENGTH characters, or as a whole where more than KEY_FANOUT keywords share them.
-KEY_LENGTH = 4
-KEY_FANOUT = 16
-
 
 def _zero(name: str, kind: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0).cast(kind)).alias(name)
@@ -101,52 +98,16 @@ def subchapter_coverage(nodes: DataFrame, outline: DataFrame) -> DataFrame:
 def keyword_hits(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """Distinct (scope, keyword) pairs where the keyword occurs in a name, description or alias, ignoring case.
 
-    The containment test is an equi join: the first characters of a keyword must occur somewhere in the text, so texts
-    are cut into pieces of the lengths in use and joined on the piece; the full containment test follows on the few
-    candidates. Keywords with a crowded beginning are joined on their whole text instead, so a piece of text never
-    meets more than ``KEY_FANOUT`` keywords that it does not contain. Equal texts of a scope are examined once.
+    Keywords meet the distinct texts of their scope on their rarest characters; see ``containment.contained``.
     """
-    needles = keywords.select("scope", "keyword", F.lower("keyword").alias("_needle")).where("_needle <> ''").distinct()
-    needles = needles.withColumn("_start", F.substring("_needle", 1, KEY_LENGTH))
-    crowds = needles.groupBy("scope", "_start").agg(F.count(F.lit(1)).alias("_crowd"))
-    keys = needles.join(crowds, ["scope", "_start"]).select(
+    needles = keywords.select("scope", "keyword", F.lower("keyword").alias("name"))
+    texts = nodes.select(
         "scope",
-        "keyword",
-        "_needle",
-        F.when(F.col("_crowd") <= KEY_FANOUT, F.col("_start")).otherwise(F.col("_needle")).alias("_piece"),
-    )
-    lengths = keys.agg(F.sort_array(F.collect_set(F.length("_piece")))).scalar()
-    texts = (
-        nodes.select(
-            "scope",
-            F.explode(
-                F.concat(F.array("name", "description"), F.coalesce("aliases", F.array().cast("array<string>")))
-            ).alias("_text"),
-        )
-        .where("_text <> ''")
-        .select("scope", F.lower("_text").alias("_text"))
-        .distinct()
-    )
-    pieces = texts.withColumn("_lengths", lengths).select(
-        "scope", "_text", F.explode(F.array_distinct(_pieces("_text", "_lengths"))).alias("_piece")
-    )
-    return (
-        pieces.join(keys, ["scope", "_piece"])
-        .where(F.contains("_text", F.col("_needle")))
-        .select("scope", "keyword")
-        .distinct()
-    )
-
-
-def _pieces(text: str, lengths: str) -> Column:
-    """All substrings of ``text`` whose length is in ``lengths``."""
-
-    def of_length(n: Column) -> Column:
-        last = F.length(text) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substr(F.col(text), i, n))
-
-    return F.flatten(F.transform(F.coalesce(F.col(lengths), F.array().cast("array<int>")), of_length))
+        F.explode(
+            F.concat(F.array("name", "description"), F.coalesce("aliases", F.array().cast("array<string>")))
+        ).alias("text"),
+    ).select("scope", F.lower("text").alias("text"))
+    return contained(texts, needles, ["scope"]).join(needles, ["scope", "name"]).select("scope", "keyword").distinct()
 
 
 def keyword_coverage(nodes: DataFrame, keywords: DataFrame) -> DataFrame:

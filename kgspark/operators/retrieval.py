@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hot_keys import join_spread
+
 # Defaults of the retrieval guide.
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 120
 ALPHA, BETA, FUSED_RESULTS = 0.7, 0.3, 4
@@ -36,32 +38,57 @@ def path_score(length: Column, confidence: Column, support: Column) -> Column:
     return LENGTH_WEIGHT / length + CONFIDENCE_WEIGHT * confidence + SUPPORT_WEIGHT * F.log1p(support)
 
 
-def explain_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The shortest path of at most two relations from ``a`` to ``b`` for each distinct row of ``pairs``.
+def undirected_links(edges: DataFrame) -> DataFrame:
+    """``here, there, confidence``: both directions of every relation, the surest between two nodes; no loops."""
+    arcs = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("source_id").alias("here"), F.col("target_id").alias("there")),
+                F.struct(F.col("target_id").alias("here"), F.col("source_id").alias("there")),
+            )
+        ).alias("arc"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    )
+    return (
+        arcs.select("arc.here", "arc.there", "confidence")
+        .where("here <> there")
+        .groupBy("here", "there")
+        .agg(F.max("confidence").alias("confidence"))
+    )
+
+
+def explain_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True) -> DataFrame:
+    """The shortest path of at most two relations between ``a`` and ``b`` for each distinct row of ``pairs``.
 
-    Returns ``a, b, length, via, confidence``; of equally short paths the surest counts, then the least ``via``.
-    Relations are joined by node, so a pair costs as much as ``a`` has relations, and what is left per pair is one row.
+    Returns ``a, b, length, via, confidence``; of equally short paths the surest counts, then the least ``via``. With
+    ``directed`` both relations point from ``a`` to ``b``, else their direction makes no difference.
+
+    A pair is met from its end with fewer relations: these are followed, and looked up among those of the other end. So
+    it costs as much as the smaller end has relations, and a pair of a hub and a leaf as much as the leaf.
     """
-    links = edges.groupBy("source_id", "target_id").agg(
-        F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence")
-    )
+    if directed:
+        links = edges.where("source_id <> target_id").groupBy(
+            F.col("source_id").alias("here"), F.col("target_id").alias("there")
+        ).agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+    else:
+        links = undirected_links(edges)
     asked = pairs.select("a", "b").where("a <> b").distinct()
-    first = asked.join(links.withColumnRenamed("source_id", "a"), "a")
-    direct = first.where(F.col("target_id") == F.col("b")).select(
-        "a", "b", F.lit(1).alias("length"), F.lit(None).cast("string").alias("via"), "confidence"
-    )
-    second = links.select(
-        F.col("source_id").alias("via"), F.col("target_id").alias("b"), F.col("confidence").alias("_second")
-    )
+    leaving = links.groupBy(F.col("here").alias("a")).agg(F.count(F.lit(1)).alias("_from_a"))
+    entering = links.groupBy(F.col("there").alias("b")).agg(F.count(F.lit(1)).alias("_to_b"))
+    sized = join_spread(join_spread(asked, leaving, ["a"], ["b"]), entering, ["b"], ["a"])
+    first = links.select(F.col("here").alias("a"), F.col("there").alias("via"), F.col("confidence").alias("_first"))
+    last = links.select(F.col("here").alias("via"), F.col("there").alias("b"), F.col("confidence").alias("_second"))
+    forward = sized.where("_from_a <= _to_b").select("a", "b").join(first, "a").join(last, ["via", "b"])
+    backward = sized.where("_from_a > _to_b").select("a", "b").join(last, "b").join(first, ["a", "via"])
     through = (
-        first.where((F.col("target_id") != F.col("b")) & (F.col("target_id") != F.col("a")))
-        .withColumnRenamed("target_id", "via")
-        .join(second, ["via", "b"])
-        .select("a", "b", F.lit(2).alias("length"), "via", ((F.col("confidence") + F.col("_second")) / 2).alias("confidence"))
+        forward.unionByName(backward)
+        .where("via <> a AND via <> b")
+        .select("a", "b", F.lit(2).alias("length"), "via", ((F.col("_first") + F.col("_second")) / 2).alias("confidence"))
     )
-    paths = direct.unionByName(through)
+    direct = asked.join(links.select(F.col("here").alias("a"), F.col("there").alias("b"), "confidence"), ["a", "b"])
+    paths = direct.select("a", "b", F.lit(1).alias("length"), F.lit(None).cast("string").alias("via"), "confidence")
     best = F.min(F.struct("length", (-F.col("confidence")).alias("_doubt"), "via", "confidence")).alias("_best")
-    return paths.groupBy("a", "b").agg(best).select("a", "b", "_best.length", "_best.via", "_best.confidence")
+    return paths.unionByName(through).groupBy("a", "b").agg(best).select("a", "b", "_best.length", "_best.via", "_best.confidence")
 
 
 def minmax(scores: DataFrame, by: str = "query_id", score: str = "score") -> DataFrame:
