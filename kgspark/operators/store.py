@@ -17,6 +17,7 @@ from ..functions import text as t
 from .ordering import last_wins
 
 NODE_KEY = ("scope", "id")
+MERGE_KEY = ("type", "id")  # of nodes that are merged whatever their scope
 EDGE_KEY = ("scope", "rid")
 
 # Defaults of promoted relations.
@@ -36,7 +37,8 @@ def _ranked_union(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def _upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The last incoming row of a key replaces the stored one but for ``created_at``."""
     rows = _ranked_union(existing, incoming)
     payload = [c for c in rows.columns if c not in (*key, "created_at", "_rank")]
     merged = rows.groupBy(*key).agg(
@@ -45,9 +47,12 @@ def _upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> Dat
     return merged.select(*key, "_row.*", "created_at").select(*[c for c in rows.columns if c != "_rank"])
 
 
-def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = NODE_KEY) -> DataFrame:
-    """Incoming values replace stored ones; ``created_at`` is set only when the node is created."""
-    return _upsert(existing, incoming, key)
+def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = MERGE_KEY) -> DataFrame:
+    """Incoming values replace stored ones; ``created_at`` is set only when the node is created.
+
+    Nodes are the same by type and id, and the scope is one of the values set; ``key=NODE_KEY`` keeps scopes apart.
+    """
+    return upsert(existing, incoming, key)
 
 
 def upsert_edges(
@@ -57,7 +62,7 @@ def upsert_edges(
     known = nodes.select("id").distinct()
     for end in ("source_id", "target_id"):
         incoming = incoming.join(known.withColumnRenamed("id", end), end, "left_semi")
-    return _upsert(existing, incoming, key)
+    return upsert(existing, incoming, key)
 
 
 def overlay_properties(existing: DataFrame, incoming: DataFrame, key: Sequence[str], now: Column) -> DataFrame:

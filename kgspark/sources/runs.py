@@ -62,10 +62,12 @@ def artifact_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_run_log(events: DataFrame, path: str) -> None:
-    """Append log rows as newline JSON, one folder per run."""
-    events.select("run_id", F.unix_millis("ts").alias("timestamp"), "message", "level").write.mode(
-        "append"
-    ).partitionBy("run_id").json(path)
+    """Append log rows as newline JSON, one folder per run.
+
+    The rebalance hint gives a run few files and splits a huge one over tasks.
+    """
+    rows = events.select("run_id", F.unix_millis("ts").alias("timestamp"), "message", "level")
+    rows.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").json(path)
 
 
 def write_book_outputs(

@@ -139,7 +139,44 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
         "sections": versions.join(newest, ["section_id", "batch"], "left_semi"),
     }
     for name, rows in kept.items():
-        rows.repartition("batch").write.partitionBy("batch").parquet(f"{target}/{name}")
+        # files follow the size of a batch: a large one, such as the first load, is split over tasks
+        rows.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{target}/{name}")
+
+
+POINTER = "path STRING, version BIGINT"
+
+
+def current_path(spark: SparkSession, root: str) -> str:
+    """Where the store below ``root`` lies now: the path published last, ``root`` itself before that."""
+    rows = _read_pointer(spark, root)
+    newest = rows.agg(F.max_by("path", "version")).first()[0]
+    return root if newest is None else newest
+
+
+def _read_pointer(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(POINTER).json(f"{root}/_current")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def publish(spark: SparkSession, root: str, target: str) -> None:
+    """Makes ``target`` the store that ``current_path`` names.
+
+    The pointer is one file of its own version and is moved into place whole, so readers take the old store or the new
+    one; of two that publish at a time one fails.
+    """
+    version = (_read_pointer(spark, root).agg(F.max("version")).first()[0] or 0) + 1
+    row = spark.createDataFrame([(target,)], "path STRING").coalesce(1)
+    row.write.mode("errorifexists").json(f"{root}/_current/version={version}")
+
+
+def compact_store(spark: SparkSession, root: str, target: str) -> None:
+    """Compacts the store below ``root`` into ``target`` and publishes it."""
+    compact(spark, current_path(spark, root), target)
+    publish(spark, root, target)
 
 
 def incremental_graph(outputs: DataFrame, path: str, checkpoint: str, now: Column, **trigger) -> StreamingQuery:

@@ -1,14 +1,20 @@
 """Keyed stream state: stage times, run states, circuit states.
 
-Spark partitions the events by key and keeps the state, a few bytes per key; a small function folds the new rows of a
-key in order. State does not expire: a final run status must not move, however late its next line comes. For many keys,
-run the stream with the RocksDB state store provider.
+Spark partitions the events by key and keeps the state, a few bytes per key; a small function folds the rows of a key in
+order. Without ``lateness`` rows are put in order within a micro-batch, state does not expire and a final run status does
+not move, however late its next line comes. With ``lateness`` (the delay of the stream's watermark) the rows of a key are
+held until the watermark has passed them, so that rows of any later batch may still come before them; what is held is
+what arrived within the delay. The watermark follows the rows that matter to the fold. Rows older than the watermark are kept out by ``late.split_late``, which lists them. With
+a time to live, a key without rows for so long is forgotten. For many keys, run the stream with the RocksDB state store
+provider.
 """
 
 from __future__ import annotations
 
+import json
 import sys
-from collections.abc import Callable, Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -43,75 +49,127 @@ CIRCUIT_ROWS = (
 )
 CIRCUIT_STATE = "streak BIGINT, state STRING, opened_us BIGINT"
 
+WATERMARK = "spark.watermarkDelayMs"
+
+Step = Callable[[tuple, "tuple | None", object], "tuple[tuple | None, tuple | None]"]
 Fold = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    return pd.concat(list(batches), ignore_index=True).sort_values(["us", "seq"], kind="stable").itertuples()
-
-
-def _stage_clock(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the open stage of a run and emits it once it is closed."""
-    stage, started = state.get if state.exists else (None, None)
-    closed = []
-    for event in _in_order(rows):
-        if started is not None:
-            closed.append((key[0], stage, started, event.us))
-        stage, started = (event.stage, event.us) if event.event == "stage_start" else (None, None)
-    if started is not None:
-        state.update((stage, started))
-    elif state.exists:
-        state.remove()
-    if closed:
-        yield pd.DataFrame(closed, columns=["run_id", "stage", "started_us", "ended_us"])
-
-
-def _run_machine(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the status of a run; emits a row when it changes. Final states do not move."""
-    status = state.get[0] if state.exists else PENDING
-    changes = []
-    for event in _in_order(rows):
-        if status not in (SUCCEEDED, RUN_FAILED) and event.status != status:
-            status = event.status
-            changes.append((key[0], status, event.us))
-    state.update((status,))
-    if changes:
-        yield pd.DataFrame(changes, columns=["run_id", "status", "updated_us"])
-
-
-def _circuit_breaker(failure_threshold: int, circuit_timeout: float) -> Fold:
-    """Keeps failure streak, state and opening time of a key; emits the state after every call."""
+def _stage_step(key: tuple, open_stage: tuple | None, event) -> tuple[tuple | None, tuple | None]:
+    """Keeps the open stage of a run and gives it out once it is closed."""
+    closed = None if open_stage is None else (key[0], *open_stage, event.us)
+    return ((event.stage, event.us) if event.event == "stage_start" else None), closed
+
+
+def _run_step(key: tuple, state: tuple | None, event) -> tuple[tuple | None, tuple | None]:
+    """Keeps the status of a run and gives it out when it changes. Final states do not move."""
+    status = state[0] if state else PENDING
+    if status in (SUCCEEDED, RUN_FAILED) or event.status == status:
+        return (status,), None
+    return (event.status,), (key[0], event.status, event.us)
+
+
+def _circuit_step(failure_threshold: int, circuit_timeout: float) -> Step:
+    """Keeps failure streak, state and opening time of a key; gives out the state after every call."""
     timeout_us = int(circuit_timeout * 1_000_000)
 
-    def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, circuit, opened = state.get if state.exists else (0, ACTIVE, 0)
-        out = []
-        for call in _in_order(rows):
-            if call.ok:
-                still_open = circuit == CIRCUIT_OPEN and call.us - opened < timeout_us
-                streak, circuit = 0, CIRCUIT_OPEN if still_open else ACTIVE
-            else:
-                streak += 1
-                circuit = CIRCUIT_OPEN if streak >= failure_threshold else FAILED
-                opened = call.us if circuit == CIRCUIT_OPEN else opened
-            out.append((*key, call.seq, call.us, streak, circuit, opened))
-        state.update((streak, circuit, opened))
-        yield pd.DataFrame(
-            out, columns=["provider", "key_id", "seq", "us", "consecutive_failures", "state", "opened_us"]
-        )
+    def step(key: tuple, state: tuple | None, call) -> tuple[tuple | None, tuple | None]:
+        streak, circuit, opened = state or (0, ACTIVE, 0)
+        if call.ok:
+            still_open = circuit == CIRCUIT_OPEN and call.us - opened < timeout_us
+            streak, circuit = 0, CIRCUIT_OPEN if still_open else ACTIVE
+        else:
+            streak += 1
+            circuit = CIRCUIT_OPEN if streak >= failure_threshold else FAILED
+            opened = call.us if circuit == CIRCUIT_OPEN else opened
+        return (streak, circuit, opened), (*key, call.seq, call.us, streak, circuit, opened)
+
+    return step
+
+
+def _run(step: Step, key: tuple, state: tuple | None, events: Iterable) -> tuple[tuple | None, list[tuple]]:
+    out = []
+    for event in events:
+        state, row = step(key, state, event)
+        if row is not None:
+            out.append(row)
+    return state, out
+
+
+def _at_once(step: Step, columns: list[str]) -> Fold:
+    """Folds the rows of a micro-batch as they are."""
+
+    def fold(key: tuple, rows: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        events = [e for frame in rows for e in frame.itertuples(index=False)]
+        events.sort(key=lambda e: (e.us, e.seq))
+        state, out = _run(step, key, group.get if group.exists else None, events)
+        if state is not None:
+            group.update(state)
+        elif group.exists:
+            group.remove()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return fold
 
 
-def _keyed(df: DataFrame, keys: list[str], fold: Fold, rows: str, state: str) -> DataFrame:
-    timed = df.withColumn("us", F.unix_micros("ts")).drop("ts")
-    return timed.groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
+def _held(step: Step, columns: list[str], fields: list[str], ttl: float | None) -> Fold:
+    """Folds the rows that the watermark has passed and holds the others, until it has passed them too."""
+    Event = namedtuple("Event", fields)
+    at = fields.index("us")
+    keep_us = None if ttl is None else int(ttl * 1_000_000)
+
+    def fold(key: tuple, rows: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        saved = json.loads(group.get[0]) if group.exists else {"state": None, "held": [], "last": None}
+        passed = group.getCurrentWatermarkMs() * 1000
+        held = saved["held"]
+        for frame in rows:
+            held.extend(list(e) for e in frame[fields].itertuples(index=False))
+        held.sort(key=lambda e: (e[at], e[fields.index("seq")]))
+        ready = [e for e in held if e[at] < passed]
+        rest = held[len(ready) :]
+        state, last, out = saved["state"] and tuple(saved["state"]), saved["last"], []
+        for event in ready:
+            if keep_us is not None and last is not None and event[at] - last > keep_us:
+                state = None
+            state, rows_out = _run(step, key, state, [Event(*event)])
+            out += rows_out
+            last = event[at]
+        ends = [rest[0][at]] if rest else [last + keep_us] if keep_us is not None and last is not None and state is not None else []
+        if rest or (state is not None and not (keep_us is not None and last is not None and last + keep_us < passed)):
+            group.update((json.dumps({"state": state, "held": rest, "last": last}),))
+            if ends:
+                group.setTimeoutTimestamp(max(ends[0], passed) // 1000 + 1)
+        elif group.exists:
+            group.remove()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return fold
 
 
-def stage_stream(progress: DataFrame) -> DataFrame:
-    """Closed stages with their seconds. ``progress``: a stream of run_id, ts, seq, event, stage."""
+def _keyed(
+    df: DataFrame, keys: list[str], step: Step, rows: str, state: str, lateness: str | None, ttl: float | None
+) -> DataFrame:
+    timed = df.withColumn("us", F.unix_micros("ts"))
+    columns = [field.split()[0] for field in rows.split(", ")]
+    if lateness is None:
+        fold = _at_once(step, columns)
+        return timed.drop("ts").groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
+    fields = [c for c in timed.columns if c not in (*keys, "ts")]
+    fold = _held(step, columns, fields, ttl)
+    if WATERMARK not in timed.schema["ts"].metadata:  # the stream may bring its own
+        timed = timed.withWatermark("ts", lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(fold, rows, "saved STRING", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stage_stream(progress: DataFrame, lateness: str | None = None, ttl: float | None = None) -> DataFrame:
+    """Closed stages with their seconds. ``progress``: a stream of run_id, ts, seq, event, stage.
+
+    With ``lateness`` a stage comes out once the watermark has passed its end; ``ttl`` seconds forget an open stage.
+    """
     marks = progress.where(progress.event.isin(*STAGE_BOUNDARIES)).select("run_id", "ts", "seq", "event", "stage")
-    return _keyed(marks, ["run_id"], _stage_clock, STAGE_ROWS, STAGE_STATE).select(
+    return _keyed(marks, ["run_id"], _stage_step, STAGE_ROWS, STAGE_STATE, lateness, ttl).select(
         "run_id",
         "stage",
         F.timestamp_micros("started_us").alias("started_at"),
@@ -120,21 +178,31 @@ def stage_stream(progress: DataFrame) -> DataFrame:
     )
 
 
-def run_state_stream(events: DataFrame) -> DataFrame:
-    """Status changes of runs. ``events``: a stream of run_id, ts, seq, message."""
+def run_state_stream(events: DataFrame, lateness: str | None = None, ttl: float | None = None) -> DataFrame:
+    """Status changes of runs. ``events``: a stream of run_id, ts, seq, message.
+
+    ``lateness`` as for stages; ``ttl`` seconds after its last line a run is forgotten, final or not.
+    """
     marked = events.select("run_id", "ts", "seq", run_status().alias("status")).where("status IS NOT NULL")
-    return _keyed(marked, ["run_id"], _run_machine, STATUS_ROWS, STATUS_STATE).select(
+    return _keyed(marked, ["run_id"], _run_step, STATUS_ROWS, STATUS_STATE, lateness, ttl).select(
         "run_id", "status", F.timestamp_micros("updated_us").alias("updated_at")
     )
 
 
 def circuit_stream(
-    calls: DataFrame, failure_threshold: int = FAILURE_THRESHOLD, circuit_timeout: float = CIRCUIT_TIMEOUT
+    calls: DataFrame,
+    failure_threshold: int = FAILURE_THRESHOLD,
+    circuit_timeout: float = CIRCUIT_TIMEOUT,
+    lateness: str | None = None,
+    ttl: float | None = None,
 ) -> DataFrame:
-    """Circuit state after every call. ``calls``: a stream of provider, key_id, ts, seq, status_code."""
+    """Circuit state after every call. ``calls``: a stream of provider, key_id, ts, seq, status_code.
+
+    ``lateness`` as for stages; a key without calls for ``ttl`` seconds starts anew, so it should exceed the time-out.
+    """
     marked = calls.select("provider", "key_id", "ts", "seq", succeeded().alias("ok"))
-    fold = _circuit_breaker(failure_threshold, circuit_timeout)
-    return _keyed(marked, ["provider", "key_id"], fold, CIRCUIT_ROWS, CIRCUIT_STATE).select(
+    step = _circuit_step(failure_threshold, circuit_timeout)
+    return _keyed(marked, ["provider", "key_id"], step, CIRCUIT_ROWS, CIRCUIT_STATE, lateness, ttl).select(
         "provider",
         "key_id",
         "seq",

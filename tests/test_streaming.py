@@ -146,3 +146,99 @@ def test_display_merge_of_built_graphs(spark):
     shown = merge.merge_graphs_display(built.nodes, built.edges, built.sections)
     total = shown.summary.collect()[0]
     assert total["total_nodes"] == shown.nodes.count() and total["total_edges"] == shown.edges.count() > 0
+
+
+SENTINEL = 10**9  # an event long after all others lets the watermark pass them
+
+
+def _shuffled(spark, df, path, hours, batches=6, seed=4, **sentinel):
+    """Rows in files of disturbed order: each comes at most some hours of event time too late, and one comes last of all."""
+    import random
+
+    rnd = random.Random(seed)
+    rows = sorted(df.collect(), key=lambda r: r["ts"].timestamp() + rnd.random() * hours * 3600 * 0.9)
+    rows = [tuple(r) for r in rows]
+    names = df.columns
+    last = [sentinel.get(n, f"z{n}") if t == "string" else SENTINEL if n == "seq" else None for n, t in df.dtypes]
+    last = [v if n != "ts" else spark.sql(f"SELECT timestamp_seconds({SENTINEL})").first()[0] for n, v in zip(names, last)]
+    size = -(-len(rows) // batches)
+    for i in range(batches):
+        part = rows[i * size : (i + 1) * size] + ([tuple(last)] if i == batches - 1 else [])
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def _hourly(spark):
+    # a stream starts with its watermark at the beginning of 1970: nothing may lie there
+    return _events(spark).withColumn("ts", F.timestamp_seconds(F.col("seq") * 1000 + 86_400))
+
+
+def test_late_rows_give_the_stages_of_the_batch(spark, tmp_path):
+    progress = extract.extract_progress(_hourly(spark)).select("run_id", "ts", "seq", "event", "stage")
+    stream = _shuffled(spark, progress, tmp_path / "in", 3, event="stage_end")
+    got = _run(spark, stateful.stage_stream(stream, "3 hours"), tmp_path)
+    batch = telemetry.stage_durations(progress).where("ended_at IS NOT NULL")
+    assert _rows(got.select("run_id", "stage", "started_at", "seconds")) == _rows(batch.select("run_id", "stage", "started_at", "seconds"))
+    assert got.count() > 10
+
+
+def test_late_rows_give_the_run_states_of_the_batch(spark, tmp_path):
+    events = _hourly(spark).select("run_id", "ts", "seq", "message")
+    stream = _shuffled(spark, events, tmp_path / "in", 3, message="[info] run started")
+    got = _run(spark, stateful.run_state_stream(stream, "3 hours"), tmp_path)
+    last = got.where("run_id LIKE 'r%'").groupBy("run_id").agg(F.max_by("status", "updated_at").alias("status"))
+    assert _rows(last) == _rows(telemetry.run_states(events).select("run_id", "status"))
+
+
+def test_late_rows_give_the_circuits_of_the_batch(spark, tmp_path):
+    calls = _hourly(spark).select("provider", "key_id", "ts", "seq", "status_code")
+    stream = _shuffled(spark, calls, tmp_path / "in", 3)
+    got = _run(spark, stateful.circuit_stream(stream, 3, 3000.0, "3 hours"), tmp_path).where(F.col("seq") != SENTINEL)
+    columns = ["key_id", "seq", "consecutive_failures", "state", "circuit_open_time"]
+    assert _rows(got.select(*columns)) == _rows(telemetry.circuit_states(calls, 3, 3000.0).select(*columns))
+
+
+def test_a_run_without_lines_is_forgotten(spark, tmp_path):
+    rows = [(1, "a", "[info] run started", 0), (2, "a", "[done] ok", 100), (3, "b", "[info] run started", 100_000),
+            (4, "a", "[info] run started", 200_000), (5, "c", "[info] run started", 900_000)]
+    events = spark.createDataFrame(rows, "seq long, run_id string, message string, s long").select(
+        "run_id", F.timestamp_seconds(F.col("s") + 86_400).alias("ts"), "seq", "message"
+    )
+    got = _run(spark, stateful.run_state_stream(_stream(spark, events, tmp_path / "in", 5), "10 seconds", 3600.0), tmp_path)
+    assert sorted((r["run_id"], r["status"]) for r in got.collect()) == [
+        ("a", "running"), ("a", "running"), ("a", "succeeded"), ("b", "running")
+    ]
+
+
+def test_split_late_keeps_every_row(spark, tmp_path):
+    from kgspark.streaming import late
+
+    schema = "seq long, run_id string, ts timestamp"
+    times = [[100, 200], [150, 90, 260], [None, 140], [500], [100, 499]]
+    for i, batch in enumerate(times):
+        rows = spark.createDataFrame([(i * 10 + j, f"r{j}", t) for j, t in enumerate(batch)], "seq long, run_id string, t long")
+        rows = rows.select("seq", "run_id", F.timestamp_seconds("t").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    assert late.split_late(stream, path, str(tmp_path / "cp"), 100).awaitTermination(120) in (None, True)
+    found = sorted(r["seq"] for r in late.late_rows(spark, path, schema).collect())
+    assert found == [11, 21, 40]  # 90 < 200 - 100, 140 < 260 - 100, 100 < 500 - 100
+    accepted = late.accepted_rows(spark, path, schema)
+    got = _run(spark, accepted.withWatermark("ts", "100 seconds").select("seq"), tmp_path / "again")
+    assert sorted(r["seq"] for r in got.collect()) == sorted({i * 10 + j for i, b in enumerate(times) for j in range(len(b))} - set(found))
+
+
+def test_compacted_store_is_published(spark, tmp_path):
+    root, path = str(tmp_path / "store"), str(tmp_path / "store")
+    schema = "seq long, topic string, chapter string, subchapter string, language string, raw string"
+    for i in range(3):
+        outputs = [_output(10 * i + j, f"S{j}", "abc" if i < 2 else "xy", []) for j in range(4)]
+        incremental.store_batch(spark, spark.createDataFrame(outputs, schema), path, now(), i)
+    before = _rows(incremental.current_graph(spark, incremental.current_path(spark, root)).nodes.select("scope", "name"))
+    assert incremental.current_path(spark, root) == root
+    for target in ("one", "two"):
+        incremental.compact_store(spark, root, str(tmp_path / target))
+        assert incremental.current_path(spark, root) == str(tmp_path / target)
+        assert _rows(incremental.current_graph(spark, str(tmp_path / target)).nodes.select("scope", "name")) == before
+    assert len(before) == 8
