@@ -2,7 +2,8 @@
 
 A text is the set of its runs between white space. Each run gives the hashes of its letters and digits as one word, of
 their four-letter grams with word ends, of its other characters, and of being in capitals. A linear score of a text is
-then the sum of one number per distinct run, which a worker remembers; the whole text counts, and nothing is cut.
+then the sum of one number per distinct run and model, which a worker remembers for all models together; the whole text
+counts, and nothing is cut.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,19 +27,32 @@ MOST_FEATURES = 1024
 LEAST_Z = 5.0  # a feature must tell the classes apart by so many standard errors
 
 
+class _Grams(dict):
+    """Slots of four-letter grams, remembered within a bound."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[gram] = slot = zlib.crc32(f"g{gram}".encode()) % SLOTS
+        return slot
+
+
+_GRAMS = _Grams()
+
+
 def run_features(run: str) -> set[int]:
     low = run.lower()
-    core = "".join(filter(str.isalnum, low))
-    names = []
+    core = low if low.isalnum() else "".join(filter(str.isalnum, low))
+    slots: set[int] = set()
     if core:
         marked = f"^{core}$"
-        names.append(f"w{core}")
-        names.extend(f"g{marked[i : i + 4]}" for i in range(max(1, len(marked) - 3)))
+        slots.add(zlib.crc32(f"w{core}".encode()) % SLOTS)
+        slots.update(map(_GRAMS.__getitem__, [marked[i : i + 4] for i in range(max(1, len(marked) - 3))]))
         if len(core) > 1 and run.isupper():
-            names.append("capitals")
+            slots.add(zlib.crc32(b"capitals") % SLOTS)
     if len(core) < len(low):
-        names.append("p" + "".join(c for c in low if not c.isalnum())[:16])
-    return {zlib.crc32(n.encode()) % SLOTS for n in names}
+        slots.add(zlib.crc32(("p" + "".join(c for c in low if not c.isalnum())).encode()) % SLOTS)
+    return slots
 
 
 def whole_features(runs: list[str], distinct: int) -> list[int]:
@@ -139,30 +153,35 @@ class TextScorer:
     """Sums of slot weights over the distinct runs of a text, for several weight vectors at once."""
 
     def __init__(self, weights: Sequence[dict[int, float]]) -> None:
-        self.weights = weights
-        self.known: list[dict[str, float]] = [_Scores(w) for w in weights]
+        slots = sorted(set().union(*weights))
+        self.weights = {s: tuple(w.get(s, 0.0) for w in weights) for s in slots}
+        self.known = _Scores(self.weights, len(weights))
 
     def __call__(self, text: str | None) -> list[float]:
         runs = (text or "").split()
         distinct = set(runs)
-        whole = whole_features(runs, len(distinct))
-        return [
-            math.fsum((*map(known.__getitem__, distinct), *(weights.get(f, 0.0) for f in whole)))
-            for known, weights in zip(self.known, self.weights)
-        ]
+        scores = list(map(self.known.__getitem__, distinct))
+        scores.append(self.known.sums(whole_features(runs, len(distinct))))
+        return [math.fsum(column) for column in zip(*scores)]
 
 
 class _Scores(dict):
-    def __init__(self, weights: dict[int, float]) -> None:
+    """The scores of a run, one for each weight vector; its features are worked out once for all of them."""
+
+    def __init__(self, weights: dict[int, tuple[float, ...]], models: int) -> None:
         super().__init__()
         self.weights = weights
+        self.none = (0.0,) * models
+
+    def sums(self, slots: Iterable[int]) -> tuple[float, ...]:
+        found = [self.weights[s] for s in slots if s in self.weights]
+        return tuple(math.fsum(column) for column in zip(*found)) if found else self.none
 
-    def __missing__(self, run: str) -> float:
+    def __missing__(self, run: str) -> tuple[float, ...]:
         if len(self) >= CACHED:
             self.clear()
-        score = math.fsum(self.weights.get(f, 0.0) for f in run_features(run))
-        self[run] = score
-        return score
+        self[run] = scores = self.sums(run_features(run))
+        return scores
 
 
 def sigmoid(x):
