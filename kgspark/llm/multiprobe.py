@@ -3,12 +3,12 @@
 Largest inner product becomes least distance: vectors are divided by the greatest length and get one more coordinate
 that makes all of them unit vectors. Each table cuts several random projections into slots. A query visits its own
 bucket and perturbed ones in the order of their estimated chance to hold a neighbour, until the chances add up to what
-the wanted recall asks of a table. Its own buckets come first: the k-th best score in them is a lower bound, so that the
-perturbed ones only hand on rows that may still be among the k best, however many rows there are. The same score bounds
-the distance of the query's own k-th neighbour, from which the chances follow; nothing about it is taken from other
-queries, whose neighbours may be copies. Candidates of all
-tables are merged and ranked by exact products of the original vectors. Queries that find too few candidates are answered
-from all rows.
+the wanted recall asks of a table. The visits are made in two rounds. A bounded sample gives a first bound of a query's
+k-th best score, and its own buckets with the first perturbed ones a close one; from that bound follows the distance of
+the query's k-th neighbour, hence the chances, hence how many more buckets are visited. Nothing about it is taken from
+other queries, whose neighbours may be copies. Buckets hand on only rows that reach the bound. Candidates of all tables
+are merged and ranked by exact products of the original vectors. Queries that find too few candidates are answered from
+all rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import cut_lineage, map_columns
-from .vectors import BLOCK_ROWS, SEED_ROWS, finite, first_k, in_blocks, matrix, one_per_id
+from .vectors import BLOCK_ROWS, SEED_ROWS, finite, first_k, in_blocks, kth_best, matrix, one_per_id
 
 K = 20
 TABLES = 8
@@ -31,18 +31,21 @@ WIDTH = 2.0  # of a slot, in standard deviations of a projection
 BITS = 1.3  # what one projection tells at this width
 BUCKET_ROWS = 256
 RECALL = 0.97
+TASKS_A_TABLE = 6
+FIRST_PROBES = 12  # perturbed buckets of a table in the first round
 SEED = 20240601
 
 
 @dataclass(frozen=True)
 class Index:
-    """Random projections ``(tables, hashes, dimension + 1)`` and offsets, the greatest length, the distance of the
-    k-th neighbour for queries whose own buckets hold fewer than k rows."""
+    """Random projections ``(tables, hashes, dimension + 1)`` and offsets, the greatest length, a bounded sample of ids
+    and vectors."""
 
     directions: np.ndarray
     offsets: np.ndarray
     longest: float
-    distance: float
+    seed_ids: np.ndarray
+    seeds: np.ndarray
 
     def unit(self, values: np.ndarray, query: bool) -> np.ndarray:
         width = self.directions.shape[2] - 1
@@ -66,7 +69,7 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return one_per_id(own.where(finite(F.col("values"))).where(F.exists("values", lambda x: x != 0)))
 
 
-def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> Index:
+def fit(vectors: DataFrame, tables: int = TABLES) -> Index:
     """The index parameters, from one row of statistics and a sample of ``SEED_ROWS`` rows (least hash of the id)."""
     squares = F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)
     rows, longest, width = vectors.agg(F.count(F.lit(1)), F.max(F.sqrt(squares)), F.max(F.size("values"))).first()
@@ -75,24 +78,18 @@ def fit(vectors: DataFrame, k: int = K, tables: int = TABLES) -> Index:
     random = np.random.Generator(np.random.PCG64(SEED))
     directions = random.standard_normal((tables, hashes, (width or 0) + 1))
     offsets = random.random((tables, hashes))
-    index = Index(directions, offsets, longest or 1.0, 1.0)
-    values = matrix(sorted({tuple(r["values"]) for r in sample}))
-    if len(values) > 1:
-        values = values[random.permutation(len(values))]
-        near = index.unit(values[:128], True) @ index.unit(values, False).T
-        np.fill_diagonal(near, -np.inf)
-        near = -np.sort(-near, axis=1)[:, :-1]
-        at = min(near.shape[1] - 1, int(near.shape[1] * min(1.0, k / max(1, rows))))
-        index = Index(directions, offsets, index.longest, math.sqrt(max(1e-12, 2 - 2 * float(np.median(near[:, at])))))
-    return index
+    sample.sort(key=lambda r: r["vec_id"])
+    ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
+    return Index(directions, offsets, longest or 1.0, ids, matrix([r["values"] for r in sample]))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.array([math.erfc(-v / math.sqrt(2)) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
-def probe_order(position: np.ndarray, spread: float, wanted: float) -> list[tuple[int, ...]]:
-    """Slots of one table in falling order of the chance that a neighbour lies there, until ``wanted`` is reached.
+def probe_order(position: np.ndarray, spread: float, wanted: float, most: int | None = None) -> list[tuple[int, ...]]:
+    """Slots of one table in falling order of the chance that a neighbour lies there, until ``wanted`` is reached or
+    there are ``most``.
 
     ``position`` is the query's place in slots by hash; a neighbour's place is normal around it with ``spread``.
     """
@@ -105,7 +102,7 @@ def probe_order(position: np.ndarray, spread: float, wanted: float) -> list[tupl
     total, out = 0.0, []
     first = (0,) * len(position)
     heap, seen = [(-float(np.prod(chance[:, 0])), first)], {first}
-    while heap and total < wanted:
+    while heap and total < wanted and (most is None or len(out) < most):
         p, ranks = heapq.heappop(heap)
         total -= p
         out.append(tuple(int(slots[h, r]) for h, r in enumerate(ranks)))
@@ -119,9 +116,9 @@ def probe_order(position: np.ndarray, spread: float, wanted: float) -> list[tupl
     return out
 
 
-def _buckets(index: Index, query: bool = False):
+def _buckets(index: Index):
     def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
-        slots = np.floor(index.places(index.unit(matrix(values), query))).astype(int)
+        slots = np.floor(index.places(index.unit(matrix(values), False))).astype(int)
         tables = slots.shape[1]
         keys = [" ".join(map(str, slots[i, t])) for i in range(len(values)) for t in range(tables)]
         return [list(range(tables)) * len(values), keys], [i for i in range(len(values)) for _ in range(tables)]
@@ -129,44 +126,54 @@ def _buckets(index: Index, query: bool = False):
     return work
 
 
-def _homes(index: Index):
-    """The query's own bucket in each table."""
-    places = _buckets(index, query=True)
-
-    def work(values: list[list[float]]) -> tuple[list[list], list[int]]:
-        (tables, keys), owners = places(values)
-        return [tables, keys, [None] * len(owners)], owners
-
-    return work
+def sample_floors(index: Index, ids: list[int], queries: np.ndarray, k: int) -> list[float | None]:
+    """The k-th best score of each query in the sample; none where the sample is too small."""
+    scores = sums(queries, index.seeds)
+    return [kth_best(found[index.seed_ids != own], k) for own, found in zip(ids, scores)]
 
 
 def neighbour_distances(index: Index, queries: np.ndarray, floors: list[float | None]) -> list[float]:
-    """Distance between unit vectors of each query and a row of score ``floor``: no k-th neighbour is farther."""
+    """Distance between unit vectors of each query and a row of score ``floor``: no k-th neighbour is farther. Without a
+    bound it is that of vectors at right angles."""
     lengths = np.sqrt((queries**2).sum(1)) * index.longest
     return [
-        index.distance if floor is None else math.sqrt(max(1e-12, 2 - 2 * min(1.0, floor / max(length, 1e-300))))
+        math.sqrt(max(1e-12, 2 - 2 * (0.0 if floor is None else min(1.0, floor / max(length, 1e-300)))))
         for floor, length in zip(floors, lengths)
     ]
 
 
-def _probes(index: Index, recall: float):
-    """The perturbed buckets of a query, its own ones left out; ``floor`` goes along and bounds the distance."""
-    wanted = 1 - (1 - recall) ** (1 / len(index.directions))
+def _wanted(index: Index, recall: float) -> float:
+    return 1 - (1 - recall) ** (1 / len(index.directions))
+
 
-    def work(values: list[list[float]], floors: list[float | None]) -> tuple[list[list], list[int]]:
+def first_slots(index: Index, place: np.ndarray, distance: float, recall: float) -> list[tuple[int, ...]]:
+    """What the first round visits in a table: the query's own bucket and the likeliest perturbed ones."""
+    home = tuple(np.floor(place).astype(int).tolist())
+    likely = probe_order(place, distance / WIDTH, _wanted(index, recall), FIRST_PROBES + 1)
+    return [home, *(slot for slot in likely if slot != home)][: FIRST_PROBES + 1]
+
+
+def _rounds(index: Index, recall: float, k: int, second: bool):
+    """The buckets of a round with the bound that their rows must reach."""
+
+    def work(ids: list[int], values: list[list[float]], *known: list[float | None]) -> tuple[list[list], list[int]]:
         own = matrix(values)
         places = index.places(index.unit(own, True))
-        distances = neighbour_distances(index, own, floors)
-        tables, keys, owners = [], [], []
-        for i in range(len(values)):
+        sampled = sample_floors(index, ids, own, k) if len(ids) else []
+        floors = [s if f is None else f for f, s in zip(known[0], sampled)] if known else sampled
+        near, far = neighbour_distances(index, own, floors), neighbour_distances(index, own, sampled)
+        out, owners = [[], [], []], []
+        for i in range(len(ids)):
             for t in range(places.shape[1]):
-                home = tuple(np.floor(places[i, t]).astype(int).tolist())
-                for slot in probe_order(places[i, t], distances[i] / WIDTH, wanted):
-                    if slot != home:
-                        tables.append(t)
-                        keys.append(" ".join(map(str, slot)))
-                        owners.append(i)
-        return [tables, keys], owners
+                slots = first_slots(index, places[i, t], far[i], recall)
+                if second:
+                    visited = set(slots)
+                    slots = [s for s in probe_order(places[i, t], near[i] / WIDTH, _wanted(index, recall)) if s not in visited]
+                for slot in slots:
+                    for column, value in zip(out, (t, " ".join(map(str, slot)), floors[i])):
+                        column.append(value)
+                    owners.append(i)
+        return out, owners
 
     return work
 
@@ -214,18 +221,20 @@ def nearest(
     from all rows, in blocks. An empty table gives an empty result; see ``clean`` for what takes part.
     """
     held = cut_lineage(vectors.select("vec_id", "values"))
-    index = fit(held, k, tables)
+    index = fit(held, tables)
     asked = held.where(F.pmod("vec_id", F.lit(every)) == 0)
-    kept = ["vec_id", "values"]
-    bucketed = map_columns(held, ["values"], lambda: _buckets(index), "`table` INT, bucket STRING", kept)
+    bucketed = map_columns(held, ["values"], lambda: _buckets(index), "`table` INT, bucket STRING", ["vec_id", "values"])
     added = "`table` INT, bucket STRING, floor DOUBLE"
-    homes = map_columns(asked, ["values"], lambda: _homes(index), added, kept)
-    near = cut_lineage(_merged(in_blocks(bucketed, homes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE"), k))
-    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    bounded = asked.join(floors, "vec_id", "left")
-    added = "`table` INT, bucket STRING"
-    probes = map_columns(bounded, ["values", "floor"], lambda: _probes(index, recall), added, [*kept, "floor"])
-    far = in_blocks(bucketed, probes, ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE")
+
+    def visited(queries: DataFrame, second: bool) -> DataFrame:
+        spread = queries.repartition(tables * TASKS_A_TABLE, "vec_id")  # few rows, much work a row
+        inputs = ["vec_id", "values", *(["known"] if second else [])]
+        probes = map_columns(spread, inputs, lambda: _rounds(index, recall, k, second), added, ["vec_id", "values"])
+        return in_blocks(bucketed, cut_lineage(probes), ["table", "bucket"], lambda v, q: _best(v, q, k), "DOUBLE")
+
+    near = cut_lineage(_merged(visited(asked, False), k))
+    known = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+    far = visited(asked.join(known, "vec_id", "left"), True)
     found = cut_lineage(_merged(far.unionByName(near.drop("rank")), k))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
