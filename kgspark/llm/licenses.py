@@ -3,8 +3,6 @@
 A text is normalised (lower case, one space between words, sentence ends kept as a word of their own) and every known
 licence sentence in it is found, wherever it stands; the identifiers in order of appearance are matched against ordered
 rules, and what a rule has matched is consumed before the next one looks. All of it happens inside a row: no shuffle.
-
-The check SQL knows the plain sentences at the end of a sentence only; the notices below go beyond it.
 """
 
 from __future__ import annotations
@@ -84,6 +82,11 @@ NOTICES = (
     ("GPL2Only", _GNU.format("").replace("license as", "license version 2 as")),
     ("GPL3Only", _GNU.format("").replace("license as", "license version 3 as")),
     ("GPL2Work", "this work is licensed under the gnu general public license version 2"),
+    ("MITDistributed", "distributed under the mit license"),
+    ("GPL2Named", "gnu general public license v2.0"),
+    ("GPL3Named", "gnu general public license v3.0"),
+    ("GPL2Named", "gnu general public license v2"),
+    ("GPL3Named", "gnu general public license v3"),
     ("MPL2", "subject to the terms of the mozilla public license v / 2.0"),
     ("EPL2", "under the terms of the eclipse public license 2.0"),
     ("EPL2", "under the terms of the eclipse public license v / 2.0"),
@@ -112,6 +115,9 @@ NOTICE_RULES = (
     ("GPL-2.0", ("GPL2Only",)),
     ("GPL-2.0", ("GPL2Work",)),
     ("GPL-3.0", ("GPL3Only",)),
+    ("MIT", ("MITDistributed",)),
+    ("GPL-2.0", ("GPL2Named",)),
+    ("GPL-3.0", ("GPL3Named",)),
     ("MPL-2.0", ("MPL2",)),
     ("EPL-2.0", ("EPL2",)),
     ("BSL-1.0", ("Boost1",)),
@@ -126,8 +132,29 @@ NOTICE_RULES = (
 )
 NOTICE_ANCHORS = (*ANCHORS, "unencumbered", "waived", "hereby granted")
 
-# An opening header line with nothing after it is not a notice yet.
-NOT_BEFORE = {"Apache2Short": "(?! the license(?: /)?$)"}
+# Short identifiers of package headers and the licence each names.
+SPDX = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "ISC": "ISC", "0BSD": "0BSD", "Zlib": "Zlib", "Unlicense": "Unlicense",
+    "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "BSL-1.0": "BSL-1.0", "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL-2.0",
+    "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0-or-later", "GPL-2.0-or-later": "GPL-2.0-or-later",
+    "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0+": "GPL-3.0-or-later", "GPL-3.0-or-later": "GPL-3.0-or-later",
+    "LGPL-2.1": "LGPL-2.1", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1+": "LGPL-2.1-or-later",
+    "LGPL-2.1-or-later": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0", "LGPL-3.0-only": "LGPL-3.0",
+    "LGPL-3.0+": "LGPL-3.0-or-later", "LGPL-3.0-or-later": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0",
+    "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0-or-later", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0",
+    "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-ND-4.0": "CC-BY-ND-4.0",
+    "CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0": "CC-BY-NC-ND-4.0",
+}
+_SPDX_WORDS = {key: re.sub("[^a-z0-9.+]+", " ", key.lower()) for key in SPDX}
+
+KNOWN = sorted(
+    [
+        *((text, name) for name, text in (*SENTENCES.items(), *NOTICES)),
+        *((f"spdx license identifier / {words}", f"Spdx:{key}") for key, words in _SPDX_WORDS.items()),
+    ],
+    key=lambda known: (-len(known[0]), known),
+)
+ALL_RULES = (*RULES, *NOTICE_RULES, *((name, (f"Spdx:{key}",)) for key, name in SPDX.items()))
 
 
 def _anchored(text: Column) -> Column:
@@ -142,13 +169,15 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(words, f" *{MARK}[ {MARK}]*", " / "))
 
 
+def _names() -> dict[str, str]:
+    return {t.replace(" /", ""): name for t, name in KNOWN}
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of all known sentences in a normalised text by position; the longest of those that begin together."""
-    known = sorted([*SENTENCES.items(), *NOTICES], key=lambda kv: (-len(kv[1]), kv))
-    found = "|".join(re.escape(t).replace(r"\ ", " ").replace(" / ", "(?: /)? ") + r"(?![^ ])" + NOT_BEFORE.get(n, "") for n, t in known)
-    plain = {t.replace(" /", ""): n for n, t in known}
-    names = F.create_map(*(F.lit(x) for pair in plain.items() for x in pair))
-    matches = F.regexp_extract_all(text, F.lit(f"(?<![^ ])(?:{found})"), F.lit(0))
+    found = "|".join(re.escape(t).replace(r"\ ", " ").replace(" / ", "(?: /)? ") for t, _ in KNOWN)
+    names = F.create_map(*(F.lit(x) for pair in _names().items() for x in pair))
+    matches = F.regexp_extract_all(text, F.lit(f"(?<![^ ])(?:{found})(?![^ ])"), F.lit(0))
     return F.transform(matches, lambda m: names[F.replace(m, F.lit(" /"), F.lit(""))])
 
 
@@ -166,7 +195,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     ids = sentence_ids(normalised(F.col("text")))
     rules = F.array(
-        *(F.struct(F.lit(n).alias("name"), F.lit(_sequence(s)).alias("sequence")) for n, s in (*RULES, *NOTICE_RULES))
+        *(F.struct(F.lit(n).alias("name"), F.lit(_sequence(s)).alias("sequence")) for n, s in ALL_RULES)
     )
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
 
@@ -193,34 +222,36 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def check_sql() -> str:
-    """The same scan in DuckDB."""
-    known = sorted(SENTENCES.items(), key=lambda kv: (-len(kv[1]), kv[0]))
-    cases = " ".join(f"WHEN s = '{t}' OR ends_with(s, ' {t}') THEN '{n}'" for n, t in known)
-    anchors = "|".join(ANCHORS)
+    """The same scan in DuckDB. Its patterns look neither back nor ahead: each space is doubled, so that a sentence can
+    take one on either side and leave its neighbour the other."""
+    spaced = [(re.escape(t).replace(r"\ ", "  ").replace("  /  ", "(?:  /)?  "), name) for t, name in KNOWN]
+    names = ", ".join(f"'{t}': '{name}'" for t, name in _names().items())
     steps, last = [], "c0"
-    for i, (name, ids) in enumerate(RULES):
+    for i, (name, ids) in enumerate(ALL_RULES):
         seq = _sequence(ids)
         steps.append(
-            f"c{i + 1} AS (SELECT doc_id, n, sentence_ids, replace(rest, '{seq}', '|') AS rest, "
+            f"c{i + 1} AS (SELECT doc_id, sentence_ids, replace(rest, '{seq}', '|') AS rest, "
             f"CASE WHEN contains(rest, '{seq}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
         )
         last = f"c{i + 1}"
     return f"""
-    WITH d AS (
-        SELECT doc_id, row_number() OVER () AS n,
-               string_split(regexp_replace(text, '{SENTENCE_END}', '\\1' || chr(1), 'g'), chr(1)) AS parts
-        FROM documents WHERE regexp_matches(text, '(?i){anchors}')
-    ), e AS (
-        SELECT doc_id, n, list_transform(list_filter(parts, lambda p: regexp_matches(p, '(?i){anchors}')),
-            lambda p: trim(regexp_replace(regexp_replace(lower(p), '[^a-z0-9.+]+', ' ', 'g'), '\\.+( |$)', '\\1', 'g'))) AS sentences
-        FROM d
-    ), f AS (
-        SELECT doc_id, n, list_filter(list_transform(sentences, lambda s: CASE {cases} END), lambda i: i IS NOT NULL) AS ids
-        FROM e
+    WITH marked AS (
+        SELECT doc_id, regexp_replace(text, '{SENTENCE_END}', '\\1' || chr(1), 'g') AS t FROM documents
+        WHERE regexp_matches(text, '(?i)licen|redistribut|reserved|copies|unencumbered|waived|hereby[^a-z0-9]+granted')
+    ), words AS (
+        SELECT doc_id, regexp_replace(regexp_replace(lower(t), '[^a-z0-9.+\\x01]+', ' ', 'g'), '\\.+( |\\x01|$)', '\\1', 'g') AS t
+        FROM marked
+    ), plain AS (
+        SELECT doc_id, trim(regexp_replace(t, ' *\\x01[ \\x01]*', ' / ', 'g')) AS t FROM words
+    ), matched AS (
+        SELECT doc_id, regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', ' (?:{"|".join(t for t, _ in spaced)}) ') AS m
+        FROM plain
+    ), named AS (
+        SELECT doc_id, list_transform(m, lambda x: MAP {{{names}}}[replace(replace(trim(x), '  ', ' '), ' /', '')]) AS ids FROM matched
     ), c0 AS (
-        SELECT doc_id, n, array_to_string(ids, ',') AS sentence_ids,
+        SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
                ',' || array_to_string(ids, ',,') || ',' AS rest, CAST([] AS VARCHAR[]) AS found
-        FROM f WHERE len(ids) > 0
+        FROM named WHERE len(ids) > 0
     ), {", ".join(steps)}
     SELECT doc_id, sentence_ids, array_to_string(found, ',') AS licenses FROM {last}
     """
