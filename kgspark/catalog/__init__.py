@@ -7,6 +7,7 @@ from . import (  # noqa: F401  (register their queries)
     graph_queries,
     name_queries,
     neighbourhood_queries,
+    row_queries,
     rule_queries,
     run_queries,
     storage_queries,

@@ -33,6 +33,15 @@ def connected_components(
     ).withColumn("component", F.coalesce("component", "id"))
 
 
+def pair_components(pairs: DataFrame, source: str, target: str, by: Sequence[str] = ()) -> DataFrame:
+    """Columns ``by``, ``id``, ``component`` of every vertex that the pairs name; no list of vertices is asked for."""
+    by = list(by)
+    ends = pairs.select(*by, F.col(source).alias("u"), F.col(target).alias("v")).where("u <> v")
+    stars = _contract(ends.select(*by, F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small")).distinct(), by)
+    roots = stars.select(*by, F.col("small").alias("id"), F.col("small").alias("component")).distinct()
+    return stars.select(*by, F.col("big").alias("id"), F.col("small").alias("component")).unionByName(roots)
+
+
 def _known_pairs(vertices: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     pairs = (
         edges.where("u <> v")

@@ -1,8 +1,9 @@
 """Which of many names a text contains, as an equi join on each name's rarest piece.
 
 A name is looked for only where the rarest of its pieces (tokens, or character n-grams) occurs, by the number of texts
-that hold the piece. Texts meet names on that key alone, and whole names are verified on what is left. A key that many
-texts share is spread over salts, so no task reads all of its texts, and no names are broadcast.
+that hold the piece. Texts meet names on that key alone, and whole names are verified on what is left. The sides of that
+join come straight from a shuffle, so adaptive execution splits a key that very many texts share; there is no cross join
+and no broadcast hint.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .hot_keys import join_spread
+from .hot_keys import join_crowded
 
 GRAM = 3
 
@@ -57,14 +58,14 @@ def rarest_pieces(names: DataFrame, pieces: DataFrame, by: Sequence[str] = ()) -
     """
     held = pieces.groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("texts"))
     own = names.select(*by, "name", F.size("pieces").alias("wanted"), F.explode("pieces").alias("piece"))
-    found = join_spread(own, held, [*by, "piece"], ["name"]).groupBy(*by, "name", "wanted")
+    found = join_crowded(own, held, [*by, "piece"]).groupBy(*by, "name", "wanted")
     rarest = found.agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("texts", "piece")).alias("rarest"))
     return rarest.where("found = wanted").select(*by, "name", F.col("rarest.piece").alias("piece"))
 
 
 def candidates(texts: DataFrame, keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by, text_id, name`` pairs that share the name's key, from ``texts(by, text_id, piece)``."""
-    return join_spread(texts, keys, [*by, "piece"], ["text_id"]).select(*by, "text_id", "name")
+    return texts.join(keys, [*by, "piece"]).select(*by, "text_id", "name")
 
 
 def _quoted(name: Column) -> Column:
@@ -106,7 +107,7 @@ def build_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     counted = read.groupBy("text_id", "name").agg(F.count(F.lit(1)).alias("n"))
     return (
-        join_spread(counted, borne, ["name"], ["text_id"])
+        counted.join(borne, "name")
         .groupBy(F.col("text_id").alias("chunk_id"), F.col("id").alias("node_id"))
         .agg(F.sum("n").alias("n"))
     )

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
+from ..session import cut_lineage
 
 
-def join_spread(rows: DataFrame, few: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join of ``rows`` with ``few``, which has few rows of each key, so that no task reads all rows of a key.
+def join_crowded(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has few rows of each key and was made by grouping on it.
 
-    Each row gets a salt from its columns ``spread``; the other side is repeated for every salt.
+    Adaptive execution splits a key that crowds one task over several, if both sides come straight from a shuffle. So
+    what was grouped is written and read again: nothing is repeated, and where it turns out small it is broadcast.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return rows.join(cut_lineage(per_key), list(keys))

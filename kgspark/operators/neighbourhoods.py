@@ -23,7 +23,7 @@ from .graph_queries import (
     Graph,
     both_ways,
 )
-from .hot_keys import join_spread
+from .hot_keys import join_crowded
 from .retrieval import CONFIDENCE_WEIGHT, LENGTH_WEIGHT, SUPPORT_WEIGHT, path_score, undirected_links
 
 # Defaults of the retrieval guide.
@@ -144,7 +144,7 @@ def search_nodes_all(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_L
         F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"),
     ).select("id", "name", "own", F.lower("text").alias("text"))
     met = containing(texts.select("text").where("text IS NOT NULL"), asked.select("name"))
-    hits = join_spread(texts.distinct(), met.withColumnRenamed("name", "needle"), ["text"], ["id"])
+    hits = texts.distinct().join(met.withColumnRenamed("name", "needle"), "text")
     order = [
         F.when(F.col("own") == F.col("needle"), 1).otherwise(2),
         F.when(F.startswith("own", F.col("needle")), 1).otherwise(2),
@@ -155,7 +155,7 @@ def search_nodes_all(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_L
     ids = hits.groupBy("needle", "id").agg(places)
     rank = F.row_number().over(Window.partitionBy("needle").orderBy("place", "id"))
     first = ids.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return join_spread(asked.withColumnRenamed("name", "needle"), first, ["needle"], ["query_id"]).select("query_id", "id", "rank")
+    return join_crowded(asked.withColumnRenamed("name", "needle"), first, ["needle"]).select("query_id", "id", "rank")
 
 
 def _reach(length: Column, confidence: Column, support: Column, hops: int, bounds: dict[str, Column]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hot_keys import join_spread
+from .hot_keys import join_crowded
 
 # Defaults of the retrieval guide.
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 120
@@ -75,7 +75,7 @@ def explain_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True) ->
     asked = pairs.select("a", "b").where("a <> b").distinct()
     leaving = links.groupBy(F.col("here").alias("a")).agg(F.count(F.lit(1)).alias("_from_a"))
     entering = links.groupBy(F.col("there").alias("b")).agg(F.count(F.lit(1)).alias("_to_b"))
-    sized = join_spread(join_spread(asked, leaving, ["a"], ["b"]), entering, ["b"], ["a"])
+    sized = join_crowded(join_crowded(asked, leaving, ["a"]), entering, ["b"])
     first = links.select(F.col("here").alias("a"), F.col("there").alias("via"), F.col("confidence").alias("_first"))
     last = links.select(F.col("here").alias("via"), F.col("there").alias("b"), F.col("confidence").alias("_second"))
     forward = sized.where("_from_a <= _to_b").select("a", "b").join(first, "a").join(last, ["via", "b"])

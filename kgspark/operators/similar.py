@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut_lineage
 from .components import connected_components
-from .hot_keys import join_spread
+from .hot_keys import join_crowded
 from .merge import ARRIVAL, alias_union, keyed_by_name, merge_groups
 
 SIMILARITY = 0.8
@@ -42,7 +43,7 @@ def _prefixes(names: DataFrame, by: Sequence[str], threshold: float) -> DataFram
     ordered = Window.partitionBy(*by, "name").orderBy("rows", "gram", "place")
     longest = F.floor(F.col("length") / threshold + ROUNDING)  # of the names that may be similar
     return (
-        join_spread(grams, counts, [*by, "gram"], ["name", "place"])
+        join_crowded(grams, counts, [*by, "gram"])
         .withColumn("rank", F.row_number().over(ordered))
         .where(F.col("rank") <= q * edits(longest, threshold) + 1)
         .select(*by, "name", "length", "gram", "place")
@@ -58,17 +59,17 @@ def similar_pairs(names: DataFrame, threshold: float = SIMILARITY, by: Sequence[
     threshold; the same name twice is one name, an empty or null one has no pair.
     """
     by = list(by)
-    rows = _prefixes(names.select(*by, "name").distinct(), by, threshold)
+    rows = cut_lineage(_prefixes(names.select(*by, "name").distinct(), by, threshold))
     least = F.ceil(threshold * F.col("length") - ROUNDING).cast("int")
     held = rows.select(*by, "gram", F.col("length").alias("b_length"), F.col("name").alias("b"), F.col("place").alias("b_place"))
-    blocks = held.groupBy(*by, "gram", "b_length").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = cut_lineage(held.groupBy(*by, "gram", "b_length").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
     key = [*by, "gram", "b_length"]
-    placed = join_spread(held, blocks, key, ["b", "b_place"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    placed = held.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
     asked = rows.select(
         *by, "gram", F.col("length").alias("a_length"), F.col("name").alias("a"), F.col("place").alias("a_place"),
         F.explode(F.sequence(F.greatest(least, F.lit(1)), F.col("length"))).alias("b_length"),
     )
-    asked = join_spread(asked, blocks, key, ["a", "a_place"]).withColumn(
+    asked = asked.join(blocks, key).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
     allowed = edits(F.col("a_length"), threshold)
@@ -104,7 +105,7 @@ def merge_similar_concepts(
     keyed = keyed_by_name(concepts).withColumn("_like", F.lower("_name"))
     groups = similar_groups(keyed.select("_type", F.col("_like").alias("name")), similarity_threshold, ["_type"])
     named = groups.select("_type", F.col("name").alias("_like"), F.col("group_name").alias("_group"))
-    members = join_spread(keyed, named, ["_type", "_like"], order)
+    members = join_crowded(keyed, named, ["_type", "_like"])
     keys = ["_group", "_type"]
     called = members.withColumn(
         "aliases", F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))
@@ -149,10 +150,10 @@ def detect_synonyms(names: DataFrame, most_concepts: int = MOST_CONCEPTS) -> Dat
     spelled = initials.join(short.withColumnRenamed("concept", "alias"), "alias", "left_semi").select("concept", "alias")
     claims = aliases.unionByName(spelled).where("concept <> alias").distinct()
     crowded = claims.groupBy("alias").agg(F.count(F.lit(1)).alias("claimed")).where(F.col("claimed") <= most_concepts)
-    links = join_spread(claims, crowded, ["alias"], ["concept"]).select("concept", "alias")
+    links = join_crowded(claims, crowded, ["alias"]).select("concept", "alias")
     vertices = known.unionByName(links.select(F.col("alias").alias("concept"))).distinct().withColumnRenamed("concept", "id")
     groups = connected_components(vertices, links, by=(), source="concept", target="alias")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return join_spread(groups, sizes, ["component"], ["id"]).select(
+    return join_crowded(groups, sizes, ["component"]).select(
         F.substr(F.md5("component"), F.lit(1), F.lit(16)).alias("group_id"), F.col("id").alias("name"), "size"
     )

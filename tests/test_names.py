@@ -91,14 +91,29 @@ def test_mentions_of_empty_tables(spark):
     assert mentions(spark, [("c", "a")], []) == {}
 
 
-def test_a_word_of_most_chunks_is_spread(spark):
-    chunks = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("the mill").alias("text"))
-    pieces = chunks.select(F.col("chunk_id").alias("text_id"), F.explode(containment.word_pieces(F.col("text"))).alias("piece"))
-    keys = spark.createDataFrame([("the", "the")], "name STRING, piece STRING")
-    met = containment.candidates(pieces, keys)
-    plan = met._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "_salt" in plan
-    assert met.count() == 4000
+def test_a_word_of_most_chunks_is_split(spark):
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        chunks = spark.range(0, 60_000, 1, 8).selectExpr(
+            "concat('c', id) AS chunk_id", "CASE WHEN id % 3 > 0 THEN concat('the mill ', id % 1000) ELSE concat('a bridge ', id % 1000) END AS text"
+        )
+        pieces = chunks.select(F.col("chunk_id").alias("text_id"), F.explode(containment.word_pieces(F.col("text"))).alias("piece"))
+        names = spark.createDataFrame([(f"{i}",) for i in range(1000)] + [("the",)], "name STRING")
+        keys = containment.rarest_pieces(names.withColumn("pieces", F.array("name")), pieces)
+        met = containment.candidates(pieces, keys)
+        assert len(met.collect()) == 100_000
+        plan = met._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "SortMergeJoin(skew=true)" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_contained_equals_containment(spark):

@@ -302,6 +302,17 @@ def test_empty_graphs_are_measured(spark):
     assert all("- 关系数量: 0" in r["kg_summary"] for r in got.collect())
 
 
+def test_pair_components_equal_connected_components(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("xy"), rnd.randrange(80), rnd.randrange(80)) for _ in range(70)] + [("x", 500, i) for i in range(600, 700)] + [("z", 3, 3)]
+    edges = spark.createDataFrame(rows, "scope string, a long, b long")
+    ends = edges.where("a <> b").selectExpr("scope", "explode(array(a, b)) AS id").distinct()
+    expected = components.connected_components(ends, edges, ["scope"], "a", "b").select("scope", "id", "component")
+    found = components.pair_components(edges, "a", "b", ["scope"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert components.pair_components(edges.limit(0), "a", "b").collect() == []
+
+
 def test_keyword_hits_equal_containment(spark):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abC 机") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
