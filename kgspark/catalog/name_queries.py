@@ -56,7 +56,7 @@ def _groups(links: str) -> str:
     """Components of ``links(kind, a, b)``, both ways, over ``known(kind, name)``."""
     return f"""links AS ({links}),
         reach AS (SELECT kind, name, name AS other FROM known
-                  UNION SELECT r.kind, r.name, l.b FROM reach r JOIN links l ON l.kind = r.kind AND l.a = r.other),
+                  UNION SELECT r.kind, l.b, r.other FROM reach r JOIN links l ON l.kind = r.kind AND l.a = r.name AND l.b > r.other),
         grouped AS (SELECT kind, name, min(other) AS group_name FROM reach GROUP BY 1, 2)"""
 
 
