@@ -15,6 +15,8 @@ same sequences, whatever executors are lost.
 
 from __future__ import annotations
 
+import functools
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,20 +25,51 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import bpe
 from .support import cut_lineage, map_columns
 
 CAPACITY = 2048
 END_ID = 0
+MARKS = ".,;:!?"
 GROUP_ROWS = 256  # pieces of one length that are ranked together, on average
 
 PIECES = "piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 PLACES = "sequence_id BIGINT, offset BIGINT"
 
 
+class _LibraryWords(bpe.Encoder):
+    """Merges words that are not remembered by the tokenizers library, whose ids the pieces are to have."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        split = self.pretoken.findall
+        self.simple = self.text.lower and all(split(f"abc{mark}") == ["abc", mark] for mark in MARKS) and split("abc") == ["abc"]
+
+    def _run(self, run: str) -> bytes:
+        """Plain letters, with one mark behind them at most, need no pattern: most runs are such."""
+        if self.simple and len(run) <= bpe.RUN and run.isascii():
+            if run.isalpha():
+                return self.words[run.lower()]
+            if run[:-1].isalpha() and run[-1] in MARKS:
+                return self.words[run[:-1].lower()] + self.words[run[-1]]
+        return super()._run(run)
+
+    def _word(self, word: str) -> bytes:
+        ids = [token.id for token in self.tokenize(word if word.isascii() and word.isalpha() else self.symbols(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.lru_cache(maxsize=4)
+def _encoder(path: str) -> _LibraryWords:
+    """One encoder per file and worker."""
+    return _LibraryWords(path)
+
+
 def _cut(path: str, capacity: int, end_id: int):
-    encoder = bpe.load(path)
+    encoder = _encoder(path)
     end = np.array([end_id], dtype="<u4")
 
     def work(texts: list[str | None]) -> tuple[list[list], list[int]]:
