@@ -18,7 +18,7 @@ from ..session import cut_lineage, scratch_path
 SLICE_ROWS = 256
 SALTS = 64
 
-__all__ = ["cut_lineage", "join_hot", "keep_rows", "map_columns", "scratch_path", "ship_package", "table"]
+__all__ = ["cut_lineage", "join_hot", "join_split", "keep_rows", "map_columns", "scratch_path", "ship_package", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, spread: Column, salt
     return salted.join(repeated, same).drop("row_salt", "joined_salt", "joined_key")
 
 
+def join_split(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """As ``join_hot`` for a side that may have very many keys: nothing is repeated.
+
+    What was grouped by the key is written and read again, so that both sides come straight from a shuffle and adaptive
+    execution can split a crowded key over tasks.
+    """
+    other = cut_lineage(per_key.withColumnRenamed(key, "joined_key"))
+    return rows.join(other, F.col(key).eqNullSafe(F.col("joined_key"))).drop("joined_key")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the Python workers import this package by name, as ``--py-files`` does; once per application.
 

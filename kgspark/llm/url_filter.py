@@ -2,8 +2,8 @@
 
 Names in hosts are often words run together. The most probable split of each distinct name is found by Viterbi over
 word frequencies of the pages' own texts; only the substrings of a name meet the word counts, by an equi join. Words of
-the host and of the path are then scored by naive Bayes, trained on the urls that the rules judge. Pages are first
-grouped by host and path shape, so that a host with a third of all pages is scored once.
+the host and of the path are then scored by naive Bayes, trained on the urls that the rules judge. A score is that of the
+host plus that of the path; each distinct host and each distinct path is scored once, however many pages have it.
 """
 
 from __future__ import annotations
@@ -15,15 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut_lineage, map_columns
+from .support import cut_lineage, join_split, map_columns
 
-MOST_LETTERS = 24  # of a word in a host name
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Topics that a filter blocks, counted as training words of that class.
-TOPICS = ("ads", "bet", "bets", "casino", "escort", "jackpot", "pills", "poker", "porn", "track", "tracker", "viagra", "xxx")
-TOPIC_WEIGHT = 50.0
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -68,30 +63,28 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """``word, n``: lower-case words of at most ``MOST_LETTERS`` letters in the texts of all pages."""
+    """``word, n``: lower-case words in the texts of all pages."""
     texts = F.lower(F.regexp_replace("html", "<[^>]*>", " "))
     words = pages.where(F.col("html").isNotNull()).select(F.explode(F.split(texts, r"[^\p{L}]+")).alias("word"))
-    kept = words.where(F.length("word").between(1, MOST_LETTERS))
-    return kept.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_name(name: str, known: dict[str, int], total: int) -> list[str]:
     """The most probable split of a name; an unknown part of n letters counts as 10 / (total * 10**n)."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
+    part, letter = math.log(total), math.log(10)
+    lengths = sorted({len(word) for word in known})
+    best: list[tuple[float, int]] = [(0.0, 0)]  # cost up to here, and where the last part begins
+    unknown = (math.inf, 0)  # the same if the last part is an unknown one
     for end in range(1, len(name) + 1):
-        choices = []
-        for start in range(max(0, end - MOST_LETTERS), end):
-            part = name[start:end]
-            n = known.get(part)
-            cost = math.log(total) - math.log(n) if n else math.log(total) + (len(part) - 1) * math.log(10)
-            choices.append((best[start][0] + cost, start))
-        best.append(min(choices))
-    words, end = [], len(name)
+        unknown = min((unknown[0] + letter, unknown[1]), (best[end - 1][0] + part, end - 1))
+        words = [(best[end - n][0] + part - math.log(known[w]), end - n) for n in lengths if n <= end and (w := name[end - n : end]) in known]
+        best.append(min([unknown, *words]))
+    parts, end = [], len(name)
     while end:
         start = best[end][1]
-        words.append(name[start:end])
+        parts.append(name[start:end])
         end = start
-    return words[::-1]
+    return parts[::-1]
 
 
 def _split_names(total: int):
@@ -102,12 +95,18 @@ def _split_names(total: int):
 
 
 def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """``name, words`` of the distinct ``names(name)`` under ``counts(word, n)``."""
+    """``name, words`` of the distinct ``names(name)`` under ``counts(word, n)``.
+
+    A name meets the counts by its substrings of the lengths that words have, however long those are.
+    """
+    counts = cut_lineage(counts)
     total = counts.agg(F.sum("n")).first()[0] or 1
+    lengths = [r[0] for r in counts.select(F.length("word")).distinct().collect()]  # as many as the longest word at most
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    ends = F.sequence(F.lit(1), F.least(F.lit(MOST_LETTERS), F.length("name") - F.col("start") + 1))
+    room = F.length("name") - F.col("start") + 1
     parts = (
-        starts.withColumn("size", F.explode(ends))
+        starts.withColumn("size", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+        .where(F.col("size") <= room)
         .select("name", F.substring(F.col("name"), F.col("start"), F.col("size")).alias("word"))
         .distinct()
     )
@@ -117,7 +116,7 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, topics: Sequence[str] = TOPICS) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages(page_id, url, html)``.
 
     The longest fitting rule decides; else the class with the higher naive Bayes score, ``allow`` on a tie or without
@@ -127,44 +126,44 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, topics: Sequence[str]
     host, path = url_parts(F.coalesce("url", F.lit("")))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     fit = longest_rule(F.col("host"), F.col("path"), rules)
-    shape = F.regexp_replace(F.lower("path"), "[0-9]+", "0")
-    ruled = parsed.withColumn("fit", fit).withColumn("shape", shape)
-    n = F.count(F.lit(1))
-    shapes = cut_lineage(
-        ruled.groupBy("host", "shape").agg(
-            n.alias("n"),
-            F.count_if(F.col("fit.verdict") == "block").alias("blocked"),
-            F.count_if(F.col("fit.verdict") == "allow").alias("allowed"),
-        )
-    )
-    scores = _scores(shapes, pages, topics)
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return ruled.join(scores, ["host", "shape"], "left").select(
-        "page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict")
+    ruled = parsed.withColumn("fit", fit).withColumn("low_path", F.lower("path"))
+    hosts, paths, prior = _scores(ruled, pages)
+    scored = join_split(join_split(ruled, hosts, "host"), paths, "low_path")
+    score = F.round(F.col("host_score") + F.col("path_score"), 6) + prior
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(score > 0, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def _scores(ruled: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """``host, host_score`` and ``low_path, path_score``, the log odds of ``block`` of each distinct one, and the prior's."""
+    judged = (
+        F.count_if(F.col("fit.verdict") == "block").alias("blocked"),
+        F.count_if(F.col("fit.verdict") == "allow").alias("allowed"),
     )
-
-
-def _scores(shapes: DataFrame, pages: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """``host, shape, score``: log odds of ``block``."""
+    hosts, paths = (cut_lineage(ruled.groupBy(key).agg(*judged)) for key in ("host", "low_path"))
     separators = r"[^\p{L}\p{N}]+"
-    hosts = shapes.select("host").distinct()
     named = hosts.select("host", F.explode(F.split("host", separators)).alias("name")).where("name <> ''")
     split = segment_names(named.select("name").distinct(), word_counts(pages))
-    host_words = named.join(split, "name").select("host", F.explode("words").alias("word"))
-    own = shapes.select("host", "shape", "blocked", "allowed")
-    path_words = own.select("host", "shape", "blocked", "allowed", F.explode(F.split("shape", separators)).alias("word"))
-    words = cut_lineage(
-        path_words.where("word <> ''").unionByName(own.join(host_words, "host").select(*path_words.columns))
+    host_words = join_split(named, split, "name").select("host", F.explode("words").alias("word"))
+    host_words = cut_lineage(host_words)
+    path_words = paths.select("low_path", F.explode(F.split("low_path", separators)).alias("word")).where("word <> ''")
+    counted = (
+        hosts.join(host_words, "host")
+        .select("word", "blocked", "allowed")
+        .unionByName(paths.join(path_words, "low_path").select("word", "blocked", "allowed"))
+        .groupBy("word")
+        .agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     )
-    counted = words.groupBy("word").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    topic = F.when(F.col("word").isin(*topics), TOPIC_WEIGHT).otherwise(0.0)
-    counted = cut_lineage(counted.select("word", (F.col("b") + topic).alias("b"), F.col("a").cast("double").alias("a")))
+    counted = cut_lineage(counted)
     vocabulary, all_b, all_a = counted.agg(F.count(F.lit(1)), F.sum("b"), F.sum("a")).first()
-    rows_b, rows_a = shapes.agg(F.sum("blocked"), F.sum("allowed")).first()
+    rows_b, rows_a = hosts.agg(F.sum("blocked"), F.sum("allowed")).first()
     prior = math.log(((rows_b or 0) + 1) / ((rows_a or 0) + 1))
-    shift = math.log(((all_a or 0.0) + vocabulary + 1) / ((all_b or 0.0) + vocabulary + 1))
+    shift = math.log(((all_a or 0) + vocabulary + 1) / ((all_b or 0) + vocabulary + 1))
     weight = F.log((F.col("b") + 1) / (F.col("a") + 1)) + shift
     weights = counted.select("word", F.round(weight, 9).alias("weight"))
-    summed = words.join(weights, "word").groupBy("host", "shape").agg(F.sum("weight").alias("sum"))
-    scored = own.select("host", "shape").join(summed, ["host", "shape"], "left")
-    return scored.select("host", "shape", (F.round(F.coalesce("sum", F.lit(0.0)), 6) + prior).alias("score"))
+
+    def scores(all_keys: DataFrame, words: DataFrame, key: str, name: str) -> DataFrame:
+        summed = join_split(words, weights, "word").groupBy(key).agg(F.sum("weight").alias(name))
+        return all_keys.select(key).join(summed, key, "left").fillna(0.0, [name])
+
+    return scores(hosts, host_words, "host", "host_score"), scores(paths, path_words, "low_path", "path_score"), prior

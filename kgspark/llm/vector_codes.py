@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut_lineage, join_hot, map_columns, ship_package
+from .support import cut_lineage, join_split, map_columns, ship_package
 from .vectors import finite, matrix
 
 SCALE = 256
@@ -192,11 +192,10 @@ def encode(vectors: DataFrame, books: Codebooks, keep: list[str]) -> DataFrame:
 def with_label_error(coded: DataFrame) -> DataFrame:
     """Adds ``label_error``, the sum of ``error`` over equal labels, nulls together.
 
-    Sums are taken before anything is shuffled; they meet the rows on label and salt, so a label that most rows share is
-    read by many tasks.
+    Sums are taken before anything is shuffled; a label that most rows share is split over tasks, see ``join_split``.
     """
     sums = coded.groupBy("label").agg(F.sum("error").alias("label_error"))
-    return join_hot(coded, sums, "label", F.xxhash64("vec_id", "code"))
+    return join_split(coded, sums, "label")
 
 
 def compress(embeddings: DataFrame) -> DataFrame:
