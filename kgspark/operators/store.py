@@ -47,10 +47,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> Data
     return merged.select(*key, "_row.*", "created_at").select(*[c for c in rows.columns if c != "_rank"])
 
 
-def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = MERGE_KEY) -> DataFrame:
+def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = NODE_KEY) -> DataFrame:
     """Incoming values replace stored ones; ``created_at`` is set only when the node is created.
 
-    Nodes are the same by type and id, and the scope is one of the values set; ``key=NODE_KEY`` keeps scopes apart.
+    By default scopes are kept apart. With ``key=MERGE_KEY`` nodes are the same by type and id, and the scope is one of
+    the values set, as in ``stored_graph.upsert_nodes``.
     """
     return upsert(existing, incoming, key)
 

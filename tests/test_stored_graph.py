@@ -68,14 +68,14 @@ def test_merges_touch_their_buckets_only(spark, graph):
     before = files(stored.nodes)
     version = stored_graph.upsert_nodes(stored, incoming)
     after = files(stored.nodes)
-    assert content(stored.nodes.read()) == content(store.upsert_nodes(old_nodes, incoming))
+    assert content(stored.nodes.read()) == content(store.upsert_nodes(old_nodes, incoming, store.MERGE_KEY))
     changed = {f for f in after if f.startswith(f"at={version}/")}
     assert {os.path.dirname(f).split("/")[1] for f in changed} <= {f"bucket={b}" for b in stored.nodes.touched(incoming)}
     assert before - after and len(before & after) >= len(before) - 3  # all other buckets keep their files
     row = {r["id"] + r["type"]: r for r in stored.nodes.read().where("id IN ('n1', 'fresh')").collect()}
     assert row["n1T"]["scope"] == "book:x" and row["n1T"]["name"] == "newer" and row["n1T"]["created_at"].year == 1970
     again = stored_graph.upsert_nodes(stored, incoming)
-    assert again == version + 1 and content(stored.nodes.read()) == content(store.upsert_nodes(old_nodes, incoming))
+    assert again == version + 1 and content(stored.nodes.read()) == content(store.upsert_nodes(old_nodes, incoming, store.MERGE_KEY))
 
 
 def test_edges_need_stored_ends(spark, graph):
