@@ -34,10 +34,11 @@ MOST_BROADCAST_ROWS = 50_000  # template rows that are broadcast; more are joine
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select option button".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object select option button annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo mtext mspace ms msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover".split()
 )
 OUTSIDE = frozenset("nav footer aside form head menu dialog".split())
 CLOSES_P = frozenset(
@@ -54,17 +55,55 @@ MARKED = re.compile(
     r"reviews?|widgets?|search|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])"
 )
 
+# Inside the article a name says so much only when all its parts do, being such words or parts of a page.
+MARKS_WITHIN = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion "
+    "banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars notice notices cookie cookies "
+    "consent gdpr popup modal newsletter subscribe subscription signup share sharing social comment comments commentlist "
+    "disqus respond pagination pager toolbar widget widgets hidden related recommended recommendations".split()
+)
+PARTS_OF_PAGES = frozenset(
+    "area bar block body bottom box button buttons call card cell col column container content copy cta element field form "
+    "frame grid group head heading holder icons inner inline item items label large left link links list main message module "
+    "outer panel posts pane placeholder region right row section slot small strip table text title top unit widget wrap "
+    "wrapper zone js the by 0".split()
+)
+
+
+def marked_within(names: str) -> bool:
+    """Whether a class, id or role, of those between blanks, marks an element of an article as no part of it."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=0)", name) if p]
+        if any(p in MARKS_WITHIN for p in parts) and all(p in MARKS_WITHIN or p in PARTS_OF_PAGES for p in parts):
+            return True
+    return False
+
+
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _IN_ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[.#@!/]|$)")
 
 
+def _attributes(written: str) -> dict[str, str]:
+    return {a.lower(): html.unescape(d or s or b).lower() for a, d, s, b in _ATTRIBUTE.findall(written)}
+
+
+def _passed_over(written: str) -> bool:
+    """Whether the attributes of an inline element mark its text as no part of any article."""
+    if "=" not in written and "hidden" not in written:
+        return False
+    values = _attributes(written)
+    names = " ".join(re.sub(r"\d+", "0", values[k]) for k in ("class", "id", "role") if k in values)
+    return "hidden" in values or values.get("aria-hidden") == "true" or marked_within(names)
+
+
 def walk(page: str) -> Iterator[tuple[str, str, bool]]:
     """``kind, path, text`` events of a page: ``open`` with the path of the element, ``text`` with the path of its
     container, ``break`` at the edges of blocks. Unclosed and stray tags are borne, at any depth."""
     stack: list[tuple[str, str, str]] = []  # element, path, the part of the path that is spelled out
     at, raw = 0, None
+    passed: list[str] = []  # open inline elements from the first one that is marked on; their text is passed over
 
     def path() -> str:
         return stack[-1][1] if stack else ""
@@ -87,7 +126,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         found = _TAG.search(page, at)
         start = found.start() if found else len(page)
-        if start > at:
+        if start > at and not passed:
             yield "text", path(), page[at:start]
         if found is None:
             break
@@ -98,7 +137,11 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
         if found.group(1):
             if name == "br":
                 yield "break", "", ""
-            elif name not in INLINE and name not in VOID:
+            elif name in INLINE:
+                if name in passed:
+                    del passed[len(passed) - 1 - passed[::-1].index(name) :]
+            elif name not in VOID:
+                passed.clear()  # a block's end ends what was left open inside
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == name:
                         del stack[depth:]
@@ -106,10 +149,13 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "break", "", ""
             continue
         if name in INLINE:
+            if not found.group(3).endswith("/") and (passed or _passed_over(found.group(3))):
+                passed.append(name)
             continue
         yield "break", "", ""
         if name in VOID:
             continue
+        passed.clear()
         if name in RAW:
             raw = None if found.group(3).endswith("/") and name in ("svg", "math") else name
             continue
@@ -117,7 +163,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
             stack.pop()
         if name in SIBLINGS and stack and stack[-1][0] in SIBLINGS[name]:
             stack.pop()
-        values = {a.lower(): html.unescape(d or s or b).lower() for a, d, s, b in _ATTRIBUTE.findall(found.group(3))}
+        values = _attributes(found.group(3))
         step = name + "".join(
             f"{sign}{'.'.join(sorted(v.split()))}" for sign, key in ((".", "class"), ("#", "id"), ("@", "role")) if (v := values.get(key))
         )
@@ -135,9 +181,12 @@ def outside(path: str) -> bool:
         name = re.split(r"[.#@!]", step, maxsplit=1)[0]
         if name in OUTSIDE or step.endswith("!") or (name == "header" and not inside):
             return True
+        marks = re.sub(r"[.#@]", " ", step[len(name) :])
         if name in ("article", "main"):
             inside = True
-        elif name not in ("html", "body") and MARKED.search(re.sub(r"[.#@]", " ", step[len(name) :])):
+        elif inside and marked_within(marks):
+            return True
+        elif not inside and name not in ("html", "body") and MARKED.search(marks):
             return True
     return False
 
