@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: near copies, licences, tokens, vectors, quality, toxicity, pages, packing.
+"""Operators of a training-data pipeline: near copies, licences, tokens, vectors, quality, toxicity, pages, packing, audits.
 
 Nothing else in the library imports this package.
 """

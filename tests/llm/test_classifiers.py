@@ -78,3 +78,72 @@ def test_odd_rows(spark, documents):
     assert not any(r.rejected for r in toxicity.classify(docs, chain).collect())
     assert toxicity.keep(docs, chain).columns == docs.columns and quality.keep(docs, model).count() == 5
     assert quality.classify(documents([]), model).count() == 0
+
+
+def _noisy(seed, grades, rows=600):
+    rng = np.random.default_rng(seed)
+    words = [f"word{i}" for i in range(12)]
+    pull = rng.normal(size=len(words))
+    texts, labels = [], []
+    for _ in range(rows):
+        chosen = rng.random(len(words)) < 0.4
+        noise = rng.logistic(scale=1.0)
+        labels.append(int(np.clip(np.floor(chosen @ pull + noise + grades / 2), 0, grades - 1)))
+        texts.append(" ".join(w for w, c in zip(words, chosen) if c) or "none")
+    return texts, np.array(labels)
+
+
+def _text_scores(texts, weights):
+    scorer = features.TextScorer([weights])
+    return np.array([scorer(t)[0] for t in texts])
+
+
+def test_ordinal_fit_is_a_minimum():
+    """No small step away from the fitted thresholds and weights makes the ratings more likely."""
+    texts, grades = _noisy(1, 3)
+    model = quality.fit_sample(_sample(texts, grades))
+    slots = sorted(model.weights)
+    assert len(model.grades) == 3 and slots
+
+    def loss(weights, thresholds):
+        score = _text_scores(texts, dict(zip(slots, weights)))
+        bounds = np.concatenate([[-np.inf], thresholds, [np.inf]])
+        level = np.searchsorted(model.grades, grades)
+        p = features.sigmoid(bounds[level + 1] - score) - features.sigmoid(bounds[level] - score)
+        return -np.mean(np.log(np.maximum(p, 1e-12)))
+
+    weights, thresholds = np.array([model.weights[s] for s in slots]), np.array(model.thresholds)
+    best = loss(weights, thresholds)
+    rng = np.random.default_rng(2)
+    for size in (0.02, 0.1, 0.3):
+        for _ in range(20):
+            step, shift = rng.normal(size=len(weights)) * size, rng.normal(size=len(thresholds)) * size
+            assert loss(weights + step, thresholds + shift) > best - 1e-3
+
+
+def test_chain_fit_is_a_minimum():
+    texts, labels = _noisy(3, 2)
+    chain = toxicity.fit_sample(_sample(texts, labels), ["a"])
+    link = chain.links[0]
+    slots = sorted(link.weights)
+
+    def loss(weights, bias):
+        p = features.sigmoid(bias + _text_scores(texts, dict(zip(slots, weights))))
+        return -np.mean(np.log(np.where(labels > 0, p, 1 - p)))
+
+    weights = np.array([link.weights[s] for s in slots])
+    best = loss(weights, link.bias)
+    rng = np.random.default_rng(4)
+    for size in (0.02, 0.1, 0.3):
+        for _ in range(20):
+            assert loss(weights + rng.normal(size=len(weights)) * size, link.bias + rng.normal() * size) > best - 1e-3
+
+
+def test_one_pass_scores_all_models():
+    rng = np.random.default_rng(6)
+    models = [{int(s): float(w) for s, w in zip(rng.integers(0, features.SLOTS, 5000), rng.normal(size=5000))} for _ in range(3)]
+    scorer = features.TextScorer(models)
+    for text in ("", None, "One two, two!! THREE $$$$ " + "!" * 50, "a b c " * 400):
+        runs = (text or "").split()
+        slots = [f for r in set(runs) for f in features.run_features(r)] + features.whole_features(runs, len(set(runs)))
+        assert scorer(text) == [pytest.approx(sum(m.get(s, 0.0) for s in slots)) for m in models]
