@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
-from .support import cut_lineage, map_columns
+from ..operators.components import pair_components
+from .support import cut_lineage, join_split, map_columns
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -169,6 +169,11 @@ def jaccard_groups(
     A ``doc_id`` listed twice is one document; with two texts, the one of the least digest stands for it. One row comes
     back for each row of ``docs``, whose other columns play no part.
     """
+    return _grouped(docs, threshold, words, recall).drop("grams")
+
+
+def _grouped(docs: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
+    """``jaccard_groups`` and ``grams``, the number of distinct shingles of the row's text."""
     banding = choose_banding(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     added = "digest BINARY, grams BIGINT, bands ARRAY<BIGINT>"
@@ -197,10 +202,13 @@ def jaccard_groups(
         (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
     return (
-        signed.select("doc_id", F.when(F.expr("grams > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
+        signed.select(
+            "doc_id", "grams", F.when(F.expr("grams > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest")
+        )
         .join(per_class, "digest", "left")
         .select(
             "doc_id",
+            "grams",
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("copy_id", "doc_id").alias("copy_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -208,10 +216,42 @@ def jaccard_groups(
     )
 
 
+def one_of_each(
+    docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL
+) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without near copies, with all their columns.
+
+    Rows go by their texts, not by their ids: of each group that links of ``jaccard_groups`` connect, the row of least id
+    stays, a null id being the largest; of equal texts under one id any one row. So an id with two texts may keep one and
+    lose the other. A text without words is linked to nothing, and its row stays. An empty table stays empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    marks = {"_key": F.xxhash64(text), "_check": F.xxhash64(F.lit(1), text), "_id": F.col("doc_id").cast("long")}
+    keyed = docs.withColumns(marks)
+    groups = _grouped(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold, words, recall)
+    rows = cut_lineage(keyed.groupBy("_key", "_check", "_id").agg(F.count(F.lit(1)).alias("n")))
+    classes = groups.where("grams > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.min("class_id").alias("class"))
+    clashing = rows.groupBy("_key").agg((F.min("_check") < F.max("_check")).alias("clash")).where("clash")
+    if not clashing.isEmpty():  # two texts of one hash are never taken for copies
+        classes = classes.join(clashing, "_key", "left_anti")
+    placed = cut_lineage(join_split(rows, classes, "_key"))
+    order = F.struct(F.col("_id").isNull().alias("late"), "_id", "_key")
+    first = placed.groupBy("class").agg(F.min(order).alias("first"))
+    ranked = join_split(placed, first, "class")
+    marked = ranked.select("_key", "_check", "_id", "n", (order == F.col("first")).alias("stays")).where("n > 1 OR NOT stays")
+    found = cut_lineage(marked.select(*(F.col(c).alias(f"m{c}") for c in ("_key", "_check", "_id")), "stays"))
+    same = F.col("_key") == F.col("m_key")
+    same = same & (F.col("_check") == F.col("m_check")) & F.col("_id").eqNullSafe(F.col("m_id"))
+    kept = keyed.join(found, same, "left_anti")
+    repeated = found.where("stays")
+    if not repeated.isEmpty():  # rows that occur several times and stay once
+        kept = kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(list(marks)))
+    return kept.drop(*marks)
+
+
 def _components(pairs: DataFrame) -> DataFrame:
     """``class_id, group_id`` of every class in ``pairs(class_id, joined_id)``."""
-    vertices = pairs.select(F.col("class_id").alias("id")).union(pairs.select("joined_id")).distinct()
-    found = connected_components(vertices, pairs, by=(), source="class_id", target="joined_id")
+    found = pair_components(pairs, "class_id", "joined_id")
     return found.select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
 
 
