@@ -7,7 +7,6 @@ a text it reads from ``docs``; all stages but the last return the columns of ``d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kgspark.llm import ngram_join, packing, quality, toxicity
 from kgspark.llm.queries import CATEGORIES, TOKENIZER, rated_categories
@@ -29,10 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that five-word shingles connect."""
-    groups = ngram_join.jaccard_groups(docs)
-    gone = groups.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document of least id of each group that five-word shingles connect; see ``ngram_join.one_of_each``."""
+    return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
