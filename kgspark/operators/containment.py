@@ -20,6 +20,7 @@ GRAM = 3
 
 # Scripts that put no spaces between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+MAYBE_UNSPACED = r"[\u0E00-\u1FFF\u2E80-\uFFFF\x{10000}-\x{10FFFF}]"  # quick to tell, and true of each of these
 SPACED = rf"[\p{{L}}\p{{N}}_&&[^{UNSPACED[1:-1]}]]"
 
 
@@ -30,13 +31,10 @@ def comparable(text: Column | str) -> Column:
 
 def word_pieces(text: Column) -> Column:
     """Distinct words of spaced scripts, and the characters and pairs of neighbours of unspaced ones."""
-    return F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(text, F.lit(f"({SPACED}+)"), 1),
-            F.regexp_extract_all(text, F.lit(f"(?=({UNSPACED}{UNSPACED}))"), 1),
-            F.regexp_extract_all(text, F.lit(f"({UNSPACED})"), 1),
-        )
-    )
+    words = F.regexp_extract_all(text, F.lit(f"({SPACED}+)"), 1)
+    pairs = F.regexp_extract_all(text, F.lit(f"(?=({UNSPACED}{UNSPACED}))"), 1)
+    single = F.regexp_extract_all(text, F.lit(f"({UNSPACED})"), 1)
+    return F.array_distinct(F.when(text.rlike(MAYBE_UNSPACED), F.concat(words, pairs, single)).otherwise(words))
 
 
 def gram_pieces(text: Column, lengths: Sequence[int]) -> Column:
@@ -69,11 +67,21 @@ def candidates(texts: DataFrame, keys: DataFrame, by: Sequence[str] = ()) -> Dat
 
 
 def _quoted(name: Column) -> Column:
-    """A pattern for the name as it stands, at word edges where it starts or ends in a word of a spaced script."""
+    """A pattern for the name as it stands, with a word edge behind it where it ends in a word of a spaced script."""
     plain = F.regexp_replace(name, r"([^\p{L}\p{N}_ ])", r"\\$1")
-    before = F.when(name.rlike(f"^{SPACED}"), F.lit(f"(?<!{SPACED})")).otherwise("")
-    after = F.when(name.rlike(f"{SPACED}$"), F.lit(f"(?!{SPACED})")).otherwise("")
-    return F.concat(before, plain, after)
+    return F.concat(plain, F.when(name.rlike(f"{SPACED}$"), F.lit(f"(?!{SPACED})")).otherwise(""))
+
+
+def _either(names: Column) -> Column:
+    """A pattern for any of the names, the first in order where several fit.
+
+    Names that start in a word of a spaced script share one look for the edge before them; no other name can fit there.
+    """
+    starts = f"^{SPACED}"
+    words = F.array_join(F.transform(F.filter(names, lambda n: n.rlike(starts)), _quoted), "|")
+    others = F.array_join(F.transform(F.filter(names, lambda n: ~n.rlike(starts)), _quoted), "|")
+    edged = F.when(words != "", F.concat(F.lit(f"(?<!{SPACED})(?:"), words, F.lit(")")))
+    return F.concat_ws("|", edged, F.when(others != "", others))
 
 
 def build_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,9 +107,8 @@ def build_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     met = candidates(pieces, rarest_pieces(names, pieces)).distinct()
     held = met.join(words, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "name")
     longest_first = F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("shortness"), "name")))
-    patterns = held.groupBy("text_id").agg(
-        F.array_join(F.transform(longest_first, lambda x: _quoted(x["name"])), "|").alias("pattern")
-    )
+    listed = held.groupBy("text_id").agg(F.transform(longest_first, lambda x: x["name"]).alias("names"))
+    patterns = listed.select("text_id", _either(F.col("names")).alias("pattern"))
     read = words.join(patterns, "text_id").select(
         "text_id", F.explode(F.expr("regexp_extract_all(text, pattern, 0)")).alias("name")
     )
@@ -122,8 +129,9 @@ def containing(texts: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> Da
     names = names.where("name <> ''").select(*by, "name").distinct()
     texts = texts.where("text <> ''").select(*by, "text").distinct()
     own = F.when(F.length("name") < GRAM, F.array("name")).otherwise(gram_pieces(F.col("name"), [GRAM]))
+    lengths = [r[0] for r in names.select(F.least(F.length("name"), F.lit(GRAM))).distinct().collect()]  # GRAM at most
     keyed = texts.withColumn("text_id", F.unhex(F.md5("text")))
-    pieces = keyed.select(*by, "text_id", F.explode(gram_pieces(F.col("text"), range(1, GRAM + 1))).alias("piece"))
+    pieces = keyed.select(*by, "text_id", F.explode(gram_pieces(F.col("text"), lengths or [GRAM])).alias("piece"))
     met = candidates(pieces, rarest_pieces(names.withColumn("pieces", own), pieces, by), by)
     return met.join(keyed, [*by, "text_id"]).where(F.contains("text", F.col("name"))).select(*by, "text", "name")
 
