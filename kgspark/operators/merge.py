@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut_lineage
 from .clean import drop_dangling
 from .containment import containing
 from .ordering import first_wins
@@ -17,6 +18,7 @@ from .ordering import first_wins
 LONG_EVIDENCE = 20
 SMALLEST_SHARE = 1074  # 2 to the minus 1074 is the least positive double
 EVIDENCE_JOIN = "; "
+FEW_TEXTS, FEW_CHARS = 50, 100_000  # texts of a key that are compared in one row, and their characters
 DISPLAY_HIERARCHY = "合并后的知识图谱"
 
 ARRIVAL = ("seq",)
@@ -327,11 +329,37 @@ def display_evidence(edges: DataFrame) -> DataFrame:
 def folded_evidence(edges: DataFrame) -> DataFrame:
     """``edge_key, text, seen``: the evidence texts of a display key that no earlier text of the key contains, as rows.
 
-    What ``merge_edges_display`` joins, in order of ``seen``, without meeting in one row: texts find those that they are
-    part of on their rarest characters, so a key with any number of distinct texts is spread. (The joined string also
-    swallows a text that only its own separators make up.)
+    What ``merge_edges_display`` joins, in order of ``seen``, without meeting in one row: a key of more than
+    ``FEW_TEXTS`` texts is spread, its texts find those that they are part of on their rarest characters. The texts of
+    all other keys are compared within their key. (The joined string also swallows a text that only its own separators
+    make up.)
     """
-    texts = display_evidence(edges).where("text <> ''").select("edge_key", "text", "seen")
+    texts = cut_lineage(display_evidence(edges).where("text <> ''").select("edge_key", "text", "seen"))
+    counts = texts.groupBy("edge_key").agg(F.count(F.lit(1)).alias("_texts"), F.sum(F.length("text")).alias("_chars"))
+    large = (F.col("_texts") > FEW_TEXTS) | (F.col("_chars") > FEW_CHARS) & (F.col("_texts") > 1)
+    crowded = cut_lineage(counts.where(large & F.col("edge_key").isNotNull()).select("edge_key"))
+    keyless = texts.where("edge_key IS NULL")  # of no relation, so no text is an earlier one's
+    few = texts.where("edge_key IS NOT NULL").join(crowded, "edge_key", "left_anti").groupBy("edge_key").agg(
+        F.collect_list(F.struct("text", "seen")).alias("_all")
+    )
+    shown = F.filter(
+        "_all",
+        lambda own: ~F.exists(
+            "_all",
+            lambda other: F.coalesce(other["seen"] < own["seen"], F.lit(False))
+            & (other["text"] != own["text"])
+            & F.contains(other["text"], own["text"]),
+        ),
+    )
+    kept = few.select("edge_key", F.explode(shown).alias("_shown")).select("edge_key", "_shown.text", "_shown.seen")
+    kept = kept.unionByName(keyless)
+    if crowded.isEmpty():
+        return kept
+    return kept.unionByName(_folded_apart(texts.join(crowded, "edge_key", "left_semi")))
+
+
+def _folded_apart(texts: DataFrame) -> DataFrame:
+    """``folded_evidence`` of ``edge_key, text, seen`` with the texts of a key in many tasks."""
     within = containing(texts, texts.select("edge_key", F.col("text").alias("name")), ["edge_key"]).where("text <> name")
     earlier = texts.select("edge_key", "text", F.col("seen").alias("text_seen"))
     named = texts.select("edge_key", F.col("text").alias("name"), F.col("seen").alias("name_seen"))

@@ -159,3 +159,11 @@ def test_sketches_merge_within_their_bound(spark):
         assert abs(share - q) < 0.01
     empty = telemetry.latency_sketches(calls.withColumn("latency_ms", F.lit(None).cast("long")))
     assert telemetry.latency_percentiles(empty, ["agent"]).collect() == []
+
+
+def test_texts_of_small_keys_are_not_cut_into_characters(spark, monkeypatch):
+    rows = [(1, "a", "b", "long text"), (2, "a", "b", "text"), (3, "a", "b", "other"), (4, "a", "c", "text"), (5, None, "c", "text"), (6, None, "c", "tex")]
+    df = spark.createDataFrame(rows, "seq long, source_id string, target_id string, evidence string").withColumn("type", F.lit("T"))
+    monkeypatch.setattr(merge, "containing", None)
+    found = sorted((r["edge_key"] or "", r["text"], r["seen"]) for r in merge.folded_evidence(df).collect())
+    assert found == [("", "tex", 6), ("", "text", 5), ("a->b:T", "long text", 1), ("a->b:T", "other", 3), ("a->c:T", "text", 4)]
