@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import status
 from ..functions import text as t
-from .sections import resolve_bindings
+from .hot_keys import join_crowded
+from .sections import BINDING_KEYS, first_bindings, localized, resolve_bindings
 
 # Texts of the assembled documents.
 CHAPTER_TITLE = "章节"
@@ -256,7 +257,9 @@ def prompt_batch(
         F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("_messages"),
         F.max_by("meta", "pos").alias("_meta"),
     )
-    resolved = resolve_bindings(requests, bindings).where("resolved").join(prompts, "prompt_file")
+    # bindings meet their templates before the requests, whose texts then travel once and are split by a crowded target
+    bound = first_bindings(bindings).join(prompts, "prompt_file")
+    resolved = join_crowded(localized(requests), bound, BINDING_KEYS)
     empty = F.create_map().cast("map<string,string>")
     params = F.coalesce("params", empty)
     overlaid = F.map_concat(

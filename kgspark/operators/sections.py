@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut_lineage
 from .extract import PASS_THRESHOLD
 from .ordering import distinct_in_order, first_wins
 
 DEFAULT_LOCALE = "zh"
+BINDING_KEYS = ["target_type", "target_id", "locale"]
 MAX_REWRITES = 1
 
 
@@ -34,13 +36,20 @@ def combine_qa(qa_content: DataFrame, qa_metadata: DataFrame) -> DataFrame:
     )
 
 
+def first_bindings(bindings: DataFrame) -> DataFrame:
+    """The binding that counts for a target and locale: the first by position."""
+    return first_wins(bindings, BINDING_KEYS, ("position",)).drop("position")
+
+
+def localized(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("locale", F.coalesce("locale", F.lit(DEFAULT_LOCALE)))
+
+
 def resolve_bindings(requests: DataFrame, bindings: DataFrame) -> DataFrame:
     """The first binding per target and locale; ``resolved`` tells requests without one."""
-    keys = ["target_type", "target_id", "locale"]
-    first = first_wins(bindings, keys, ("position",)).drop("position").withColumn("_found", F.lit(True))
-    localized = requests.withColumn("locale", F.coalesce("locale", F.lit(DEFAULT_LOCALE)))
+    first = cut_lineage(first_bindings(bindings).withColumn("_found", F.lit(True)))  # so that a crowded target is split
     return (
-        localized.join(first, keys, "left")
+        localized(requests).join(first, BINDING_KEYS, "left")
         .withColumn("resolved", F.coalesce("_found", F.lit(False)))
         .drop("_found")
     )

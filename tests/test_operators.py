@@ -457,6 +457,20 @@ def test_requests_are_filled_or_rejected(spark):
     assert pairs(rejects, "request_id", "reason") == [(2, "no template"), (3, "no binding")]
 
 
+def test_requests_meet_bindings_and_templates_in_one_join(spark):
+    requests = spark.createDataFrame([(1, "agent", "a", None)], "request_id int, target_type string, target_id string, locale string")
+    requests = requests.withColumn("values", F.create_map(F.lit("x"), F.lit("y")))
+    bindings = spark.createDataFrame(
+        [("agent", "a", "zh", "pa", "p:m", None, 1)],
+        "target_type string, target_id string, locale string, prompt_file string, model_ref string, params map<string,string>, position int",
+    )
+    templates = spark.createDataFrame([("pa", 0, "user", "{{x}}", None)], "prompt_file string, pos int, role string, content string, meta map<string,string>")
+    filled = assemble.prompt_batch(requests, bindings, templates, "dp", "dm")
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan  # what meets the requests was written before
+    assert [r["messages"][0]["content"] for r in filled.collect()] == ["y"]
+
+
 def test_placeholders_are_filled_in_one_pass(spark):
     values = F.create_map(F.lit("a"), F.lit("<{{ b }}>"), F.lit("b"), F.lit("B"))
     filled = assemble.fill_placeholders(F.lit("{{ a }}-{{b}}-{{ c }}\n"), values)
