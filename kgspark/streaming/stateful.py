@@ -16,6 +16,7 @@ import sys
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ CIRCUIT_ROWS = (
 )
 CIRCUIT_STATE = "streak BIGINT, state STRING, opened_us BIGINT"
 
+PIECE = 10_000  # rows of a key that are objects at a time
+
 WATERMARK = "spark.watermarkDelayMs"
 
 Step = Callable[[tuple, "tuple | None", object], "tuple[tuple | None, tuple | None]"]
@@ -96,19 +99,29 @@ def _run(step: Step, key: tuple, state: tuple | None, events: Iterable) -> tuple
     return state, out
 
 
-def _at_once(step: Step, columns: list[str]) -> Fold:
-    """Folds the rows of a micro-batch as they are."""
+def _at_once(step: Step, columns: list[str], fields: list[str]) -> Fold:
+    """Folds the rows of a micro-batch as they are.
+
+    The rows of a key are kept as columns; ``PIECE`` of them at a time become objects.
+    """
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        events = [e for frame in rows for e in frame.itertuples(index=False)]
-        events.sort(key=lambda e: (e.us, e.seq))
-        state, out = _run(step, key, group.get if group.exists else None, events)
+        whole = pd.concat([frame[fields] for frame in rows], ignore_index=True)
+        us, seq = whole["us"], whole["seq"]
+        if us.hasnans or seq.hasnans:
+            order = sorted(range(len(whole)), key=lambda i: (us[i], seq[i]))
+        else:
+            order = np.lexsort((seq.to_numpy(), us.to_numpy()))
+        state = group.get if group.exists else None
+        for start in range(0, len(whole), PIECE):
+            events = whole.iloc[order[start : start + PIECE]].itertuples(index=False)
+            state, out = _run(step, key, state, events)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
         if state is not None:
             group.update(state)
         elif group.exists:
             group.remove()
-        if out:
-            yield pd.DataFrame(out, columns=columns)
 
     return fold
 
@@ -153,10 +166,10 @@ def _keyed(
 ) -> DataFrame:
     timed = df.withColumn("us", F.unix_micros("ts"))
     columns = [field.split()[0] for field in rows.split(", ")]
+    fields = [c for c in timed.columns if c not in (*keys, "ts")]
     if lateness is None:
-        fold = _at_once(step, columns)
+        fold = _at_once(step, columns, fields)
         return timed.drop("ts").groupBy(*keys).applyInPandasWithState(fold, rows, state, "append", GroupStateTimeout.NoTimeout)
-    fields = [c for c in timed.columns if c not in (*keys, "ts")]
     fold = _held(step, columns, fields, ttl)
     if WATERMARK not in timed.schema["ts"].metadata:  # the stream may bring its own
         timed = timed.withWatermark("ts", lateness)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kgspark.operators import extract, telemetry
@@ -67,6 +68,23 @@ def test_circuit_stream(spark, tmp_path):
     assert _rows(got.select(*columns)) == _rows(telemetry.circuit_states(calls, 3, 300.0).select(*columns))
 
 
+def test_the_rows_of_a_key_become_objects_by_the_piece():
+    class Group:
+        exists = False
+
+        def update(self, state):
+            self.state = state
+
+    n = 2 * stateful.PIECE + 5
+    calls = pd.DataFrame({"seq": range(n), "ok": [i % 4 == 0 for i in range(n)], "us": [i * 7 % n for i in range(n)]})
+    columns = [c.split()[0] for c in stateful.CIRCUIT_ROWS.split(", ")]
+    step, group = stateful._circuit_step(3, 300.0), Group()
+    frames = list(stateful._at_once(step, columns, ["seq", "ok", "us"])(("p", "k"), iter([calls[:99], calls[99:]]), group))
+    assert len(frames) == 3 and max(map(len, frames)) == stateful.PIECE
+    state, rows = stateful._run(step, ("p", "k"), None, calls.sort_values("us").itertuples(index=False))
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows and group.state == state
+
+
 def test_rate_breaches_with_watermark(spark, tmp_path):
     calls = _events(spark).withColumn("ts", F.timestamp_seconds(F.col("seq") * 10)).select("provider", "ts", "seq")
     later = calls.unionByName(calls.agg(F.lit("p").alias("provider"), F.timestamp_seconds(F.lit(99999)).alias("ts"), F.lit(999).cast("long").alias("seq")))
