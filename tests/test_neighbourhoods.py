@@ -63,6 +63,46 @@ def test_k_hop_all_equals_k_hop(spark):
         assert many_edges.get(i, set()) == {r["rid"] for r in one.edges.collect()}
 
 
+def _written(monkeypatch):
+    """Columns and rows of what the operators write to go on from."""
+    written, cut = [], neighbourhoods.cut_lineage
+
+    def listed(df):
+        out = cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(neighbourhoods, "cut_lineage", listed)
+    return written
+
+
+def test_first_trails_write_a_row_a_node(spark, monkeypatch):
+    _, edges, ids, _ = random_graph(spark, 5)
+    written = _written(monkeypatch)
+    centers = spark.createDataFrame([(i,) for i in ids], "center STRING")
+    assert neighbourhoods.first_trails_of(edges, centers, 2, 6).count() == 6 * len(ids)
+    assert written and max(n for _, n in written) <= len(ids)
+
+
+def test_first_trails_of_starts_that_come_twice(spark):
+    edges = spark.createDataFrame([("r1", "s", "a", "b", 1.0), ("r2", "s", "b", "c", 1.0)], EDGES)
+    centers = spark.createDataFrame([("a",), ("a",), ("c",)], "center STRING")
+    for limit, counts in ((1, [1, 1]), (3, [3, 2]), (9, [4, 2])):
+        got = trail_rows(neighbourhoods.first_trails_of(edges, centers, 2, limit), "center")
+        assert [sum(x[0] == c for x in got) for c in "ac"] == counts
+
+
+def test_entities_of_chunks_are_chosen_by_their_keys(spark, monkeypatch):
+    nodes, edges, ids, _ = random_graph(spark, 6)
+    mentions = spark.createDataFrame([("c1", i) for i in ids] + [("c2", "n01")], "chunk_id STRING, node_id STRING")
+    written = _written(monkeypatch)
+    found = neighbourhoods.chunk_entities_all(mentions, nodes.unionByName(nodes), edges, limit=3)
+    assert sorted((r["chunk_id"], r["id"], r["name"] is None) for r in found.entities.collect()) == [
+        ("c1", "n00", False), ("c1", "n00", False), ("c1", "n01", False), ("c2", "n01", False), ("c2", "n01", False)
+    ]
+    assert not any("name" in columns for columns, _ in written)
+
+
 def test_chunk_entities_all_equals_single_chunks(spark):
     nodes, edges, ids, _ = random_graph(spark, 6)
     rnd = random.Random(6)
