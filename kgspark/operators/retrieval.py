@@ -39,22 +39,20 @@ def path_score(length: Column, confidence: Column, support: Column) -> Column:
 
 
 def undirected_links(edges: DataFrame) -> DataFrame:
-    """``here, there, confidence``: both directions of every relation, the surest between two nodes; no loops."""
-    arcs = edges.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("source_id").alias("here"), F.col("target_id").alias("there")),
-                F.struct(F.col("target_id").alias("here"), F.col("source_id").alias("there")),
-            )
-        ).alias("arc"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    """``here, there, confidence``: both directions of every relation, the surest between two nodes; no loops.
+
+    Relations of two nodes meet once, whichever way they point; only the surest is turned round.
+    """
+    pairs = (
+        edges.where("source_id <> target_id")
+        .groupBy(F.least("source_id", "target_id").alias("low"), F.greatest("source_id", "target_id").alias("high"))
+        .agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
     )
-    return (
-        arcs.select("arc.here", "arc.there", "confidence")
-        .where("here <> there")
-        .groupBy("here", "there")
-        .agg(F.max("confidence").alias("confidence"))
+    both = F.array(
+        F.struct(F.col("low").alias("here"), F.col("high").alias("there")),
+        F.struct(F.col("high").alias("here"), F.col("low").alias("there")),
     )
+    return pairs.select(F.explode(both).alias("arc"), "confidence").select("arc.here", "arc.there", "confidence")
 
 
 def explain_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True) -> DataFrame:
@@ -78,13 +76,24 @@ def explain_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True) ->
     sized = join_crowded(join_crowded(asked, leaving, ["a"]), entering, ["b"])
     first = links.select(F.col("here").alias("a"), F.col("there").alias("via"), F.col("confidence").alias("_first"))
     last = links.select(F.col("here").alias("via"), F.col("there").alias("b"), F.col("confidence").alias("_second"))
-    forward = sized.where("_from_a <= _to_b").select("a", "b").join(first, "a").join(last, ["via", "b"])
-    backward = sized.where("_from_a > _to_b").select("a", "b").join(last, "b").join(first, ["a", "via"])
-    through = (
-        forward.unionByName(backward)
-        .where("via <> a AND via <> b")
-        .select("a", "b", F.lit(2).alias("length"), "via", ((F.col("_first") + F.col("_second")) / 2).alias("confidence"))
-    )
+    middle = ((F.col("_first") + F.col("_second")) / 2).alias("confidence")
+
+    def met(ends: DataFrame) -> DataFrame:
+        return ends.where("via <> a AND via <> b").select("a", "b", F.lit(2).alias("length"), "via", middle)
+
+    forward = sized.where("_from_a <= _to_b").select("a", "b")
+    backward = sized.where("_from_a > _to_b").select("a", "b")
+    if directed:
+        through = met(forward.join(first, "a").join(last, ["via", "b"])).unionByName(
+            met(backward.join(last, "b").join(first, ["a", "via"]))
+        )
+    else:  # links are the same from either end: turned pairs go the way of the others
+        turned = forward.withColumn("_turned", F.lit(False)).unionByName(
+            backward.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("_turned"))
+        )
+        found = turned.join(first, "a").where("via <> a AND via <> b").join(last, ["via", "b"])
+        start, end = F.when(F.col("_turned"), F.col("b")).otherwise(F.col("a")), F.when(F.col("_turned"), F.col("a")).otherwise(F.col("b"))
+        through = found.select(start.alias("a"), end.alias("b"), F.lit(2).alias("length"), "via", middle)
     direct = asked.join(links.select(F.col("here").alias("a"), F.col("there").alias("b"), "confidence"), ["a", "b"])
     paths = direct.select("a", "b", F.lit(1).alias("length"), F.lit(None).cast("string").alias("via"), "confidence")
     best = F.min(F.struct("length", (-F.col("confidence")).alias("_doubt"), "via", "confidence")).alias("_best")

@@ -103,6 +103,12 @@ def test_entities_of_chunks_are_chosen_by_their_keys(spark, monkeypatch):
     assert not any("name" in columns for columns, _ in written)
 
 
+def test_links_are_turned_after_they_met(spark):
+    _, edges, _, _ = random_graph(spark, 7)
+    plan = retrieval.undirected_links(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_chunk_entities_all_equals_single_chunks(spark):
     nodes, edges, ids, _ = random_graph(spark, 6)
     rnd = random.Random(6)
