@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+
+import numpy as np
 
 from kgspark.llm import ngram_join
 from kgspark.llm.support import table
@@ -71,3 +74,24 @@ def test_shared_table(spark):
     expected = brute_force([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_groups(docs).collect()}
     assert got == expected
+
+
+def test_band_hashes_of_a_long_set_take_bounded_memory_and_stay_as_they_were():
+    banding = ngram_join.choose_banding()
+    grams = np.unique(np.random.default_rng(7).integers(0, 1 << 63, 300_001, dtype=np.uint64))
+    a, b = ngram_join._multipliers(banding.bands * banding.rows)
+    expected = np.zeros(banding.bands, dtype=np.uint64)
+    least = []
+    for x, y in zip(a, b):
+        mixed = grams * x + y
+        mixed ^= mixed >> np.uint64(32)
+        least.append((mixed * np.uint64(0xD6E8FEB86659FD93)).min())
+    for row in np.array(least).reshape(banding.bands, banding.rows).T:
+        expected = (expected ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        expected ^= expected >> np.uint64(31)
+    tracemalloc.start()
+    found = ngram_join.band_hashes(grams, banding)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == expected.tolist()
+    assert peak < 1 << 20  # two copies of the set are 4.8 MB
