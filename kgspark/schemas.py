@@ -22,7 +22,7 @@ KG_EDGES = (
 KG_SECTIONS = "section_id STRING, scope STRING, hierarchy STRING, chapter STRING"
 MENTIONS = "chunk_id STRING, node_id STRING, scope STRING"
 ATTEMPTS = "section_id STRING, attempt INT, content STRING, report STRING"
-RUN_LOG = "timestamp BIGINT, message STRING, level STRING"
+RUN_LOG = "timestamp BIGINT, message STRING, level STRING, run_id STRING"
 RUN_EVENTS = "run_id STRING, ts TIMESTAMP, message STRING, level STRING"
 CALL_EVENTS = (
     "ts TIMESTAMP, provider STRING, key_id STRING, agent STRING, model STRING, status_code INT, latency_ms BIGINT, "

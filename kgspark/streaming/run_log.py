@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions.status import log_level
-from ..sources.runs import run_log_rows
+from ..sources.runs import log_lines, run_log_rows
 
 # Fixed value: message that ends the log of a run.
 END_OF_RUN = "__EOF__"
@@ -28,11 +28,10 @@ def stream_run_log(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
 
 
 def append_run_log(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append a stream of run events as newline JSON, one folder per run."""
-    rows = events.select("run_id", F.unix_millis("ts").alias("timestamp"), "message", "level")
+    """Append a stream of run events as newline JSON, one folder for each bucket of runs."""
     return (
-        rows.writeStream.format("json")
-        .partitionBy("run_id")
+        log_lines(events).writeStream.format("json")
+        .partitionBy("bucket")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kgspark.operators import extract, telemetry
-from kgspark.streaming import incremental, stateful
+from kgspark.sources import runs
+from kgspark.streaming import incremental, run_log, stateful
 
 
 def now():
@@ -260,3 +261,25 @@ def test_compacted_store_is_published(spark, tmp_path):
         assert incremental.current_path(spark, root) == str(tmp_path / target)
         assert _rows(incremental.current_graph(spark, str(tmp_path / target)).nodes.select("scope", "name")) == before
     assert len(before) == 8
+
+
+def test_logs_of_many_runs_take_few_folders_and_keep_their_runs(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id < 2998 THEN concat('run ', id) END AS run_id", "timestamp_millis(id) AS ts", "'[info] a' AS message", "'info' AS level"
+    )
+    runs.write_run_log(rows, f"{tmp_path}/in")
+    tailed = run_log.stream_run_log(spark, f"{tmp_path}/in")
+    run_log.append_run_log(tailed, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    expected = {(f"run {i}" if i < 2998 else "__HIVE_DEFAULT_PARTITION__", i) for i in range(3000)}
+    for part in ("in", "out"):
+        read = runs.read_run_log(spark, f"{tmp_path}/{part}").selectExpr("run_id", "unix_millis(ts) AS ms").collect()
+        assert len(read) == 3000 and {tuple(r) for r in read} == expected
+        assert len(list((tmp_path / part).glob("*=*"))) <= runs.RUN_BUCKETS + 1
+
+
+def test_logs_with_a_folder_for_each_run_are_read(spark, tmp_path):
+    for folder in ("r1", "run_id=r2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "logs.ndjson").write_text('{"timestamp": 5, "message": "m", "level": "info"}\n')
+    read = runs.read_run_log(spark, str(tmp_path)).select("run_id", "message").collect()
+    assert sorted(map(tuple, read)) == [("r1", "m"), ("r2", "m")]
