@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut_lineage, dealt
 from .hot_keys import join_crowded
 
 GRAM = 3
@@ -22,6 +23,7 @@ GRAM = 3
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 MAYBE_UNSPACED = r"[\u0E00-\u1FFF\u2E80-\uFFFF\x{10000}-\x{10FFFF}]"  # quick to tell, and true of each of these
 SPACED = rf"[\p{{L}}\p{{N}}_&&[^{UNSPACED[1:-1]}]]"
+PLAIN = r"[\p{L}\p{N}_]"  # the same, and much quicker, in texts without a character of those scripts
 
 
 def comparable(text: Column | str) -> Column:
@@ -32,9 +34,10 @@ def comparable(text: Column | str) -> Column:
 def word_pieces(text: Column) -> Column:
     """Distinct words of spaced scripts, and the characters and pairs of neighbours of unspaced ones."""
     words = F.regexp_extract_all(text, F.lit(f"({SPACED}+)"), 1)
+    plain = F.regexp_extract_all(text, F.lit(f"({PLAIN}+)"), 1)
     pairs = F.regexp_extract_all(text, F.lit(f"(?=({UNSPACED}{UNSPACED}))"), 1)
     single = F.regexp_extract_all(text, F.lit(f"({UNSPACED})"), 1)
-    return F.array_distinct(F.when(text.rlike(MAYBE_UNSPACED), F.concat(words, pairs, single)).otherwise(words))
+    return F.array_distinct(F.when(text.rlike(MAYBE_UNSPACED), F.concat(words, pairs, single)).otherwise(plain))
 
 
 def gram_pieces(text: Column, lengths: Sequence[int]) -> Column:
@@ -66,21 +69,22 @@ def candidates(texts: DataFrame, keys: DataFrame, by: Sequence[str] = ()) -> Dat
     return texts.join(keys, [*by, "piece"]).select(*by, "text_id", "name")
 
 
-def _quoted(name: Column) -> Column:
+def _quoted(name: Column, word: str) -> Column:
     """A pattern for the name as it stands, with a word edge behind it where it ends in a word of a spaced script."""
     plain = F.regexp_replace(name, r"([^\p{L}\p{N}_ ])", r"\\$1")
-    return F.concat(plain, F.when(name.rlike(f"{SPACED}$"), F.lit(f"(?!{SPACED})")).otherwise(""))
+    return F.concat(plain, F.when(name.rlike(f"{word}$"), F.lit(f"(?!{word})")).otherwise(""))
 
 
-def _either(names: Column) -> Column:
-    """A pattern for any of the names, the first in order where several fit.
+def _either(names: Column, word: str) -> Column:
+    """A pattern for any of the names, the first in order where several fit; ``word`` is the class of word characters.
 
     Names that start in a word of a spaced script share one look for the edge before them; no other name can fit there.
     """
-    starts = f"^{SPACED}"
-    words = F.array_join(F.transform(F.filter(names, lambda n: n.rlike(starts)), _quoted), "|")
-    others = F.array_join(F.transform(F.filter(names, lambda n: ~n.rlike(starts)), _quoted), "|")
-    edged = F.when(words != "", F.concat(F.lit(f"(?<!{SPACED})(?:"), words, F.lit(")")))
+    starts = f"^{word}"
+    quoted = lambda n: _quoted(n, word)
+    words = F.array_join(F.transform(F.filter(names, lambda n: n.rlike(starts)), quoted), "|")
+    others = F.array_join(F.transform(F.filter(names, lambda n: ~n.rlike(starts)), quoted), "|")
+    edged = F.when(words != "", F.concat(F.lit(f"(?<!{word})(?:"), words, F.lit(")")))
     return F.concat_ws("|", edged, F.when(others != "", others))
 
 
@@ -93,9 +97,8 @@ def build_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     that several nodes bear counts for all of them. Chunks with a null id are left out, a null text names nothing; the
     texts of a chunk id listed twice count together.
     """
-    words = chunks.where("chunk_id IS NOT NULL").select(
-        F.col("chunk_id").alias("text_id"), comparable("text").alias("text")
-    )
+    given = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("text_id"), "text")
+    words = cut_lineage(dealt(given).select("text_id", comparable("text").alias("text")))
     borne = (
         nodes.where("id IS NOT NULL")
         .select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
@@ -108,8 +111,8 @@ def build_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     held = met.join(words, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "name")
     longest_first = F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("shortness"), "name")))
     listed = held.groupBy("text_id").agg(F.transform(longest_first, lambda x: x["name"]).alias("names"))
-    patterns = listed.select("text_id", _either(F.col("names")).alias("pattern"))
-    read = words.join(patterns, "text_id").select(
+    pattern = F.when(F.col("text").rlike(MAYBE_UNSPACED), _either(F.col("names"), SPACED)).otherwise(_either(F.col("names"), PLAIN))
+    read = words.join(listed, "text_id").withColumn("pattern", pattern).select(
         "text_id", F.explode(F.expr("regexp_extract_all(text, pattern, 0)")).alias("name")
     )
     counted = read.groupBy("text_id", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -241,3 +241,32 @@ def test_detect_synonyms(spark):
     again = similar.detect_synonyms(df.repartition(3), most_concepts=3).collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in found}
     assert similar.detect_synonyms(df.limit(0)).collect() == []
+
+
+def counted(spark, df, name):
+    """``df`` whose column is read through a counter of rows, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(name, F.udf(look, "string").asNondeterministic()(name)), seen
+
+
+def test_each_text_is_read_once(spark):
+    texts = [(f"c{i}", "The Red Pump feeds the pump" if i % 2 else "赤い pump と red_pump", "", "", 1) for i in range(20)]
+    chunks, seen = counted(spark, spark.createDataFrame(texts, CHUNKS), "text")
+    nodes = spark.createDataFrame([("a", "red pump", ["pump"])], NODES)
+    found = {(r["chunk_id"], r["n"]) for r in containment.build_mentions(chunks, nodes).collect()}
+    assert found == {(f"c{i}", 2 if i % 2 else 1) for i in range(20)}
+    assert seen.value == len(texts)
+
+
+def test_plain_texts_have_the_same_pieces(spark):
+    texts = ["", "a-b_c 12", "éa ßx日本", "Ünï 한국어 x", "٣٤ abc", "áb"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    spaced = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({containment.SPACED}+)"), 1))
+    for r in df.select("text", containment.word_pieces(F.col("text")).alias("found"), spaced.alias("spaced")).collect():
+        assert set(r["spaced"]) <= set(r["found"])
+        assert "日" in r["text"] or r["found"] == r["spaced"]
