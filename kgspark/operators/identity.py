@@ -43,10 +43,11 @@ def assign_idempotent_ids(nodes: DataFrame, edges: DataFrame, by: list[str]) ->
 
 def _id_lookup(named: DataFrame, by: list[str]) -> DataFrame:
     """One row per name an endpoint may use. Raw ids come before final ids; among raw ids the latest row wins."""
-    raw = named.select(*by, F.col("raw_id").alias("key"), F.struct(F.lit(1).alias("raw"), "seq").alias("rank"), "id")
-    final = named.select(*by, F.col("id").alias("key"), F.struct(F.lit(0).alias("raw"), "seq").alias("rank"), "id")
+    raw = F.struct(F.col("raw_id").alias("key"), F.struct(F.lit(1).alias("raw"), "seq").alias("rank"))
+    final = F.struct(F.col("id").alias("key"), F.struct(F.lit(0).alias("raw"), "seq").alias("rank"))
     return (
-        raw.unionByName(final)
+        named.select(*by, "id", F.explode(F.array(raw, final)).alias("_name"))
+        .select(*by, "id", "_name.key", "_name.rank")
         .where("key IS NOT NULL")
         .groupBy(*by, "key")
         .agg(F.max_by("id", "rank").alias("final_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import clean, extract, identity, quality
 from ..operators.ordering import first_wins
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,15 @@ def build_section_graphs(outputs: DataFrame, now: Column, theta_add: float = cle
     """Extract, normalise, identify and threshold the graphs of all sections.
 
     ``outputs``: seq, topic, chapter, subchapter, language, raw (model markdown). Several outputs of one section are
-    separate graphs of the same section. A malformed output yields no graph and is listed in ``rejects``.
+    separate graphs of the same section. A malformed output yields no graph and is listed in ``rejects``. The outputs are
+    read and judged once, in even shares.
     """
     keyed = outputs.withColumn("section_id", ids.section_id("topic", "chapter", "subchapter")).withColumn(
         "scope", ids.book_scope("topic", "language")
     )
-    rejects = extract.malformed_outputs(keyed)
-    usable = keyed.where(extract.output_fault().isNull())
+    judged = cut_lineage(dealt(keyed).withColumn("_fault", extract.output_fault()))
+    keyed, usable = judged.drop("_fault"), judged.where("_fault IS NULL").drop("_fault")
+    rejects = extract.malformed_outputs(judged.where("_fault IS NOT NULL").drop("_fault"))
     raw_nodes = _positioned(extract.extract_nodes(usable)).withColumns(
         {"created_at": now, "updated_at": now}
     )

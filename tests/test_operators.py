@@ -23,7 +23,7 @@ from kgspark.operators import (
     store,
     telemetry,
 )
-from kgspark.plans.graph_build import build_section_graphs
+from kgspark.plans.graph_build import build_section_graphs, section_insights
 
 NODE = "seq long, scope string, id string, name string, type string, description string, aliases array<string>"
 EDGE = "seq long, scope string, rid string, source_id string, target_id string, type string"
@@ -572,6 +572,23 @@ def test_malformed_output_yields_no_graph(spark):
     ]
 
 
+def test_outputs_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    raw = "### 节点\n- a: x\n- b: y\n### 关系\n- a -> b: t\n"
+    rows = [(i, "T", "C", f"S{i}", "en", raw if i % 3 else "") for i in range(9)]
+    outputs = spark.createDataFrame(rows, "seq long, topic string, chapter string, subchapter string, language string, raw string")
+    outputs = outputs.withColumn("raw", F.udf(look, "string").asNondeterministic()("raw"))
+    words = outputs.select(ids.section_id("topic", "chapter", "subchapter").alias("section_id"), F.lit("x").alias("keyword"))
+    measured = section_insights(build_section_graphs(outputs, now()), words).collect()
+    assert sorted(r["total_edges"] for r in measured) == [0] * 3 + [1] * 6
+    assert seen.value == len(rows)
+
+
 def test_request_rules(spark):
     requests = spark.createDataFrame(
         [("t", None, 3, None), (None, "en", 21, "w")], "topic string, language string, chapter_count int, workflow_id string"
