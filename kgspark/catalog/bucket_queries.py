@@ -6,26 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import extract, merge, stored_graph, telemetry
-from ..operators.graph_queries import Graph
+from ..operators import extract, merge, ordering, store, stored_graph, telemetry
 from ..session import scratch_path
 from ..streaming import stateful
 from ..streaming.incremental import conformed
-from .graph_queries import LAST_ARRIVED, STORED_EDGES, _display_edges, _stored_edges, micros, now
+from .graph_queries import LAST_ARRIVED, STORED_EDGES, _display_edges, micros, now
 from .registry import Data, query, rounded
 from .run_queries import _event_stream, _messages, _written
 
 PAST = "2020-01-01 00:00:00"
 
 
-def _stored(d: Data) -> stored_graph.StoredGraph:
-    """Nodes and edges of the parts in 16 buckets."""
+SLICES = 16  # tasks that share a bucket
+
+
+def _stored_nodes(d: Data) -> stored_graph.StoredGraph:
+    """Nodes of the parts in 16 buckets; no edges."""
     stored = stored_graph.open_graph(d.spark, scratch_path(d.spark, "buckets"), 16)
     past = F.lit(PAST).cast("timestamp")
     nodes = d.view("raw_nodes").withColumns({"created_at": past, "updated_at": past})
-    graph = Graph(conformed(nodes, schemas.KG_NODES), conformed(_stored_edges(d), schemas.KG_EDGES))
-    stored.nodes.write(graph.nodes)
-    stored.edges.write(graph.edges)
+    stored.nodes.write(conformed(nodes, schemas.KG_NODES))
+    return stored
+
+
+def _stored(d: Data) -> stored_graph.StoredGraph:
+    """Nodes and edges of the parts in 16 buckets. The edges of a key meet in a slice of their bucket and are written there."""
+    stored = _stored_nodes(d)
+    stamped = store.stamp_section_scope(d.view("raw_edges"))
+    place = {"_bucket": stored.edges.bucket(), "_slice": F.pmod(F.xxhash64("rid"), F.lit(SLICES))}
+    dealt = stamped.withColumns(place).repartition(*place)
+    edges = ordering.last_wins(dealt, [*place, *store.EDGE_KEY]).withColumn("updated_at", F.col("created_at"))
+    stored.edges.write(conformed(edges, schemas.KG_EDGES), placed=True)
     return stored
 
 

@@ -17,6 +17,9 @@ from . import store
 from .graph_queries import Graph
 
 
+FEW_SCOPES = 100_000  # of a batch, that are sent to every task
+
+
 class StoredGraph(NamedTuple):
     nodes: BucketTable
     edges: BucketTable
@@ -49,6 +52,12 @@ def _known(stored: StoredGraph, edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _outside(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The rows of other scopes; as long as the scopes are few, the rows stay where they are."""
+    few = scopes.limit(FEW_SCOPES + 1).count() <= FEW_SCOPES
+    return rows.join(F.broadcast(scopes) if few else scopes, "scope", "left_anti")
+
+
 def _shaped(df: DataFrame, ddl: str) -> DataFrame:
     fields = df.sparkSession.createDataFrame([], ddl).schema.fields
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
@@ -76,7 +85,8 @@ def replace_sections(stored: StoredGraph, new_nodes: DataFrame, new_edges: DataF
     """Replaces the edges of every section of the batch and overlays its nodes; gives both new versions.
 
     ``new_nodes`` and ``new_edges`` carry ``src_section``. A section without edges in the batch loses those it has. The
-    node table changes first, so a batch that is cut short between the two is applied again with the same result.
+    node table changes first, so a batch that is cut short between the two is applied again with the same result. The
+    edges of other sections have no key in common with the batch and are copied; those without a scope may.
     """
     nodes = new_nodes.withColumn("scope", F.coalesce("scope", F.lit("")))
     node_version = overlay_nodes(stored, nodes, now)
@@ -86,7 +96,9 @@ def replace_sections(stored: StoredGraph, new_nodes: DataFrame, new_edges: DataF
     marked = fresh.withColumn("_new", F.lit(True)).unionByName(scopes.withColumn("_new", F.lit(False)), allowMissingColumns=True)
 
     def combine(old: DataFrame, batch: DataFrame) -> DataFrame:
-        kept = old.join(batch.select("scope").distinct(), "scope", "left_anti")
-        return store.overlay_properties(kept, batch.where("_new").drop("_new"), store.EDGE_KEY, now)
+        return store.overlay_properties(old.where("scope IS NULL"), batch.where("_new").drop("_new"), store.EDGE_KEY, now)
+
+    def stays(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return _outside(old.where("scope IS NOT NULL"), batch.select("scope").distinct())
 
-    return node_version, stored.edges.merge(marked, combine)
+    return node_version, stored.edges.merge(marked, combine, stays)

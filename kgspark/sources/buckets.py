@@ -9,6 +9,7 @@ second fails. The number of folders of a version depends on the buckets, not on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,31 +78,42 @@ class BucketTable:
         """The buckets that rows fall into; as many as there are buckets at most."""
         return [r[0] for r in rows.select(self.bucket()).distinct().collect()]
 
-    def write(self, rows: DataFrame) -> int:
-        """Replaces the whole table; gives the new version."""
+    def write(self, rows: DataFrame, placed: bool = False) -> int:
+        """Replaces the whole table; gives the new version. ``placed`` rows lie by bucket already, few buckets to a task."""
         version, _ = self._latest()
-        return self._commit(rows, version + 1, {})
-
-    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        return self._commit(None if placed else rows, version + 1, {}, rows if placed else None)
+
+    def merge(
+        self,
+        batch: DataFrame,
+        combine: Callable[[DataFrame, DataFrame], DataFrame],
+        stays: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    ) -> int:
         """Replaces the buckets that ``batch`` falls into by ``combine(their rows, batch)``; gives the new version.
 
-        What ``combine`` returns must fall into the same buckets. All other buckets keep their files.
+        What ``combine`` returns must fall into the same buckets. All other buckets keep their files. ``stays`` gives rows
+        of the same buckets that are added as they are: they are copied bucket by bucket, without a shuffle.
         """
         batch = cut_lineage(batch)
         version, places = self._latest()
         buckets = self.touched(batch)
         if not buckets:
             return version
-        combined = combine(self._rows(places, buckets), batch)
+        old = self._rows(places, buckets)
         kept = {b: at for b, at in places.items() if b not in set(buckets)}
-        return self._commit(combined, version + 1, kept)
+        return self._commit(combine(old, batch), version + 1, kept, stays(old, batch) if stays else None)
 
-    def _commit(self, rows: DataFrame, version: int, kept: dict[int, int]) -> int:
-        """Rows are spread by bucket, large buckets over several tasks and files."""
+    def _commit(self, rows: DataFrame | None, version: int, kept: dict[int, int], placed: DataFrame | None = None) -> int:
+        """Rows are spread by bucket, large buckets over several tasks and files; ``placed`` ones are written where they lie."""
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
-        placed = rows.select(*names).withColumn("bucket", self.bucket())
+
+        def bucketed(df: DataFrame) -> DataFrame:
+            return df.select(*names).withColumn("bucket", self.bucket())
+
+        parts = [bucketed(rows).hint("rebalance", "bucket")] if rows is not None else []
+        parts += [bucketed(placed)] if placed is not None else []
         written = f"{self.path}/data/at={version}"
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy(
+        reduce(DataFrame.unionAll, parts).sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy(
             "bucket"
         ).parquet(written)
         stored = self.spark.read.schema(f"{self.schema}, bucket INT").parquet(written).select("bucket").distinct().collect()
