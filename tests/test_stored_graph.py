@@ -167,3 +167,38 @@ def test_texts_of_small_keys_are_not_cut_into_characters(spark, monkeypatch):
     monkeypatch.setattr(merge, "containing", None)
     found = sorted((r["edge_key"] or "", r["text"], r["seen"]) for r in merge.folded_evidence(df).collect())
     assert found == [("", "tex", 6), ("", "text", 5), ("a->b:T", "long text", 1), ("a->b:T", "other", 3), ("a->c:T", "text", 4)]
+
+
+def test_rows_of_other_scopes_stay_where_they_are(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "scope string, n int").repartition(3, "n")
+    scopes = spark.createDataFrame([("a",), (None,), ("z",)], "scope string")
+    left = stored_graph._outside(rows, scopes)
+    assert sorted(r["n"] for r in left.collect()) == [2, 3, 4]
+    plan = left._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_replacing_sections_keeps_the_neighbours_in_a_bucket(spark, tmp_path):
+    stored = stored_graph.open_graph(spark, str(tmp_path / "one"), 1)  # every scope shares the bucket
+    stored.nodes.write(nodes(spark, [(i, "section:a", f"n{i}", "T", "x", "d") for i in range(4)]))
+    old = edges(spark, [(1, "a", "n0", "n1", "R"), (2, "b", "n0", "n2", "R"), (3, None, "n1", "n2", "R")])
+    stored.edges.write(old, placed=True)
+    new = spark.createDataFrame(
+        [(7, "a", "n2", "n3", "R"), (8, None, "n1", "n2", "R"), (9, "a", "n2", "gone", "R")],
+        "seq long, src_section string, source_id string, target_id string, type string",
+    ).withColumns({"created_at": now(), "updated_at": now()})
+    batch = nodes(spark, []).withColumn("src_section", F.lit("a"))
+    stored_graph.replace_sections(stored, batch, new, now())
+    found = sorted((r["scope"] or "", r["seq"]) for r in stored.edges.read().collect())
+    assert found == [("", 8), ("section:a", 7), ("section:b", 2)]
+    kept = stored.edges.read().where("scope = 'section:b'")
+    assert content(kept) == content(old.where("scope = 'section:b'"))
+
+
+def test_stored_nodes_alone(spark):
+    from kgspark.catalog import bucket_queries
+    from kgspark.catalog.registry import Data
+
+    d = Data(spark, "/root/testdata/sf0.001")
+    stored = bucket_queries._stored_nodes(d)
+    assert stored.nodes.read().count() == d.table("part").count() and stored.edges.version() == -1
