@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import clean, extract, identity, quality
 from ..operators.ordering import first_wins
-from ..session import cut_lineage, dealt
+from ..session import cut_lineage, cut_unsized, dealt
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ def build_section_graphs(outputs: DataFrame, now: Column, theta_add: float = cle
     keyed = outputs.withColumn("section_id", ids.section_id("topic", "chapter", "subchapter")).withColumn(
         "scope", ids.book_scope("topic", "language")
     )
-    judged = cut_lineage(dealt(keyed).withColumn("_fault", extract.output_fault()))
+    judged = cut_unsized(dealt(keyed).withColumn("_fault", extract.output_fault()))
     keyed, usable = judged.drop("_fault"), judged.where("_fault IS NULL").drop("_fault")
     rejects = extract.malformed_outputs(judged.where("_fault IS NOT NULL").drop("_fault"))
     raw_nodes = _positioned(extract.extract_nodes(usable)).withColumns(
@@ -63,7 +63,6 @@ def section_insights(graphs: SectionGraphs, keywords: DataFrame) -> DataFrame:
     nodes = cut_lineage(graphs.nodes.withColumn("scope", F.col("section_id")))
     edges = cut_lineage(graphs.edges.withColumn("scope", F.col("section_id")))
     outline = graphs.sections.select(F.col("section_id").alias("scope"), "chapter", "subchapter")
-    measured = quality.evaluate_graph(
-        nodes, edges, outline, keywords.select(F.col("section_id").alias("scope"), "keyword")
-    )
+    words = cut_unsized(keywords.select(F.col("section_id").alias("scope"), "keyword"))
+    measured = quality.evaluate_graph(nodes, edges, outline, words)
     return measured.withColumnRenamed("scope", "section_id")

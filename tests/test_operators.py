@@ -24,6 +24,7 @@ from kgspark.operators import (
     telemetry,
 )
 from kgspark.plans.graph_build import build_section_graphs, section_insights
+from kgspark.session import cut_unsized
 
 NODE = "seq long, scope string, id string, name string, type string, description string, aliases array<string>"
 EDGE = "seq long, scope string, rid string, source_id string, target_id string, type string"
@@ -589,6 +590,27 @@ def test_outputs_are_read_once(spark):
     assert seen.value == len(rows)
 
 
+def test_sections_are_not_joined_by_the_size_of_their_files(spark, tmp_path):
+    raw = "### 节点\n- a: x\n- b: y\n### 关系\n- a -> b: t\n"
+    columns = {"topic": "T", "chapter": "C", "subchapter": "S", "language": "en", "raw": raw}
+    same = spark.range(20).select(F.col("id").alias("seq"), *[F.lit(v).alias(c) for c, v in columns.items()])
+    same.coalesce(1).write.parquet(f"{tmp_path}/outputs")
+    outputs = spark.read.parquet(f"{tmp_path}/outputs")
+    graphs = build_section_graphs(outputs, now())
+    words = outputs.select(ids.section_id("topic", "chapter", "subchapter").alias("section_id"), F.lit("x").alias("keyword"))
+    measured = section_insights(graphs, words)
+    limit = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+    small = [df for df in (graphs.nodes, graphs.edges, graphs.sections) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit]
+    assert not small and "BroadcastHashJoin" not in measured._jdf.queryExecution().sparkPlan().toString()
+    assert [(r["total_nodes"], r["total_edges"]) for r in measured.collect()] == [(40, 20)]
+
+
+def test_unsized_rows_stay_the_same(spark):
+    rows = spark.createDataFrame([(1, None, ["a", None]), (1, None, ["a", None]), (None, "x", [])], "k INT, t STRING, a ARRAY<STRING>")
+    kept = cut_unsized(rows)
+    assert kept.schema == rows.schema and sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_request_rules(spark):
     requests = spark.createDataFrame(
         [("t", None, 3, None), (None, "en", 21, "w")], "topic string, language string, chapter_count int, workflow_id string"
