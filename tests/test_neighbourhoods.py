@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import defaultdict
 from itertools import product
 
@@ -84,6 +85,29 @@ def test_first_trails_write_a_row_a_node(spark, monkeypatch):
     assert written and max(n for _, n in written) <= len(ids)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _read_again(df, columns):
+    """How often the final plan reads a shuffle of these columns that it has read before."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    row = ", ".join(rf"{c}#\d+" for c in columns)
+    return len(re.findall(rf"ReusedExchange \[{row}\]", plan))
+
+
+def test_first_trails_shuffle_relations_once(spark, no_broadcast):
+    _, edges, ids, _ = random_graph(spark, 5)
+    centers = spark.createDataFrame([(i,) for i in ids], "center STRING")
+    found = neighbourhoods.first_trails_of(edges, centers, 2, 40)
+    assert _read_again(found, ["here", "arcs"]) == 1
+
+
 def test_first_trails_of_starts_that_come_twice(spark):
     edges = spark.createDataFrame([("r1", "s", "a", "b", 1.0), ("r2", "s", "b", "c", 1.0)], EDGES)
     centers = spark.createDataFrame([("a",), ("a",), ("c",)], "center STRING")
