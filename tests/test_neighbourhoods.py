@@ -108,6 +108,12 @@ def test_first_trails_shuffle_relations_once(spark, no_broadcast):
     assert _read_again(found, ["here", "arcs"]) == 1
 
 
+def test_k_hop_all_shuffles_relations_once(spark, no_broadcast):
+    nodes, edges, ids, _ = random_graph(spark, 5)
+    found = neighbourhoods.k_hop_all(nodes, edges, spark.createDataFrame([(i,) for i in ids], "center STRING"), 2, 40)
+    assert _read_again(found.edges.select("center", "rid"), ["here", "arcs"]) == 1
+
+
 def test_first_trails_of_starts_that_come_twice(spark):
     edges = spark.createDataFrame([("r1", "s", "a", "b", 1.0), ("r2", "s", "b", "c", 1.0)], EDGES)
     centers = spark.createDataFrame([("a",), ("a",), ("c",)], "center STRING")
